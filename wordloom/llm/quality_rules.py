@@ -132,11 +132,11 @@ def quality_rules(docs: DataFrame, policy: str = "v2") -> DataFrame:
 ORACLE_SQL = """
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
 w as (select rid, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as ws,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
 win as (select rid, i as pos, array_to_string(ws[i:i+7], ' ') as g from (select rid, ws, unnest(range(1, len(ws) - 6)) as i from w)),
 twice as (select rid, pos from (select rid, pos, count(*) over (partition by rid, g) as n from win) where n > 1),
 cover as (select rid, count(distinct p) as n from (select rid, unnest(range(pos, pos + 8)) as p from twice) group by rid),
-m as (select w.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::bigint as word_chars,
+m as (select w.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
              len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
              coalesce(c.n, 0)::bigint as n_repeat_words, len(ls)::bigint as n_lines, len(regexp_extract_all(text, '!'))::bigint as n_exclamations,
              len(regexp_extract_all(text, '[A-Z]'))::bigint as n_upper, len(list_distinct(ws))::bigint as n_distinct_words
