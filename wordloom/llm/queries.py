@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import langid, packing, quality_model, quality_rules, simhash
+from wordloom.llm import langid, mixing, packing, quality_model, quality_rules, simhash
 from wordloom.session import table
 
 
@@ -24,6 +24,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_source_mixing": op8_source_mixing,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
     }
@@ -45,4 +50,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.ORACLE_SQL,
+        "op8_source_mixing": mixing.ORACLE_SQL,
     }
