@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import langid, mixing, packing, quality_model, quality_rules, simhash
+from wordloom.llm import langid, mixing, packing, quality_model, quality_rules, simhash, topk
 from wordloom.session import table
 
 
@@ -18,6 +18,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op3_quality_rules": op3_quality_rules,
+        "op5_exact_top_k": op5_exact_top_k,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_source_mixing": op8_source_mixing,
         "op9_quality_classifier": op9_quality_classifier,
@@ -50,5 +55,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.ORACLE_SQL,
+        "op5_exact_top_k": topk.ORACLE_SQL,
         "op8_source_mixing": mixing.ORACLE_SQL,
     }
