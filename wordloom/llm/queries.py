@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import langid, mixing, packing, quality_model, quality_rules, simhash, topk
+from wordloom.llm import langid, mixing, packing, pii, quality_model, quality_rules, simhash, topk
 from wordloom.session import table
 
 
@@ -22,6 +22,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op5_exact_top_k": op5_exact_top_k,
+        "op6_personal_data": op6_personal_data,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_source_mixing": op8_source_mixing,
         "op9_quality_classifier": op9_quality_classifier,
