@@ -115,9 +115,10 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_
     found = {r["bin"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     n = found.get(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([found.get(b, 0) for b in range(BINS)]))) + 1e-3
-    per_lang = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n"))  # leaves a few times the sample, so that no group is large
-    likely = rows.join(per_lang, "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) < share * (1 << 30))
+    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as the model has languages
+    shares = F.create_map(*[F.lit(x) for lang, m in sorted(per_lang.items()) for x in (lang, min(1.0, 4.0 * sample / m))]) if per_lang else F.create_map(F.lit(""), F.lit(1.0))
+    # Only a few times the sample goes to the task of a language, however many rows it has.
+    likely = rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.element_at(shares, F.col("lang")) * (1 << 30))
 
     def cluster(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         first = table.sort_by([("h", "ascending"), ("text", "ascending")]).slice(0, sample)
