@@ -7,6 +7,7 @@ planned places by their rank within their length.
 """
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,13 +22,28 @@ from wordloom.session import checkpointed
 
 CAPACITY = 2048
 END_ID = 0
-_CACHED = 1 << 18
+_CACHED = 1 << 19
 #: The word splitting of the tokenizer file, restricted to characters for which lower-casing and Unicode normal form are
 #: plain: ASCII and the Latin-1 letters. Anything else is encoded by the library as a whole.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
+class _Known(dict):
+    """Ids of the pieces seen lately; a full store is emptied, and frequent pieces are back at once."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) < 64:
+            if len(self) >= _CACHED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes; equal to encoding the whole text with the library."""
 
@@ -35,25 +51,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._library)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text) or "<|" in text:
             return self._library(text)
-        known, out = self.known, []
-        for piece in _PIECES.findall(text.lower()):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._library(piece)
-                if len(piece) < 64:
-                    if len(known) >= _CACHED:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, _PIECES.findall(text.lower())))
 
 
 _encoders: dict[str, Encoder] = {}
