@@ -17,8 +17,17 @@ def test_encoder_equals_the_library():
     tok, own = Tokenizer.from_file(PATH), packing.Encoder(PATH)
     rng = random.Random(5)
     alphabet = "abcXYZ 'stdlrevm0123.,;!\n\téÉßÖ÷-_<|"
-    for text in [*ODD, *("".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(3000))]:
-        assert np.frombuffer(own(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+    texts = [*ODD, *("".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(3000))]
+    for text, ids in zip(texts, own.many(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_full_store_starts_anew(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHED", 10)
+    monkeypatch.setattr(packing, "_RUN", 1)
+    own, tok = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = [f"word{i} next{i} the end's {i}" for i in range(50)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.many(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def check(rows, capacity):

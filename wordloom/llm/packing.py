@@ -7,9 +7,8 @@ planned places by their rank within their length.
 """
 
 import re
-import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,44 +22,62 @@ from wordloom.session import checkpointed
 CAPACITY = 2048
 END_ID = 0
 _CACHED = 1 << 19
+#: Characters of text that are cut into pieces at a time.
+_RUN = 1 << 20
 #: The word splitting of the tokenizer file, restricted to characters for which lower-casing and Unicode normal form are
 #: plain: ASCII and the Latin-1 letters. Anything else is encoded by the library as a whole.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
-class _Known(dict):
-    """Ids of the pieces seen lately; a full store is emptied, and frequent pieces are back at once."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
-        if len(piece) < 64:
-            if len(self) >= _CACHED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes; equal to encoding the whole text with the library."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes; equal to encoding each whole text with the library.
+
+    Ids of the pieces seen lately are kept. New pieces of a run of texts are encoded in one call, with blanks between
+    them: the tokenizer drops blanks, and the last token of a piece shows by its suffix where the piece ends.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = _Known(self._library)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __call__(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or "<|" in text:
-            return self._library(text)
-        return b"".join(map(self.known.__getitem__, _PIECES.findall(text.lower())))
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        pieces = list(new)
+        data = self._library(" ".join(pieces))
+        stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1)).tolist()
+        self.known.update(zip(pieces, [data[a:b] for a, b in zip([0, *stops], stops)], strict=True))
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        cut = [_PIECES.findall(x.lower()) if _PLAIN.fullmatch(x) and "<|" not in x else None for x in texts]
+        seen = {piece for pieces in cut if pieces for piece in pieces}
+        new = seen.difference(self.known)
+        if len(self.known) + len(new) > _CACHED:
+            self.known.clear()
+            new = seen
+        if new:
+            self._learn(new)
+        known = self.known.__getitem__
+        return [self._library(x) if pieces is None else b"".join(map(known, pieces)) for x, pieces in zip(texts, cut, strict=True)]
+
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        run, size = [], 0
+        for text in texts:
+            run.append(text)
+            size += len(text)
+            if size >= _RUN:
+                yield from self._run(run)
+                run, size = [], 0
+        if run:
+            yield from self._run(run)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -77,11 +94,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     """(doc_id, piece, start, length, ids_crc32): each text's ids and END_ID, cut at the capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path), END_ID.to_bytes(4, "little")
+        encode, end = encoder(tokenizer_path).many, END_ID.to_bytes(4, "little")
         for batch in batches:
             ids, nth, start, length, crc = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = encode(text.as_py() or "") + end
+            texts = (x.as_py() or "" for x in batch.column(1))
+            for doc_id, data in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     ids.append(doc_id)
