@@ -78,6 +78,7 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 def takes(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """rows (uid, doc_id, source, size) with source_size, target and taken."""
     shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    rows = checkpointed(rows)  # cutting ranges reads its input twice, and the texts are to be read once
     laid = ranged(rows.select("uid", "doc_id", "source", "size", shuffled.alias("_h")), ["source", "_h", "doc_id", "size", "uid"])
     starts = with_offsets(laid, ["source"], ["_h", "doc_id", "size", "uid"], F.col("size"), "begin")
     targets = checkpointed(source_targets(laid.select("source", "size")))
