@@ -15,17 +15,16 @@ def plain_candidates(text):
     return [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{8,}", text or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
 
 
-def test_forest_sql_equals_the_model(spark):
+def test_forest_equals_what_spark_prints(spark):
     text = "Forest\n  Tree 0 (weight 1.0):\n    If (feature 0 <= 2.5)\n     Predict: 0.0\n    Else (feature 0 > 2.5)\n     If (feature 3 <= 0.5)\n      Predict: 1.0\n     Else (feature 3 > 0.5)\n      Predict: 0.0\n  Tree 1 (weight 1.0):\n    Predict: 1.0\n"
-    sql = secrets.forest_sql(text)
+    made = secrets.forest_of(text, 3)
     rows = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0],), ([3.0, 0.0, 0.0, 0.0],), ([3.0, 0.0, 0.0, 1.0],)], "f array<double>")
-    got = rows.select(F.expr(sql).alias("a"), secrets._bind(sql, F.col("f")).alias("b")).collect()
-    assert [(r.a, r.b) for r in got] == [(0.5, 0.5), (1.0, 1.0), (0.5, 0.5)]
+    assert [r.s for r in rows.select(made.score(F.col("f")).alias("s")).collect()] == [0.5, 1.0, 0.5]
 
 
 def test_held_out_findings(spark, forest):
     fresh = secrets.labelled_findings(spark, 2000, "other")
-    scored = fresh.select("label", secrets.features(F.col("token"), F.col("left"), F.col("right")).alias("f")).select("label", (F.expr(forest) >= 0.5).cast("int").alias("p"))
+    scored = fresh.select("label", secrets.features(F.col("token"), F.col("left"), F.col("right")).alias("f")).select("label", (forest.score(F.col("f")) >= 0.5).cast("int").alias("p"))
     rows = scored.collect()
     assert sum(r.label == r.p for r in rows) >= 0.95 * len(rows)
 

@@ -1,12 +1,13 @@
 """Secret scan: token candidates by pattern, false positives removed by a random forest. Built-in functions only.
 
-The forest is trained with Spark's own learner on labelled findings and then written out as one SQL expression, so that
+The forest is trained with Spark's own learner on labelled findings and then written out as a few array literals, so that
 scoring is a projection inside the scan: no shuffle, no Python, and the texts are read once.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.native import let, running
+from wordloom.session import checkpointed
 
 #: Runs of token characters with a digit and a letter; each run is looked at once, whatever its length.
 _TOKEN = "[A-Za-z0-9+/_-]"
@@ -82,7 +84,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: str = "findings"
         return F.sha2(F.concat(F.lit(f"{seed} {k} "), i), 256)
 
     def pick(k: str, values: list[str]) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64("id", F.lit(f"{seed} {k}")), F.lit(len(values))) + 1).cast("int"))
+        options = F.split(F.lit("\x01".join(values)), "\x01")  # one literal, however many values
+        return F.element_at(options, (F.pmod(F.xxhash64("id", F.lit(f"{seed} {k}")), F.lit(len(values))) + 1).cast("int"))
 
     def word(k: str) -> Column:
         return pick(k, list(WORDS))
@@ -123,41 +126,76 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: str = "findings"
         (hexed("a", 12), prose, no, 0),
     ]
     rows = [F.struct(t.alias("token"), le.alias("left"), r.alias("right"), F.lit(y).alias("label")) for t, le, r, y in cases]
-    made = spark.range(0, n, 1, 4).select(F.element_at(F.array(*rows), (F.col("id") % len(rows) + 1).cast("int")).alias("f")).select("f.*")
+    which = F.col("id") % len(rows)
+    made = spark.range(0, n, 1, 4).select(F.coalesce(*[F.when(which == k, r) for k, r in enumerate(rows)]).alias("f")).select("f.*")
     return made.where(F.col("token").rlike(f"^{_TOKEN}{{8,}}$") & F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]"))
 
 
-def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 11) -> str:
-    """A forest over findings (token, left, right, label), as SQL over an array named f: the share of trees that vote 1."""
+@dataclass(frozen=True)
+class Forest:
+    """Complete binary trees of equal depth, end to end: the feature and the limit of each inner node, the vote of each
+    leaf. A value up to the limit goes left. As arrays the forest is a few literals, however many trees it has."""
+
+    depth: int
+    feature: tuple[int, ...]
+    limit: tuple[float, ...]
+    vote: tuple[float, ...]
+
+    def score(self, f: Column) -> Column:
+        """The share of trees that vote 1, for an array<double> of FEATURES."""
+        inner, leaves = (1 << self.depth) - 1, 1 << self.depth
+        feature, limit, vote = F.lit(list(self.feature)), F.lit(list(self.limit)), F.lit(list(self.vote))
+
+        def ballot(tree: Column) -> Column:
+            def down(node: Column, _: Column) -> Column:
+                at = tree * inner + node
+                return node * 2 + F.when(f[feature[at]] <= limit[at], 1).otherwise(2)
+
+            return vote[F.aggregate(F.sequence(F.lit(1), F.lit(self.depth)), F.lit(0), down) - inner + tree * leaves]
+
+        trees = len(self.vote) // leaves
+        return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), ballot), F.lit(0.0), lambda s, v: s + v) / trees
+
+
+def train(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int = 11) -> Forest:
+    """A forest over findings (token, left, right, label), grown by Spark's learner."""
     table = findings.select(features(F.col("token"), F.col("left"), F.col("right")).alias("f"), F.col("label").cast("double").alias("label"))
     wide = table.select("label", *[F.col("f")[i].alias(name) for i, name in enumerate(FEATURES)])
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=5).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(wide.coalesce(1)))
-    return forest_sql(model.toDebugString)
+    wide = checkpointed(wide.coalesce(1))  # a small table; the learner reads it several times
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=5).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(wide))
+    return forest_of(model.toDebugString, depth)
 
 
-def forest_sql(text: str) -> str:
-    """SQL of a forest that Spark prints as nested If/Else lines."""
+def forest_of(text: str, depth: int) -> Forest:
+    """The forest that Spark prints as nested If/Else lines; a leaf above the full depth fills all leaves below it."""
     trees: list[list[str]] = []
     for line in text.splitlines():
         if line.strip().startswith("Tree "):
             trees.append([])
         elif trees and line.strip():
             trees[-1].append(line.strip())
+    inner, leaves = (1 << depth) - 1, 1 << depth
+    feature, limit, vote = [0] * (inner * len(trees)), [float("inf")] * (inner * len(trees)), [0.0] * (leaves * len(trees))
 
-    def node(lines: list[str]) -> str:
+    def fill(lines: list[str], tree: int, node: int, level: int) -> None:
         line = lines.pop(0)
         if found := re.fullmatch(r"Predict: ([0-9.]+)", line):
-            return f"{float(found[1])}D"
+            first = (node + 1 << depth - level) - leaves
+            vote[tree * leaves + first : tree * leaves + first + (1 << depth - level)] = [float(found[1])] * (1 << depth - level)
+            return
         at, value = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line).groups()
-        yes = node(lines)
+        feature[tree * inner + node], limit[tree * inner + node] = int(at), float(value)
+        fill(lines, tree, 2 * node + 1, level + 1)
         if not lines.pop(0).startswith("Else "):
             raise ValueError("a branch without its other side")
-        return f"case when f[{at}] <= {float(value)!r}D then {yes} else {node(lines)} end"
+        fill(lines, tree, 2 * node + 2, level + 1)
 
-    return "(" + " + ".join(node(t) for t in trees) + f") / {len(trees)}D"
+    for k, lines in enumerate(trees):
+        fill(lines, k, 0, 0)
+    return Forest(depth, tuple(feature), tuple(limit), tuple(vote))
 
 
-def scan(docs: DataFrame, forest: str, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs with _findings, array<struct<start,end,token,score,secret>> of every candidate in its whole text, by start, and
     _between, the pieces of text around them; null texts count as empty. Positions are code points, end exclusive."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -169,7 +207,7 @@ def scan(docs: DataFrame, forest: str, threshold: float = 0.5, text_col: str = "
                 left = F.right(between[i], F.lit(CONTEXT))
                 f = features(token, left, F.substring(between[i + 1], 1, 16))
                 start = starts[i * 2 + 1]
-                return let(f, lambda f: let(_bind(forest, f), lambda s: F.struct(start.alias("start"), (start + F.length(token)).alias("end"), token.alias("token"), s.alias("score"), (s >= threshold).alias("secret"))))
+                return let(f, lambda f: let(forest.score(f), lambda s: F.struct(start.alias("start"), (start + F.length(token)).alias("end"), token.alias("token"), s.alias("score"), (s >= threshold).alias("secret"))))
 
             return F.transform(tokens, one)
 
@@ -184,38 +222,7 @@ def scan(docs: DataFrame, forest: str, threshold: float = 0.5, text_col: str = "
     return docs.withColumn("_scan", made).withColumn("_findings", F.col("_scan.findings")).withColumn("_between", F.col("_scan.between")).drop("_scan")
 
 
-def _bind(sql: str, f: Column) -> Column:
-    """The forest's SQL with f bound to a column: nested case-when is rebuilt as columns."""
-    tokens = re.findall(r"case when f\[\d+\] <= |then|else|end|[()+/]|-?[0-9.eE+-]+D", sql)
-    at = 0
-
-    def value() -> Column:
-        nonlocal at
-        token = tokens[at]
-        at += 1
-        if token.startswith("case"):
-            feature, limit = int(re.search(r"\d+", token)[0]), float(tokens[at][:-1])
-            at += 2  # the limit and "then"
-            yes = value()
-            at += 1  # else
-            no = value()
-            at += 1  # end
-            return F.when(f[feature] <= limit, yes).otherwise(no)
-        return F.lit(float(token[:-1]))
-
-    total = None
-    while at < len(tokens):
-        if tokens[at] in "()+":
-            at += 1
-        elif tokens[at] == "/":
-            return total / float(tokens[at + 1][:-1])
-        else:
-            part = value()
-            total = part if total is None else total + part
-    return total
-
-
-def secret_scan(docs: DataFrame, forest: str | None = None, threshold: float = 0.5) -> DataFrame:
+def secret_scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, n_candidates, n_secrets, top_score (0 without a candidate), spans (start:end of secrets, comma-joined).
 
     One row per row of docs: nulls count as empty texts, repeats and null ids stay, an empty table gives no rows, other
@@ -233,7 +240,7 @@ def secret_scan(docs: DataFrame, forest: str | None = None, threshold: float = 0
     )
 
 
-def redacted(docs: DataFrame, forest: str | None = None, mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
+def redacted(docs: DataFrame, forest: Forest | None = None, mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """docs with each secret in text replaced by mark and n_chars, if there, made to fit; documents without stay as they are."""
     found = scan(docs, forest or train(labelled_findings(docs.sparkSession)), threshold)
     shown = F.concat(F.transform("_findings", lambda x: F.when(x["secret"], F.lit(mark)).otherwise(x["token"])), F.array(F.lit("")))
