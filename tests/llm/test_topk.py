@@ -22,8 +22,8 @@ def invariants(tree):
         far = np.linalg.norm(tree.points[rows] - tree.points[tree.centre[node]], axis=1)
         assert far.max() <= tree.radius[node] + 1e-6
         kids = tree.children[node]
-        if kids:
-            assert sorted(np.concatenate([tree.rows[c] for c in kids])) == sorted(rows) and tree.centre[kids[0]] == tree.centre[node]
+        if len(kids):
+            assert sorted(np.concatenate([tree.rows[c] for c in kids]).tolist()) == sorted(rows.tolist()) and tree.centre[kids[0]] == tree.centre[node]
             assert all(tree.radius[c] <= tree.radius[node] / 2 + 1e-6 for c in kids)
             centres = tree.points[[tree.centre[c] for c in kids]]
             gaps = np.linalg.norm(centres[:, None] - centres[None], axis=2)[np.triu_indices(len(kids), 1)]

@@ -17,60 +17,67 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16384
-GROUP_ROWS = 1024
+GROUP_ROWS = 8192
 LEAF = 48
 _EXACT = float(1 << 53)
+_NONE = np.array([], np.int64)
 
 
 class CoverTree:
     """Batch-built cover tree over rows of points.
 
-    A node of level l covers its points within 2^l of its centre (scaled by the root's radius); its children's centres
-    are points of its own, more than 2^(l-1) apart, the first one the node's own centre (nesting, covering, separation).
-    Nodes of at most LEAF points are leaves. radius is the exact largest distance to a point below.
+    A node covers its points within `reach`, half its parent's; its children's centres are points of its own, more than
+    their reach apart, the first one the node's own centre (nesting, covering, separation). Nodes of at most LEAF points
+    are leaves. radius is the exact largest distance to a point below.
     """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points = points
-        n = len(points)
-        self.centre, self.radius, self.children, self.rows = [], [], [], []
-        far = np.sqrt(np.maximum(((points - points[0]) ** 2).sum(axis=1), 0)) if n else np.array([])
-        self.root = self._grow(0, np.arange(n), far, leaf) if n else -1
-        self.norm = np.sqrt((points.astype(np.float64) ** 2).sum(axis=1))
-
-    def _node(self, centre: int, rows: np.ndarray, far: np.ndarray) -> int:
-        self.centre.append(centre)
-        self.radius.append(float(far.max()))
-        self.rows.append(rows)
-        self.children.append([])
-        return len(self.centre) - 1
-
-    def _grow(self, centre: int, rows: np.ndarray, far: np.ndarray, leaf: int) -> int:
-        top = self._node(centre, rows, far)
-        todo = [(top, rows, far)]
+        self.norm = np.sqrt((points**2).sum(axis=1))
+        self._square = self.norm**2
+        centre, radius, self.children, self.rows = [], [], [], []
+
+        def node(at: int, rows: np.ndarray) -> int:
+            centre.append(at)
+            radius.append(float(np.sqrt(((points[rows] - points[at]) ** 2).sum(axis=1)).max()) if len(rows) > 1 else 0.0)
+            self.rows.append(rows)
+            self.children.append(_NONE)
+            return len(centre) - 1
+
+        self.root = node(0, np.arange(len(points))) if len(points) else -1
+        todo = [self.root] if len(points) else []
         while todo:
-            node, rows, far = todo.pop()
-            reach = self.radius[node] / 2
-            if len(rows) <= leaf or reach == 0:
+            top = todo.pop()
+            if len(self.rows[top]) <= leaf or not radius[top]:
                 continue
-            own, rest_rows, middle = self.centre[node], rows, far
-            made = []
-            while len(rest_rows):
-                near = middle <= reach
-                made.append((own, rest_rows[near], middle[near]))
-                rest_rows = rest_rows[~near]
-                if len(rest_rows):
-                    own = int(rest_rows[0])
-                    middle = np.sqrt(((self.points[rest_rows] - self.points[own]) ** 2).sum(axis=1))
-                    if len(made) >= leaf and len(made) * 4 > len(rows):  # all are about as far from each other: no use in going on
-                        break
-            if len(rest_rows):
-                continue
-            for child in made:
-                at = self._node(*child)
-                self.children[node].append(at)
-                todo.append((at, child[1], child[2]))
-        return top
+            made = [node(at, rows) for at, rows in self._net(centre[top], self.rows[top], radius[top] / 2)]
+            self.children[top] = np.array(made)
+            todo += made
+        self.centre, self.radius = np.array(centre, np.int64), np.array(radius)
+
+    def _far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self._square[a][:, None] + self._square[b][None, :] - 2 * (self.points[a] @ self.points[b].T), 0))
+
+    def _net(self, own: int, rows: np.ndarray, reach: float, block: int = 512) -> list[tuple[int, np.ndarray]]:
+        """Centres more than reach apart, own first, and the rows nearest to each within reach."""
+        centres, members = [own], [[] for _ in range(1)]
+        for at in range(0, len(rows), block):
+            part = rows[at : at + block]
+            far = self._far(part, np.array(centres))
+            near, least = far.argmin(axis=1), far.min(axis=1)
+            near[part == own], least[part == own] = 0, 0.0
+            for k in np.unique(near[least <= reach]):
+                members[k].append(part[(near == k) & (least <= reach)])
+            left = part[least > reach]
+            apart, open_ = self._far(left, left), np.ones(len(left), bool)
+            for i in range(len(left)):
+                if open_[i]:
+                    mine = open_ & (apart[i] <= reach)
+                    mine[i] = True
+                    open_ &= ~mine
+                    centres.append(int(left[i]))
+                    members.append([left[mine]])
+        return [(c, np.concatenate(m)) for c, m in zip(centres, members, strict=True) if m]
 
 
 class Best:
@@ -97,45 +104,46 @@ class Best:
         self.ids[rows] = np.take_along_axis(names, order, axis=1)
 
 
-def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int) -> Best:
-    """Dual-tree search; the node pair with the highest bound of a query node comes first."""
+def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int, chunk: int = 64) -> Best:
+    """Dual-tree search, query nodes depth first and data nodes by their bounds. data_ids are in ascending order."""
     best = Best(len(query_ids), k)
     if queries.root < 0 or data.root < 0:
         return best
 
-    def bounds(q: int, nodes: list[int]) -> np.ndarray:
-        centres = [data.centre[x] for x in nodes]
-        radius = np.array([data.radius[x] for x in nodes])
-        a, b = queries.norm[queries.centre[q]], data.norm[centres]
+    def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
+        """The highest score that any pair of points below q and each node can have."""
+        centres, radius, own = data.centre[nodes], data.radius[nodes], queries.radius[q]
         dots = data.points[centres] @ queries.points[queries.centre[q]]
-        return (dots + queries.radius[q] * b + radius * a + queries.radius[q] * radius) * (1 + 1e-9) + 1e-6
+        most = dots + own * data.norm[centres] + radius * (queries.norm[queries.centre[q]] + own)
+        return most + 1e-9 * np.abs(most) + 1e-3  # over any error of the sums
 
-    todo = [(queries.root, [data.root], bounds(queries.root, [data.root]))]
+    todo = [(queries.root, np.array([data.root]))]
     while todo:
-        q, nodes, most = todo.pop()
-        rows = queries.rows[q]
-        keep = most >= best.worst(rows)
-        nodes, most = [x for x, ok in zip(nodes, keep, strict=True) if ok], most[keep]
-        if not nodes:
-            continue
-        if queries.children[q]:
-            for child in queries.children[q]:
-                todo.append((child, nodes, bounds(child, nodes)))
+        q, nodes = todo.pop()
+        rows, most = queries.rows[q], bounds(q, nodes)
+        if len(queries.children[q]):
+            while len(nodes) < 4 * len(queries.children[q]) and any(len(data.children[x]) for x in nodes):  # both sides go down
+                nodes = np.concatenate([data.children[x] if len(data.children[x]) else [x] for x in nodes])
+                most = bounds(q, nodes)
+            nodes = nodes[most >= best.worst(rows)]
+            todo += [(child, nodes) for child in queries.children[q]]
             continue
-        queue = sorted(zip(most, nodes, strict=True))
-        while queue:
-            limit, node = queue.pop()
-            if limit < best.worst(rows):
-                break
-            if data.children[node]:
-                under = data.children[node]
-                queue = sorted([*queue, *zip(bounds(q, under), under, strict=True)])
-                continue
-            at = data.rows[node]
-            at = at[np.argsort(data_ids[at], kind="stable")]
-            score = queries.points[rows] @ data.points[at].T
-            score[query_ids[rows][:, None] == data_ids[at][None, :]] = -np.inf
-            best.add(rows, score, data_ids[at])
+        while len(nodes):
+            keep = most >= best.worst(rows)
+            nodes, most = nodes[keep], most[keep]
+            first = np.argpartition(-most, chunk)[:chunk] if len(nodes) > chunk else np.arange(len(nodes))
+            now = nodes[first]
+            nodes, most = np.delete(nodes, first), np.delete(most, first)
+            leaves = [x for x in now if not len(data.children[x])]
+            if leaves:
+                at = np.sort(np.concatenate([data.rows[x] for x in leaves]))
+                score = queries.points[rows] @ data.points[at].T
+                score[query_ids[rows][:, None] == data_ids[at][None, :]] = -np.inf
+                best.add(rows, score, data_ids[at])
+            under = [data.children[x] for x in now if len(data.children[x])]
+            if under:
+                under = np.concatenate(under)
+                nodes, most = np.r_[nodes, under], np.r_[most, bounds(q, under)]
     return best
 
 
