@@ -5,21 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wordloom.session import table
+from wordloom.plans import corpus_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (text_queries, corpus_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per language."""
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"))
+    return text_queries.words_per_lang(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
