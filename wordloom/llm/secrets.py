@@ -125,9 +125,10 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: str = "findings"
         (F.concat(word("a"), word("b"), digits), prose, no, 0),
         (hexed("a", 12), prose, no, 0),
     ]
-    rows = [F.struct(t.alias("token"), le.alias("left"), r.alias("right"), F.lit(y).alias("label")) for t, le, r, y in cases]
-    which = F.col("id") % len(rows)
-    made = spark.range(0, n, 1, 4).select(F.coalesce(*[F.when(which == k, r) for k, r in enumerate(rows)]).alias("f")).select("f.*")
+    made = None  # a small plan per case: one for all would be too large to compile
+    for k, (token, left, right, label) in enumerate(cases):
+        part = spark.range(k, n, len(cases), 1).select(token.alias("token"), left.alias("left"), right.alias("right"), F.lit(label).alias("label"))
+        made = part if made is None else made.unionByName(part)
     return made.where(F.col("token").rlike(f"^{_TOKEN}{{8,}}$") & F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]"))
 
 
