@@ -115,3 +115,10 @@ def largest_change(variants: DataFrame, pinned: DataFrame, key: str = "lang", va
     """(variant, largest): the largest absolute difference of a variant's values from the pinned ones."""
     met = variants.join(pinned.select(key, F.col(value).alias("_pinned")), key)
     return met.groupBy("variant").agg(F.max(F.abs(F.col(value) - F.col("_pinned"))).alias("largest"))
+
+
+def character_level(corpus: DataFrame, keys: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """(*keys, tokens, words): what a tokenizer without merges gives, one token per character of each pre-token."""
+    pieces = F.aggregate(pretokens(normalized(F.col(text_col), None)), F.lit(0), lambda s, w: s + F.length(w))
+    each = corpus.select(*keys, pieces.alias("t"), count_words(F.col(text_col)).alias("w"))
+    return each.groupBy(*keys).agg(F.sum("t").alias("tokens"), F.sum("w").alias("words"))

@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wordloom.plans import corpus_queries, text_queries
+from wordloom.operators import measure
+from wordloom.plans import corpus_queries, ledger_queries, text_queries
+from wordloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (text_queries, corpus_queries)
+_PARTS = (text_queries, corpus_queries, ledger_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_queries.words_per_lang(spark, sf_dir)
+    """Fertility per language at the level of characters, with the spread and score over all of them."""
+    measured = measure.character_level(table(spark, sf_dir, "documents"), ("lang",))
+    whole = measure.spread(measured).select("max_lang", "min_lang", "spread", "score")
+    each = measured.withColumn("fertility", F.try_divide(F.col("tokens").cast("double"), F.col("words").cast("double")))
+    return each.crossJoin(F.broadcast(whole))  # one row
 
 
 def queries() -> dict[str, Query]:

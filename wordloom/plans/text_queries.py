@@ -25,7 +25,7 @@ def sql_norm(col: str) -> str:
 
 
 def sql_pretokens(col: str) -> str:
-    return f"list_filter(regexp_extract_all('▁' || replace({sql_norm(col)}, ' ', '▁'), '▁[^▁]*'), lambda x: {sql_norm(col)} <> '')"
+    return f"(case when {sql_norm(col)} = '' then [] else regexp_extract_all('▁' || replace({sql_norm(col)}, ' ', '▁'), '▁[^▁]*') end)"
 
 
 def sql_words(col: str) -> str:
