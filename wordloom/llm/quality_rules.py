@@ -34,11 +34,12 @@ RULES = (
     Rule("exclamations", "2 * n_exclamations > n_words"),
     Rule("upper_case", "10 * n_upper > 6 * word_chars"),
     Rule("one_word", "n_words >= 50 and 20 * n_distinct_words < n_words"),
+    Rule("stutter", "5 * n_stutters > n_words"),
 )
 BASE = 0b11
 #: Policy versions: bits that a kept document must not have. v1 is the base alone.
 POLICIES = {"v1": BASE, "v2": (1 << len(RULES)) - 1}
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclamations", "n_upper", "n_distinct_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclamations", "n_upper", "n_distinct_words", "n_stutters")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -91,6 +92,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 _count_of(text, "!").cast("long").alias("n_exclamations"),
                 _count_of(text, "[A-Z]").cast("long").alias("n_upper"),
                 F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
+                F.size(F.filter(words, lambda w, i: (i > 0) & (w == words[F.greatest(i - 1, F.lit(0))]))).cast("long").alias("n_stutters"),
             ),
         )
 
@@ -139,9 +141,10 @@ cover as (select rid, count(distinct p) as n from (select rid, unnest(range(pos,
 m as (select w.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
              len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
              coalesce(c.n, 0)::bigint as n_repeat_words, len(ls)::bigint as n_lines, len(regexp_extract_all(text, '!'))::bigint as n_exclamations,
-             len(regexp_extract_all(text, '[A-Z]'))::bigint as n_upper, len(list_distinct(ws))::bigint as n_distinct_words
+             len(regexp_extract_all(text, '[A-Z]'))::bigint as n_upper, len(list_distinct(ws))::bigint as n_distinct_words,
+             len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]))::bigint as n_stutters
       from w left join cover c on c.rid = w.rid),
 b as (select *, (@BITS)::bigint as failed_rules from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules % 4 <> 0 as base_failed,
-       failed_rules = 0 as kept, failed_rules, n_lines, n_exclamations, n_upper, n_distinct_words from b
+       failed_rules = 0 as kept, failed_rules, n_lines, n_exclamations, n_upper, n_distinct_words, n_stutters from b
 """.replace("@BITS", " + ".join(f"case when {r.fails} then {1 << k} else 0 end" for k, r in enumerate(RULES)))
