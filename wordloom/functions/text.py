@@ -65,6 +65,12 @@ def pretokens(norm: Column) -> Column:
     return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(led, F.lit("▁[^▁]*"), F.lit(0)))
 
 
+def bare_pretokens(norm: Column) -> Column:
+    """pretokens() without their leading marks: a plain split for texts that hold no mark themselves."""
+    marked = F.transform(pretokens(norm), lambda w: F.substring(w, 2, 1 << 30))
+    return F.when(norm == "", F.array().cast("array<string>")).when(F.contains(norm, F.lit(META)), marked).otherwise(F.split(norm, " "))
+
+
 def punctuation_pieces(pretoken: Column) -> Column:
     """Pre-token cut around its runs of punctuation and symbols."""
     return F.regexp_extract_all(pretoken, F.lit(PUNCTUATION_PIECES), F.lit(0))

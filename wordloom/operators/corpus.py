@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.script import aksharas
-from wordloom.functions.text import META, count_words, normalized, pretokens, punctuation_pieces, unit_hash
+from wordloom.functions.text import META, bare_pretokens, count_words, normalized, pretokens, punctuation_pieces, unit_hash
 from wordloom.operators.prefix import ranged, with_offsets
 
 MICRO = 1_000_000
@@ -18,10 +18,12 @@ MICRO = 1_000_000
 
 def word_counts(corpus: DataFrame, keys: tuple[str, ...] = ("lang", "source"), form: str | None = "NFC", punctuation: bool = False, text_col: str = "text") -> DataFrame:
     """(*keys, word, n): occurrences of each pre-token; with punctuation, of its pieces."""
-    words = pretokens(normalized(F.col(text_col), form))
+    norm = normalized(F.col(text_col), form)
     if punctuation:
-        words = F.flatten(F.transform(words, punctuation_pieces))
-    return corpus.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+        pieces = F.flatten(F.transform(pretokens(norm), punctuation_pieces))
+        return corpus.select(*keys, F.explode(pieces).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    counted = corpus.select(*keys, F.explode(bare_pretokens(norm)).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    return counted.select(*keys, F.concat(F.lit(META), "word").alias("word"), "n")
 
 
 def weighted_counts(counts: DataFrame, weights: DataFrame, on: tuple[str, ...] = ("lang", "source")) -> DataFrame:

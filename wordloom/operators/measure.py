@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions.script import aksharas, bad_splits, boundaries
 from wordloom.functions.text import count_words, normalized, pretokens, truncated_ratio
 from wordloom.operators.bpe import UNKNOWN, segment_words
+from wordloom.operators.corpus import word_counts
 
 
 def violations(word: Column, tokens: Column) -> Column:
@@ -27,7 +28,7 @@ def evaluate(corpus: DataFrame, merges: list[tuple[str, str]], keys: tuple[str,
     Distinct words are segmented once; their token counts are joined back to the counts per group. Words are counted on
     the text itself. fertility is null for a group without a word.
     """
-    each = corpus.select(*keys, F.explode(pretokens(normalized(F.col(text_col)))).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    each = word_counts(corpus, keys, text_col=text_col)
     cut = segment_words(each.select("word").distinct(), merges, alphabet, byte_fallback)
     bad = violations(F.col("word"), F.col("tokens")) if check_aksharas else F.lit(0)
     sized = cut.select("word", F.size("tokens").alias("t"), F.size(F.filter("tokens", lambda x: x == UNKNOWN)).alias("u"), bad.alias("v"))

@@ -45,3 +45,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a copy in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's rows per Arrow batch to `rows`: batches of whole texts are then a few megabytes on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
