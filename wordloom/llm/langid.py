@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.session import bounded_batches
+
 BINS = 4096
 CENTROIDS = 4
 #: Bound of the sample that k-means reads, per language.
@@ -111,6 +113,7 @@ def _cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> Model:
     """Learn from the rows with a text and a lang. Only the centroids' sample is bounded: the texts of each language with
     the smallest hash of order_col, at most `sample` of them. No usable row: a model that knows no language."""
+    bounded_batches(train.sparkSession)
     rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(order_col).cast("string")).alias("h"))
     found = {r["bin"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     n = found.get(-1, 0)

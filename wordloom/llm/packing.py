@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.ranking import with_offsets
-from wordloom.session import checkpointed
+from wordloom.session import bounded_batches, checkpointed
 
 CAPACITY = 2048
 END_ID = 0
@@ -93,6 +93,8 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and END_ID, cut at the capacity."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer_path).many, END_ID.to_bytes(4, "little")
         for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.session import checkpointed
+from wordloom.session import bounded_batches, checkpointed
 
 FEATURES = 256
 RIDGE = 1e-2
@@ -67,6 +67,7 @@ def _statistics_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, stats) of each row."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_statistics_batches, "doc_id long, stats array<double>")
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.session import checkpointed
+from wordloom.session import bounded_batches, checkpointed
 
 MAX_DIFFERENCES = 3
 NODE_MEMBERS = 1 << 16
@@ -60,6 +60,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of each row; fp is the fingerprint as a signed long."""
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 

@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.session import bounded_batches
+
 LEAF = 64
 _CACHED = 1 << 18
 #: The word splitting of the byte-level tokenizer file (public, in its format's description). It looks one character
@@ -164,6 +166,7 @@ class Tree:
 
 def _mapped(docs: DataFrame, made: list[tuple[str, pa.DataType, str]], run) -> DataFrame:
     """docs with further columns in front; run(row values by name) gives them."""
+    bounded_batches(docs.sparkSession)
     names = docs.columns
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
