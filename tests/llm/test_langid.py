@@ -31,3 +31,22 @@ def test_unknown_nulls_and_empty(spark):
     assert all((r.lang_pred == "und") == (not any(map(str.isalpha, text.get(r.doc_id, "the") or ""))) for r in got)
     assert langid.language_id(docs.where("false")).collect() == []
     assert {r.lang_pred for r in langid.language_id(docs.withColumn("lang", docs.lang.substr(9, 1)).where("text is null")).collect()} == {"und"}
+
+
+def test_short_clean_texts_are_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) < 40 or doc_id < 1500")
+    rows = langid.language_id(docs).where("rejected").collect()
+    assert len(rows) <= 2
+
+
+def test_a_text_like_no_language_is_rejected():
+    rng = np.random.default_rng(0)
+    idf = np.ones(langid.BINS)
+    centre = np.zeros(langid.BINS)
+    known = langid.counts("the cat sat on the mat and the dog ran off with the hat")
+    centre[known > 0] = 1
+    centre /= np.linalg.norm(centre)
+    floors = langid._floors(["the cat sat on the mat and the dog ran off with the hat"], idf, centre[None, :])
+    model = langid.Model(idf, centre[None, :].astype(np.float32), ["en"], floors[None, :])
+    assert not model.predict("the cat")[2]
+    assert model.predict("".join(chr(c) for c in rng.integers(0x4E00, 0x9F00, 200)))[2]

@@ -2,8 +2,8 @@
 
 A text becomes a normalised TF-IDF vector of hashed n-grams (one to three letters of the lower-cased text, and whole
 words). Spherical k-means clusters a bounded sample of each language; a text takes the language of the centroid with the
-highest cosine, and is rejected if even that one is further away than the training texts of its language ever are.
-Document frequencies cover all training rows.
+highest cosine, and is rejected if even that one is further away than texts of its language ever are that have about as
+many distinct n-grams: short texts are far from any centroid. Document frequencies cover all training rows.
 """
 
 from collections.abc import Iterator
@@ -20,8 +20,11 @@ BINS = 4096
 CENTROIDS = 4
 #: Bound of the sample that k-means reads, per language.
 SAMPLE_PER_LANGUAGE = 512
-#: A text is rejected if its best cosine is below this share of the lowest one in its language's sample.
-REJECT_SHARE = 0.5
+#: A text is rejected if its best cosine is below this share of the lowest one among its language's sample texts, and
+#: their beginnings of EXCERPTS characters, with as many distinct n-grams by powers of two.
+REJECT_SHARE = 0.35
+EXCERPTS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
+_CLASSES = BINS.bit_length()
 UNKNOWN = "und"
 _PIECE = 1 << 20
 _LETTERS: np.ndarray | None = None
@@ -59,6 +62,24 @@ def counts(text: str | None) -> np.ndarray | None:
     return out if some else None
 
 
+def _size_class(count: np.ndarray) -> int:
+    return int(np.count_nonzero(count)).bit_length() - 1
+
+
+def _floors(texts: list[str], idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Lowest accepted cosine per size class; a class that no text or excerpt falls into takes that of the next smaller."""
+    lowest = np.full(_CLASSES, np.inf)
+    for text in texts:
+        for cut in (*EXCERPTS, len(text)):
+            if cut <= len(text) and (count := counts(text[:cut])) is not None:
+                size = _size_class(count)
+                lowest[size] = min(lowest[size], float((centres @ vector(count, idf)).max()))
+    floor = 0.0
+    for k in range(_CLASSES):
+        floor = lowest[k] = lowest[k] * REJECT_SHARE if np.isfinite(lowest[k]) else floor
+    return lowest
+
+
 def vector(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     v = np.sqrt(count) * idf
     return v / (np.linalg.norm(v) or 1.0)
@@ -66,7 +87,8 @@ def vector(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Centroids are rows of unit length; langs and floors (lowest cosine that is accepted) go with them."""
+    """Centroids are rows of unit length; langs go with them, and floors: per centroid, the lowest cosine that is accepted
+    for a text of each size class."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -80,7 +102,7 @@ class Model:
             return UNKNOWN, 0.0, True
         cosine = self.centroids @ vector(count, self.idf).astype(np.float32)
         best = int(cosine.argmax())
-        return self.langs[best], float(min(1.0, max(0.0, cosine[best]))), bool(cosine[best] < self.floors[best])
+        return self.langs[best], float(min(1.0, max(0.0, cosine[best]))), bool(cosine[best] < self.floors[best, _size_class(count)])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +146,18 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_
     likely = rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.element_at(shares, F.col("lang")) * (1 << 30))
 
     def cluster(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        first = table.sort_by([("h", "ascending"), ("text", "ascending")]).slice(0, sample)
-        made = [counts(x.as_py()) for x in first.column("text")]
+        first = [x.as_py() for x in table.sort_by([("h", "ascending"), ("text", "ascending")]).slice(0, sample).column("text")]
+        made = [counts(x) for x in first]
         vectors = np.array([vector(c, idf) for c in made if c is not None])
         if not len(vectors):
-            return pa.table({"lang": [], "floor": [], "centre": []}, schema=pa.schema([("lang", pa.string()), ("floor", pa.float64()), ("centre", pa.binary())]))
+            return pa.table({"lang": [], "floors": [], "centre": []}, schema=pa.schema([("lang", pa.string()), ("floors", pa.binary()), ("centre", pa.binary())]))
         centres = _cluster(vectors, k)
-        floor = float((vectors @ centres.T).max(axis=1).min()) * REJECT_SHARE
-        return pa.table({"lang": [key[0].as_py()] * len(centres), "floor": [floor] * len(centres), "centre": [c.astype(np.float32).tobytes() for c in centres]})
+        floors = _floors(first, idf, centres).tobytes()
+        return pa.table({"lang": [key[0].as_py()] * len(centres), "floors": [floors] * len(centres), "centre": [c.astype(np.float32).tobytes() for c in centres]})
 
-    got = sorted(map(tuple, likely.select("lang", "text", "h").groupBy("lang").applyInArrow(cluster, "lang string, floor double, centre binary").collect()))
+    got = sorted(map(tuple, likely.select("lang", "text", "h").groupBy("lang").applyInArrow(cluster, "lang string, floors binary, centre binary").collect()))
     centroids = np.array([np.frombuffer(r[2], np.float32) for r in got]).reshape(-1, BINS)
-    return Model(idf, centroids, [r[0] for r in got], np.array([r[1] for r in got]))
+    return Model(idf, centroids, [r[0] for r in got], np.array([np.frombuffer(r[1]) for r in got]).reshape(-1, _CLASSES))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -1,35 +1,5 @@
-"""Ranks and running sums inside groups of any size: no group has to fit in one task."""
+"""Ranks and running sums inside groups of any size: the library's, under the name that the operators here use."""
 
-from __future__ import annotations
+from wordloom.operators.prefix import ranged, with_offsets
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from wordloom.session import checkpointed
-
-
-def ranged(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
-    """df cut into sorted ranges of `order`; the new column _chunk numbers the ranges in that order.
-
-    Put a unique-ish column last in `order`, so that a large group is cut too.
-    """
-    cols = [F.col(c) for c in order]
-    cut = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
-    return checkpointed(cut.sortWithinPartitions(*cols).withColumn("_chunk", F.spark_partition_id()))
-
-
-def with_offsets(df: DataFrame, group: list[str], order: list[str], value: Column, out: str) -> DataFrame:
-    """df (with _chunk) and `out`: the sum of value over all earlier rows of its group, by _chunk and then `order`.
-
-    Sums per (group, _chunk) come first; a window over those few rows gives each chunk its start, and a window inside
-    the chunk the rest. Null groups are groups.
-    """
-    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_g{i}") for i, c in enumerate(group)]
-    nulls = [F.col(c).isNull().alias(f"_n{i}") for i, c in enumerate(group)]
-    named = [f"_g{i}" for i in range(len(group))] + [f"_n{i}" for i in range(len(group))]
-    keyed = df.select("*", *keys, *nulls, value.alias("_value"))
-    inside = Window.partitionBy(*named, "_chunk").orderBy(*[F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*named).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy(*named, "_chunk").agg(F.sum("_value").alias("_sum")).select(*named, "_chunk", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_start"))
-    local = keyed.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    return local.join(starts, [*named, "_chunk"]).select(*df.columns, (F.col("_start") + F.col("_local")).cast("long").alias(out))
+__all__ = ["ranged", "with_offsets"]
