@@ -165,3 +165,9 @@ def test_streaming_counts_equal_batch_counts(spark, tmp_path):
     key = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert key(spark.table("running")) == key(running_counts(rows))
     assert all(r.fertility > 2 for r in fertility(running_counts(rows)).collect())
+
+
+def test_samples_and_links(spark):
+    assert readers.sampled(spark.range(50), 7, 1).count() == 7
+    pages = spark.createDataFrame([(1, '<a href="a"></a><a href="b"></a><a href="c"></a>')], "page_id long, html string")
+    assert [(r.place, r.target) for r in readers.page_links(pages, 2).collect()] == [(0, "a"), (1, "b")]

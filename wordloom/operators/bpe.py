@@ -109,7 +109,7 @@ def learn_merges(words: DataFrame, n_merges: int, config: tuple[str, ...] = (),
     own = [f for f in words.schema.fields if f.name in config]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), MERGES])
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key, group):
         group = group.sort_values("n", kind="stable")
         made = learned([(list(s), int(n)) for s, n in zip(group["symbols"], group["n"], strict=True)], n_merges)
         out = pd.DataFrame([(k, *m) for k, m in enumerate(made)], columns=["rank", "left", "right", "n"]).astype({"rank": "int32", "n": "int64"})

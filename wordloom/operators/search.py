@@ -130,7 +130,7 @@ def sweep(words: DataFrame, points: list[float], lang: str, n_merges: int) -> Da
     grid = spark.createDataFrame([(float(p),) for p in points], "weight double")
     every = words.select("lang", "word", F.col("n").cast("long").alias("n")).crossJoin(F.broadcast(grid))
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key, group):
         rows = list(zip(group["lang"], group["word"], group["n"], strict=True))
         langs = sorted(set(group["lang"]))
         got = bpe_trial(rows, n_merges)({x: key[0] if x == lang else 1.0 for x in langs})
@@ -144,7 +144,7 @@ def chains(words: DataFrame, seeds: list[int], trials: int, n_merges: int) -> Da
     spark = words.sparkSession
     every = words.select("lang", "word", F.col("n").cast("long").alias("n")).crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in seeds], "seed int")))
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key, group):
         rows = sorted(zip(group["lang"], group["word"], group["n"], strict=True))
         made = climb(bpe_trial(rows, n_merges), sorted(set(group["lang"])), trials, int(key[0]))
         return pd.DataFrame([(int(key[0]), r["trial"], r["spread"], r["sigma"], r["improved"]) for r in made], columns=["seed", "trial", "spread", "sigma", "improved"])

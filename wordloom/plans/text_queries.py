@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import html, script, text
 from wordloom.operators import corpus, measure
 from wordloom.session import table
+from wordloom.sources import readers
 
 WS29 = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WS25 = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -86,7 +87,7 @@ def script_of_words(spark, sf_dir):
 
 
 def page_links(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.slice(html.links(F.col("html")), 1, 50)).alias("place", "target"))
+    rows = readers.page_links(table(spark, sf_dir, "pages"), 50)
     return rows.select("page_id", F.col("place").cast("long").alias("place"), "target")
 
 

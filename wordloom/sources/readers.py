@@ -111,3 +111,15 @@ def weights(spark: SparkSession, path: str) -> DataFrame:
     pairs = rows.select(F.explode("weights").alias("key", "weight"))
     lang = F.regexp_extract("key", r"^(.*)\.[^.]*$", 1)
     return pairs.select(lang.alias("lang"), F.substring_index("key", ".", -1).alias("source"), F.round(F.col("weight") * 1_000_000).cast("bigint").alias("micro"))
+
+
+def sampled(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """n rows at random; the seed gives the same ones for the same partitioning."""
+    return rows.orderBy(F.rand(seed)).limit(n)
+
+
+def page_links(pages: DataFrame, limit: int = 5000) -> DataFrame:
+    """(page_id, place, target): the first `limit` links of each page, in order."""
+    from wordloom.functions.html import links
+
+    return pages.select("page_id", F.posexplode(F.slice(links(F.col("html")), 1, limit)).alias("place", "target"))
