@@ -259,7 +259,7 @@ ORACLES = {
     "alphabet_filter": f"with {_WORDS}, c as (select unnest(string_split(word, '')) as ch, n from w), bw as (select distinct unnest({sql_pretokens('text')}) as word from benchmark), b as (select distinct unnest(string_split(word, '')) as ch from bw), k as (select ch from c group by ch having sum(n) >= {FEW} union select ch from b), x as (select distinct word from (select word, unnest(string_split(word, '')) as ch from w) where ch not in (select ch from k)) select lang, count(*) as n_words, sum(n)::bigint as n from w where word not in (select word from x) group by lang",
     "base_vocabulary_ids": f"with {_WORDS}, c as (select distinct unnest(string_split(word, '')) as token from w) select 0::bigint as id, '<unk>' as token, 'special' as kind union all select row_number() over (order by token), token, 'char' from c",
     "adjacent_pair_counts": f"with {_WORDS}, {_MASS}, p as (select {_PAIRS} as p, mass from x where length(word) > 1) select p[1] as \"left\", p[2] as \"right\", sum(mass)::bigint as mass from p group by 1, 2 order by mass desc, 1, 2 limit 100",
-    "top_pairs_per_lang": f"with {_WORDS}, p as (select lang, {_PAIRS} as p, n from w where length(word) > 1), s as (select lang, p[1] as \"left\", p[2] as \"right\", sum(n)::bigint as n from p group by 1, 2, 3) select lang, row_number() over (partition by lang order by n desc, \"left\", \"right\") as rank, \"left\", \"right\", n from s qualify rank <= 5",
+    "top_pairs_per_lang": f"with {_WORDS}, p as (select lang, {_PAIRS} as p, n from w where length(word) > 1), s as (select lang, p[1] as \"left\", p[2] as \"right\", sum(n)::bigint as n from p group by 1, 2, 3) select lang, (row_number() over (partition by lang order by n desc, \"left\", \"right\"))::int as rank, \"left\", \"right\", n from s qualify rank <= 5",
     "bpe_merges_first_n": f"{_RECURSIVE} select * from m",
     "bpe_merges_relational": f"with recursive {_WORDS}, {_learned(5)} select * from m",
     "bpe_vocabulary": f"{_RECURSIVE}, {_BASE} select * from v",

@@ -80,7 +80,7 @@ _BEST = "b as (select * from r qualify row_number() over (partition by stage ord
 ORACLES = {
     "ledger_best_per_stage": f"with {SQL}, {_BEST}, c as (select stage, count(*) as runs, count(distinct tokenizer) as tokenizers from r group by stage) select b.stage, id, spread, runs, tokenizers from b join c using (stage)",
     "ledger_best_with_heldout": f"with {SQL}, {_BEST} select b.stage, b.id, b.spread, b.key, coalesce((select arg_max(heldout, seq) from r where r.stage = b.stage and r.key = b.key and heldout is not null), (select arg_max(heldout, seq) from r where r.stage = b.stage and heldout is not null)) as held from b",
-    "ledger_trace_best_so_far": f"with {SQL}, t as (select row_number() over (order by time, id) as step, id, spread from r where stage in ('src1', 'src2', 'src3')) select step, id, spread, min(spread) over (order by step) as best from t where spread > 0",
+    "ledger_trace_best_so_far": f"with {SQL}, t as (select (row_number() over (order by time, id))::int as step, id, spread from r where stage in ('src1', 'src2', 'src3')) select step, id, spread, min(spread) over (order by step) as best from t where spread > 0",
     "ledger_elasticity": f"""with {SQL}, d as (select stage, seq, ln(fertility) - ln(lag(fertility) over w) as df, ln(weight) - ln(lag(weight) over w) as dw from r where lang = 'es' window w as (partition by stage order by seq)),
 e as (select stage, seq, case when abs(dw) > 1e-3 then df / dw end as raw from d), u as (select *, list(case when raw > -2 and raw < -0.005 then raw end) over (partition by stage order by seq) as past from e)
 select stage, seq, round(raw, 6) as raw, round(list_reduce(list_prepend(-0.15::double, list_filter(past, lambda x: x is not null)), lambda s, x: s * 0.5 + x * 0.5), 6) as smoothed from u""",

@@ -193,7 +193,7 @@ HTML_ALL = sql_clean(_HTML)
 
 
 def _values(rows, names: str) -> str:
-    quote = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    quote = lambda x: f"{x}::bigint" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
     return f"select * from (values {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) as v({names})"
 
 
