@@ -76,3 +76,19 @@ def test_nulls_repeats_empty(spark, forest):
     docs = spark.createDataFrame([(1, None, 0), (1, None, 0), (None, "", 0)], "doc_id long, text string, spans int")
     assert sorted((r.n_candidates, r.n_secrets, r.top_score, r.spans) for r in secrets.secret_scan(docs, forest).collect()) == [(0, 0, 0.0, "")] * 3
     assert secrets.secret_scan(docs.where("false"), forest).collect() == []
+
+
+def test_key_names_that_are_candidates(spark, forest):
+    token = "1eb9c654e721b4f812088970e66a6345cee33dd6"
+    texts = [f'x API_KEY_V2="{token}" y', f"x s3_secret_key = {token} y", f"x oauth2_token: {token} y", f"{'customer_account_12 ' * 5}s3_secret_key = {token}"]
+    rows = secrets.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forest).collect()
+    assert {r.doc_id: r.spans for r in rows} == {i: f"{t.index(token)}:{t.index(token) + 40}" for i, t in enumerate(texts)}
+
+
+def test_left_context_is_that_of_the_text(spark, forest, monkeypatch):
+    text = "é" * 90 + " " + "ab1cdefg " * 9 + "x" * 70 + "1 k=ab12cd34 " + "ab1cdefg." * 12
+    monkeypatch.setattr(secrets, "features", lambda token, left, right: F.array(F.xxhash64(left).cast("double")))
+    monkeypatch.setattr(secrets.Forest, "score", lambda self, f: f[0])
+    rows = secrets.scan(spark.createDataFrame([(text,)], "text string"), forest).select(F.explode("_findings").alias("f")).select("f.start", "f.score")
+    want = spark.createDataFrame([(a, text[max(0, a - secrets.CONTEXT) : a]) for a, _ in plain_candidates(text)], "start int, left string").select("start", F.xxhash64("left").cast("double").alias("score"))
+    assert rows.count() == want.count() and rows.exceptAll(want).count() == 0

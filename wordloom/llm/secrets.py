@@ -21,6 +21,7 @@ from wordloom.session import checkpointed
 _TOKEN = "[A-Za-z0-9+/_-]"
 CANDIDATE = f"(?<!{_TOKEN})(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_TOKEN}{{8,}}+"
 CONTEXT = 64
+BEFORE = CONTEXT // 8  # so many candidates fill a context
 FEATURES = ("length", "transitions", "digits", "uppers", "distinct", "dictionary", "hexadecimal", "assigned", "plain_word", "path", "prefix", "repeat", "quoted")
 #: Dictionary of words that identifiers and prose are made of.
 WORDS = (
@@ -203,17 +204,18 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: str
     kind = "array<struct<start:int,end:int,token:string,score:double,secret:boolean>>"
 
     def scored(tokens: Column, between: Column) -> Column:
-        def build(starts: Column) -> Column:
+        def build(starts: Column, tails: Column) -> Column:
             def one(token: Column, i: Column) -> Column:
-                left = F.right(between[i], F.lit(CONTEXT))
+                left = F.right(F.array_join(F.slice(tails, F.greatest(i * 2 + 1 - 2 * BEFORE, F.lit(1)), F.least(i * 2 + 1, F.lit(2 * BEFORE + 1))), ""), F.lit(CONTEXT))
                 f = features(token, left, F.substring(between[i + 1], 1, 16))
                 start = starts[i * 2 + 1]
                 return let(f, lambda f: let(forest.score(f), lambda s: F.struct(start.alias("start"), (start + F.length(token)).alias("end"), token.alias("token"), s.alias("score"), (s >= threshold).alias("secret"))))
 
             return F.transform(tokens, one)
 
-        lengths = F.flatten(F.zip_with(between, F.concat(tokens, F.array(F.lit(""))), lambda b, m: F.array(F.length(b), F.length(m))))
-        return let(running(lengths), build)
+        pieces = F.flatten(F.zip_with(between, F.concat(tokens, F.array(F.lit(""))), lambda b, m: F.array(b, m)))
+        lengths, ends = F.transform(pieces, F.length), F.transform(pieces, lambda p: F.right(p, F.lit(CONTEXT)))
+        return let(running(lengths), lambda starts: let(ends, lambda tails: build(starts, tails)))
 
     def both(tokens: Column) -> Column:
         return let(F.split(text, CANDIDATE, -1), lambda b: F.struct(scored(tokens, b).alias("findings"), b.alias("between")))
