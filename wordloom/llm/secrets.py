@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 from wordloom.llm.native import let, running
 from wordloom.session import checkpointed
 
-#: Runs of token characters with a digit and a letter; each run is looked at once, whatever its length.
 _TOKEN = "[A-Za-z0-9+/_-]"
-CANDIDATE = f"(?<!{_TOKEN})(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_TOKEN}{{8,}}+"
 CONTEXT = 64
-BEFORE = CONTEXT // 8  # so many candidates fill a context
-FEATURES = ("length", "transitions", "digits", "uppers", "distinct", "dictionary", "hexadecimal", "assigned", "plain_word", "path", "prefix", "repeat", "quoted")
+BEFORE = CONTEXT // 2  # so many candidates with what is between them fill a context
+FEATURES = ("length", "transitions", "digits", "uppers", "distinct", "dictionary", "hexadecimal", "assigned", "plain_word", "path", "prefix", "repeat", "quoted", "symbols", "literal")
 #: Dictionary of words that identifiers and prose are made of.
 WORDS = (
     "access account action address admin alpha api app archive area article asset auth author backup bank base batch beta block blog board body book box branch browser bucket build button cache "
@@ -40,7 +38,18 @@ WORDS = (
 KEYWORD = "(?i)(password|passwd|pwd|passphrase|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer|signature)"
 _ASSIGNED = KEYWORD + "[\"'A-Za-z0-9_. -]{0,16}(?:[:=]{1,2}|=>|\\bis\\b|\\bbearer\\b)[ \\t]*[\"'`(]?$"
 _PLAIN_WORD = "(?i)(commit|revision|sha-?1|sha-?256|md5|checksum|digest|etag|uuid|guid|build|version|release|example|sample|dummy|placeholder|fixture|session id|order|invoice|isbn|serial|model|part no)[\"': #=.()-]*[\"'`]?$"
+_LITERAL = "(?i)^(null|none|nil|true|false|undefined|empty|required|optional|string|str|bytes|yes|no|on|off|enabled|disabled|hidden|redacted|missing|invalid|expired|unknown|default|todo)$|^[$%<{\\[]|[.(\\[*]{3}|^[a-z_]+[.(\\[][a-z_]"
 _PREFIX = "^(AKIA|ASIA|ghp_|gho_|ghs_|sk_live_|rk_live_|sk-|xox[abp]-|AIza|glpat-|npm_|eyJ)"
+#: The value after a key word and : or =, in quotes up to the closing one, else up to a blank, a quote or the next name,
+#: without closing punctuation. The short looks back come first, as they fail at once in prose.
+_GIVEN = KEYWORD + "[\"'A-Za-z0-9_. -]{0,16}(?:=>|[:=]{1,2})[ \t]{0,4}"
+_VALUE = "(?![=:>])(?=[^\\s\"'`]{4})(?:[^\\s\"'`.,;:&?)\\]}>]++|(?![,;&][A-Za-z_.-]{1,32}+ ?[=:])[.,;:&?)\\]}>]++(?=[^\\s\"'`.,;:&?)\\]}>]))++"
+_QUOTED = [f"(?<={_GIVEN}{q})[^{q}\\r\\n]{{4,}}+(?={q})" for q in "\"'`"]
+_GIVEN_VALUE = f"(?<=[:=> \\t\"'`(])(?<=[:=>][ \\t]{{0,4}}[\"'`(]?)(?:{'|'.join(_QUOTED)}|(?<={_GIVEN}[\"'`(]?){_VALUE})"
+_ISSUED = f"(?<!{_TOKEN})(?:{_PREFIX[2:-1]}){_TOKEN}{{12,}}+"
+#: Given values, issued keys, and runs of token characters with a digit and a letter; each run is looked at once, whatever
+#: its length.
+CANDIDATE = f"{_GIVEN_VALUE}|{_ISSUED}|(?<!{_TOKEN})(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_TOKEN}{{8,}}+"
 
 
 def features(token: Column, left: Column, right: Column) -> Column:
@@ -70,14 +79,17 @@ def features(token: Column, left: Column, right: Column) -> Column:
         flag(token.rlike(_PREFIX)),
         flag(token.rlike("(.)\\1{3}|(?i)1234|abcd|xxx|qwert")),
         flag(left.rlike("[\"'`]$") & right.rlike("^[\"'`]")),
+        gone("[^A-Za-z0-9+/_ -]"),
+        flag(token.rlike(_LITERAL)),
     )
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000, seed: str = "findings") -> DataFrame:
     """(token, left, right, label): findings whose label is known from how they were made, the same ones every time.
 
-    Secrets are random keys in assignments, in quotes or bare with an issuer's prefix; false positives are checksums,
-    commit ids, UUIDs, versions, paths, slugs, identifiers of dictionary words and placeholders.
+    Secrets are random keys and passwords in assignments, in quotes or bare with an issuer's prefix; false positives are checksums,
+    commit ids, UUIDs, versions, paths, slugs, identifiers of dictionary words, placeholders,
+    literals, expressions and short words after a key word.
     """
     i = F.col("id").cast("string")
 
@@ -91,6 +103,9 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: str = "findings"
     def word(k: str) -> Column:
         return pick(k, list(WORDS))
 
+    def sound(k: str) -> Column:
+        return pick(k, ["cor", "rect", "hor", "bat", "ter", "mon", "pur", "lan", "dri", "vok", "kel", "tis", "hun", "pas", "swor", "gib", "rin", "fal", "zup", "mel"])
+
     def mixed(k: str, size: int) -> Column:
         return F.substring(F.regexp_replace(F.base64(F.unhex(F.concat(h(k), h(k + "'")))), "[+/=]", ""), 1, size)
 
@@ -125,12 +140,25 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: str = "findings"
         (F.concat(pick("y", ["your-", "my-", "example-", "changeme", "xxxxxxxx", "test-"]), word("a"), pick("z", ["1", "123", "1234", "0000"])), F.concat(prose, key, glue), end, 0),
         (F.concat(word("a"), word("b"), digits), prose, no, 0),
         (hexed("a", 12), prose, no, 0),
+        (F.concat(F.initcap(sound("a")), pick("s1", ["@", "0", "$", "3", "1"]), sound("b"), pick("s2", ["!", "#", "!x", "9!", "?z", "*"])), F.concat(prose, key, glue), end, 1),
+        (F.concat(sound("a"), pick("s1", ["3", "0", "1", "4"]), sound("b"), pick("s2", ["2", "7", "x9", "42"])), F.concat(prose, key, glue), end, 1),
+        (F.concat(*[sound(k) for k in "abcde"], pick("s2", ["", "ver", "pol"])), F.concat(prose, key, glue), end, 1),
+        (F.concat_ws(" ", *[F.concat(sound(k), sound(k + "'")) for k in "abc"]), F.concat(prose, key, pick("glue", [' = "', '="', '": "'])), F.lit('"'), 1),
+        (F.substring(F.regexp_replace(h("n"), "[a-f]", ""), 1, 9), F.concat(prose, key, glue), end, 1),
+        (F.concat(F.lit("AKIA"), F.substring(F.regexp_replace(upper, "[0-9]", ""), 1, 16)), prose, pick("end", ["", " ", "\n", ".", ","]), 1),
+        (F.concat(pick("pre", ["npm_", "sk-", "ghp_"]), word("a"), pick("j", ["_", "-"]), word("b"), pick("j", ["_", "-"]), word("c")), prose, no, 0),
+        (pick("v", ["null", "None", "true", "false", "required", "string", "undefined", "redacted", "********", "enabled", "optional", "invalid"]), F.concat(prose, key, glue), end, 0),
+        (F.concat(pick("v", ["$", "${", "<", "{{", "os.environ.", "settings.", "self.", "getenv("]), word("a"), F.lit("_"), word("b")), F.concat(prose, key, glue), end, 0),
+        (F.concat(word("a"), pick("z", ["", "s"])), F.concat(prose, key, glue), end, 0),
+        (F.concat(sound("a"), sound("b")), F.concat(prose, key, glue), end, 0),
+        (F.concat_ws(" ", word("a"), word("b"), word("c")), F.concat(prose, key, pick("glue", [' = "', '="', '": "'])), F.lit('"'), 0),
     ]
     made = None  # a small plan per case: one for all would be too large to compile
     for k, (token, left, right, label) in enumerate(cases):
         part = spark.range(k, n, len(cases), 1).select(token.alias("token"), left.alias("left"), right.alias("right"), F.lit(label).alias("label"))
         made = part if made is None else made.unionByName(part)
-    return made.where(F.col("token").rlike(f"^{_TOKEN}{{8,}}$") & F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]"))
+    run = F.col("token").rlike(f"^{_TOKEN}{{8,}}$") & F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")
+    return made.where((F.length("token") >= 4) & (run | F.col("left").rlike(_ASSIGNED) | F.col("token").rlike(_PREFIX)))
 
 
 @dataclass(frozen=True)
