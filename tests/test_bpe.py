@@ -149,3 +149,10 @@ def test_vocabulary_skips_products_that_exist(spark):
     merges = spark.createDataFrame([(0, "a", "b", 5), (1, "b", "b", 4), (2, "b", "a", 3)], bpe.MERGES)
     rows = bpe.vocabulary(base, merges, size=5).orderBy("id").collect()
     assert [(r.id, r.token, r.kind) for r in rows] == [(0, "<unk>", "special"), (1, "a", "char"), (2, "b", "char"), (3, "ab", "char"), (4, "bb", "learned")]
+
+
+def test_least_bounds_pairs_and_keeps_rare_words(spark):
+    words = [(f"ab{chr(99 + k)}", 1) for k in range(5)] + [("xy", 3), ("zw", 2)]
+    rows = bpe.learn_merges(spark.createDataFrame(words, "word string, n long"), 10, least=3).orderBy("rank").collect()
+    want = [m for m in plain_merges(words, 10) if m[2] >= 3]
+    assert [(r.left, r.right, r.n) for r in rows] == want == [("a", "b", 5), ("x", "y", 3)]

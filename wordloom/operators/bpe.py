@@ -101,17 +101,17 @@ MERGES = "rank int, left string, right string, n long"
 def learn_merges(words: DataFrame, n_merges: int, config: tuple[str, ...] = (), least: int = 1, value: str = "n") -> DataFrame:
     """(*config, rank, left, right, n): merges of each configuration's distinct words (word or symbols, and a whole count).
 
-    A group is one configuration's vocabulary, not its corpus; least bounds it from below by count where it would not fit
-    a worker. Configurations run in parallel.
+    A group is one configuration's vocabulary, not its corpus, and holds every word; learning ends at the first pair whose
+    count is below least. Configurations run in parallel.
     """
     symbols = F.col("symbols") if "symbols" in words.columns else F.filter(F.split("word", ""), lambda c: c != "")
-    narrow = words.select(*config, symbols.alias("symbols"), F.col(value).cast("long").alias("n")).where(F.col("n") >= least)
+    narrow = words.select(*config, symbols.alias("symbols"), F.col(value).cast("long").alias("n")).where("n > 0")
     own = [f for f in words.schema.fields if f.name in config]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), MERGES])
 
     def run(key, group):
         group = group.sort_values("n", kind="stable")
-        made = learned([(list(s), int(n)) for s, n in zip(group["symbols"], group["n"], strict=True)], n_merges)
+        made = learned([(list(s), int(n)) for s, n in zip(group["symbols"], group["n"], strict=True)], n_merges, least)
         out = pd.DataFrame([(k, *m) for k, m in enumerate(made)], columns=["rank", "left", "right", "n"]).astype({"rank": "int32", "n": "int64"})
         for k, name in enumerate(config):
             out.insert(k, name, key[k])

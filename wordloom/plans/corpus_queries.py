@@ -167,7 +167,7 @@ def flat_token_ids(spark, sf_dir):
 
 
 def bpe_merges_full(spark, sf_dir):
-    """500 merges per language over words of at least three occurrences, languages side by side."""
+    """Up to 500 merges per language over all words, of pairs of at least three occurrences, languages side by side."""
     return bpe.learn_merges(_counts(spark, sf_dir), 500, config=("lang",), least=3)
 
 
