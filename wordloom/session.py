@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,6 +22,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_mem
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", driver_memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -32,13 +38,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; only where it is unset, make an own one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints and scratch tables: the one set on the context, else the one that spark.checkpoint.dir
+    names. A local session without either gets a folder of its own, which goes when the process ends; on a cluster that
+    is an error, as a machine-local folder would be lost with its machine."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wordloom-checkpoint-"))
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="wordloom-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -47,9 +62,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lower the session's rows per Arrow batch to `rows`: batches of whole texts are then a few megabytes on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder for a table that is read more than once; it is deleted when the
+    application ends, or earlier by dropped()."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, where = _files(spark, folder)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{folder}/table"
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    files, where = _files(spark, path)
+    files.delete(where, True)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, a bounded number at a time, without copies; Spark itself bounds a batch by bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
