@@ -46,7 +46,14 @@ def test_a_text_like_no_language_is_rejected():
     known = langid.counts("the cat sat on the mat and the dog ran off with the hat")
     centre[known > 0] = 1
     centre /= np.linalg.norm(centre)
-    floors = langid._floors(["the cat sat on the mat and the dog ran off with the hat"], idf, centre[None, :])
+    floors = langid._floors(["the cat sat on the mat and the dog ran off with the hat"], [known], idf, centre[None, :])
     model = langid.Model(idf, centre[None, :].astype(np.float32), ["en"], floors[None, :])
     assert not model.predict("the cat")[2]
     assert model.predict("".join(chr(c) for c in rng.integers(0x4E00, 0x9F00, 200)))[2]
+
+
+def test_null_ids_and_very_long_texts_do_not_swell_the_sample(spark):
+    rows = [(None, "the cat sat on the mat " * 3, "en")] * 400 + [(None, f"the dog {i} ran off with a hat and came home", "en") for i in range(60)] + [(i, "le chat est sur la table avec un chien " * 2000, "fr") for i in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=16)
+    assert sorted(set(model.langs)) == ["en", "fr"] and model.langs.count("fr") <= langid.CENTROIDS
+    assert model.predict("the cat and the dog")[0] == "en" and model.predict("le chat est la")[0] == "fr"

@@ -87,3 +87,21 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert [(r[0], r[2]) for r in got if r[1] == "0" * 16] == [(3, 3), (3, 3), (5, 3)]
     assert {r[2] for r in got if r[0] in (9, None)} == {9, None}
     assert simhash.simhash_components(docs.where(F.lit(False))).collect() == []
+
+
+def test_first_documents_keep_a_row_of_each_component(spark):
+    rows = [(5, "alpha beta gamma", "x"), (5, "quite another text here", "x"), (3, "alpha beta gamma", "y"), (3, "alpha beta gamma", "x"), (None, "no id at all", "z"), (None, "no id at all", "z"), (None, "alpha beta gamma", "z"), (9, None, "n"), (8, "", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("h", F.lit(1)).withColumn("_hot", F.lit(2))
+    made = simhash.first_documents(docs.repartition(5))
+    assert made.columns == docs.columns
+    got = {(r.doc_id, r.text, r.row) for r in made.collect()}
+    assert got == {(3, "alpha beta gamma", "x"), (5, "quite another text here", "x"), (None, "no id at all", "z"), (8, "", "n")} and made.count() == 4
+    assert simhash.first_documents(docs.where("false")).collect() == []
+
+
+def test_hot_fingerprints_are_looked_up_alike(spark, monkeypatch):
+    rows = [(i, "same words in every one" if i % 3 else f"text number {i} stands alone {i * i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, simhash.simhash_components(docs).collect()))
+    monkeypatch.setattr(simhash, "HOT", 8)
+    assert sorted(map(tuple, simhash.simhash_components(docs).collect())) == want and len(want) == 300

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.session import bounded_batches
+from wordloom.session import slices
 
 BINS = 4096
 CENTROIDS = 4
@@ -66,14 +66,13 @@ def _size_class(count: np.ndarray) -> int:
     return int(np.count_nonzero(count)).bit_length() - 1
 
 
-def _floors(texts: list[str], idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def _floors(heads: list[str], whole: list[np.ndarray], idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Lowest accepted cosine per size class; a class that no text or excerpt falls into takes that of the next smaller."""
     lowest = np.full(_CLASSES, np.inf)
-    for text in texts:
-        for cut in (*EXCERPTS, len(text)):
-            if cut <= len(text) and (count := counts(text[:cut])) is not None:
-                size = _size_class(count)
-                lowest[size] = min(lowest[size], float((centres @ vector(count, idf)).max()))
+    cuts = (counts(head[:cut]) for head in heads for cut in EXCERPTS if cut <= len(head))
+    for count in (*(c for c in cuts if c is not None), *whole):
+        size = _size_class(count)
+        lowest[size] = min(lowest[size], float((centres @ vector(count, idf)).max()))
     floor = 0.0
     for k in range(_CLASSES):
         floor = lowest[k] = lowest[k] * REJECT_SHARE if np.isfinite(lowest[k]) else floor
@@ -117,6 +116,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BINS)), pa.array(np.r_[n, found])], ["bin", "n"])
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, h, head, counts) of rows (text, lang, h) whose text has a letter: what clustering needs, of bounded size."""
+    for batch in slices(batches):
+        made = [(lang.as_py(), h.as_py(), text.as_py()[: EXCERPTS[-1]], c.astype(np.uint32).tobytes()) for text, lang, h in zip(*batch.columns, strict=True) if (c := counts(text.as_py())) is not None]
+        cols = zip(*made, strict=True) if made else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["lang", "h", "head", "counts"])
+
+
 def _cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means, started from texts that are far from each other; always the same for the same rows."""
     chosen = [int((vectors @ vectors.mean(axis=0)).argmax())]
@@ -134,28 +141,30 @@ def _cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> Model:
     """Learn from the rows with a text and a lang. Only the centroids' sample is bounded: the texts of each language with
-    the smallest hash of order_col, at most `sample` of them. No usable row: a model that knows no language."""
-    bounded_batches(train.sparkSession)
-    rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(order_col).cast("string")).alias("h"))
+    the smallest hash of order_col (of the text, where that is null), at most `sample` of them; rows that repeat the hash
+    count once. No usable row: a model that knows no language."""
+    key = F.when(F.col(order_col).isNotNull(), F.xxhash64(F.col(order_col).cast("string"))).otherwise(F.xxhash64(F.lit(1), F.col(text_col)))
+    rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), key.alias("h"))
     found = {r["bin"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     n = found.get(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([found.get(b, 0) for b in range(BINS)]))) + 1e-3
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as the model has languages
+    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # as many as the model has languages
     shares = F.create_map(*[F.lit(x) for lang, m in sorted(per_lang.items()) for x in (lang, min(1.0, 4.0 * sample / m))]) if per_lang else F.create_map(F.lit(""), F.lit(1.0))
-    # Only a few times the sample goes to the task of a language, however many rows it has.
+    # Only a few times the sample goes to the task of a language, however many rows it has and however long they are: what
+    # goes is a text's counts and beginning, and rows of equal key go once.
     likely = rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.element_at(shares, F.col("lang")) * (1 << 30))
+    small = likely.mapInArrow(_digests, "lang string, h long, head string, counts binary")
+    once = small.groupBy("lang", "h").agg(F.min(F.struct("head", "counts")).alias("d")).select("lang", "h", "d.head", "d.counts")
 
     def cluster(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        first = [x.as_py() for x in table.sort_by([("h", "ascending"), ("text", "ascending")]).slice(0, sample).column("text")]
-        made = [counts(x) for x in first]
-        vectors = np.array([vector(c, idf) for c in made if c is not None])
-        if not len(vectors):
-            return pa.table({"lang": [], "floors": [], "centre": []}, schema=pa.schema([("lang", pa.string()), ("floors", pa.binary()), ("centre", pa.binary())]))
+        first = table.sort_by([("h", "ascending")]).slice(0, sample)
+        made = [np.frombuffer(x.as_py(), np.uint32).astype(np.float64) for x in first.column("counts")]
+        vectors = np.array([vector(c, idf) for c in made])
         centres = _cluster(vectors, k)
-        floors = _floors(first, idf, centres).tobytes()
+        floors = _floors(first.column("head").to_pylist(), made, idf, centres).tobytes()
         return pa.table({"lang": [key[0].as_py()] * len(centres), "floors": [floors] * len(centres), "centre": [c.astype(np.float32).tobytes() for c in centres]})
 
-    got = sorted(map(tuple, likely.select("lang", "text", "h").groupBy("lang").applyInArrow(cluster, "lang string, floors binary, centre binary").collect()))
+    got = sorted(map(tuple, once.groupBy("lang").applyInArrow(cluster, "lang string, floors binary, centre binary").collect()))
     centroids = np.array([np.frombuffer(r[2], np.float32) for r in got]).reshape(-1, BINS)
     return Model(idf, centroids, [r[0] for r in got], np.array([np.frombuffer(r[1]) for r in got]).reshape(-1, _CLASSES))
 
@@ -167,7 +176,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [shared.value.predict(x.as_py()) for x in batch.column(names.index(text_col))]
             cols = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*cols, *batch.columns], ["lang_pred", "lang_score", "lang_rejected", *names])

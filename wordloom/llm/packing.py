@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.ranking import with_offsets
-from wordloom.session import bounded_batches, checkpointed
+from wordloom.operators.prefix import with_offsets
+from wordloom.session import checkpointed, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -92,12 +92,9 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and END_ID, cut at the capacity."""
-
-    bounded_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer_path).many, END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             ids, nth, start, length, crc = [], [], [], [], []
             texts = (x.as_py() or "" for x in batch.column(1))
             for doc_id, data in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
@@ -188,7 +185,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ready = checkpointed(cut.withColumn("_chunk", F.spark_partition_id()))
     histogram = {r["length"]: r["n"] for r in ready.groupBy("length").agg(F.count("*").alias("n")).collect()}
     shared = ready.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
-    ranked = with_offsets(ready, ["length"], ["doc_id", "piece"], F.lit(1), "_rank").drop("_chunk")
+    ranked = with_offsets(ready, ["length"], ["doc_id", "piece", "ids_crc32"] if "ids_crc32" in ready.columns else ["doc_id", "piece"], F.lit(1), "_rank").drop("_chunk")
     names = ranked.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +202,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the end id alone. Repeated rows are packed as often as they occur; a null id stays null; an
-    empty table gives no rows; other columns are not read.
+    A null or empty text is the end id alone; very long texts are cut into as many pieces as they need. Repeated rows are
+    packed as often as they occur, equal ones in any order; a null id stays null; an empty table gives no rows; other
+    columns are not read.
     """
     return pack(pieces(docs, tokenizer_path, capacity), capacity)

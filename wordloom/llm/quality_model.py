@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.session import bounded_batches, checkpointed
+from wordloom.session import checkpointed, slices
 
 FEATURES = 256
 RIDGE = 1e-2
@@ -60,14 +60,13 @@ def statistics(text: str | None) -> list[float]:
 
 
 def _statistics_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         made = np.array([statistics(x.as_py()) for x in batch.column(1)], np.float64).reshape(-1, len(STATISTICS))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(made), pa.list_(pa.float64()))], ["doc_id", "stats"])
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, stats) of each row."""
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_statistics_batches, "doc_id long, stats array<double>")
 
 
@@ -101,7 +100,8 @@ def _sums(make):
 
 
 def _summed(rows: DataFrame, make, ways: int = 16) -> np.ndarray | None:
-    """Sum of the partitions' parts: pooled in `ways` tasks, so that the driver gets at most that many."""
+    """Sum of the partitions' parts. At most 64 * ways parts arise, whatever the input's partitions; they are pooled in `ways`
+    tasks, so that the driver gets at most that many."""
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -112,7 +112,7 @@ def _summed(rows: DataFrame, make, ways: int = 16) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    parts = rows.mapInArrow(_sums(make), "part binary")
+    parts = rows.coalesce(64 * ways).mapInArrow(_sums(make), "part binary")
     got = sorted(bytes(r.part) for r in parts.repartition(ways).mapInArrow(pool, "part binary").collect())
     return sum(np.frombuffer(x) for x in got) if got else None
 

@@ -21,16 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.session import bounded_batches, checkpointed
+from wordloom.session import checkpointed, slices
 
 MAX_DIFFERENCES = 3
 NODE_MEMBERS = 1 << 16
 FAN_OUT = 8
 LEVELS = 4
 SALTS = 16
+#: A fingerprint of more than one in HOT of all rows is looked up by broadcast: fewer than HOT rows of 16 bytes.
+HOT = 1 << 16
 _CHUNK = 1 << 16
 _POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
@@ -52,17 +54,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, fp, extra columns) of each row; fp is the fingerprint as a signed long."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            prints = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint as a signed long."""
-    bounded_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
+    more = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[2:]]
+    return narrow.mapInArrow(run, ", ".join(["doc_id long", "fp long", *more]))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -242,7 +244,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    met = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))).join(least, ["a", "salt"])
+    met = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))).join(least.hint("merge"), ["a", "salt"])
     if large:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -267,6 +269,26 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _components_of(prints: DataFrame, limit: int) -> DataFrame:
+    """(fp, n, root): rows and component of each distinct fp."""
+    roots = components(near_links(prints, limit))
+    counted = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_id"))
+    return counted.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _looked_up(prints: DataFrame, known: DataFrame, value: str) -> DataFrame:
+    """prints with the value that known (fp, n, value) has for its fp, where fp may repeat in a third of all rows.
+
+    A fp with more than one in HOT of all rows is hot: there are fewer than HOT of those, so they are broadcast, and no
+    other fp brings more rows to a task than that share.
+    """
+    least = F.lit((prints.count() // HOT) + HOT)
+    hot = F.broadcast(known.where(F.col("n") > least).select("fp", F.struct(value).alias("_hot")))
+    met = prints.join(hot, "fp", "left")
+    cold = met.where("_hot is null").drop("_hot").join(known.where(F.col("n") <= least).select("fp", value).hint("merge"), "fp")
+    return met.where("_hot is not null").select(*prints.columns, F.col(f"_hot.{value}").alias(value)).unionByName(cold)
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_DIFFERENCES) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -275,10 +297,25 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Further columns of docs are not read.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col))
-    roots = components(near_links(prints, limit))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _components_of(prints, limit)
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = checkpointed(rooted.join(ids, "root").select("fp", "component_id"))
+    known = checkpointed(rooted.join(ids.hint("merge"), "root").select("fp", "n", "component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(known, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return _looked_up(prints, known, "component_id").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_DIFFERENCES) -> DataFrame:
+    """docs with one row of each component: the smallest id (null ids last), of rows that repeat it the smallest hash of the
+    text, and of rows that repeat both the smallest by the other columns. Columns, order and names are those of docs.
+
+    Equal rows meet in a partial aggregate before the shuffle, so that a large group of copies costs a row per task.
+    """
+    own, row = F.col(id_col).cast("long"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    content = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    prints = checkpointed(fingerprints(docs, id_col, text_col, (content.alias("h"),)))
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("h"))
+    best = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(rank).alias("best"))
+    roots = components(near_links(prints, limit)).withColumnRenamed("node", "fp")
+    first = best.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select("best.*")
+    keyed = docs.select(own.isNull().alias("late"), F.coalesce(own, F.lit(0)).alias("id"), content.alias("h"), row.alias("row"))
+    return keyed.groupBy("late", "id", "h").agg(F.min("row").alias("row")).join(first.hint("merge"), ["late", "id", "h"], "left_semi").select("row.*")

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.session import bounded_batches
+from wordloom.session import slices
 
 LEAF = 64
 _CACHED = 1 << 18
@@ -166,16 +166,13 @@ class Tree:
 
 def _mapped(docs: DataFrame, made: list[tuple[str, pa.DataType, str]], run) -> DataFrame:
     """docs with further columns in front; run(row values by name) gives them."""
-    bounded_batches(docs.sparkSession)
     names = docs.columns
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [run(dict(zip(names, row, strict=True))) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-                cols = [pa.array([r[k] for r in rows], t) for k, (_, t, _) in enumerate(made)]
-                yield pa.RecordBatch.from_arrays([*cols, *part.columns], [*(m[0] for m in made), *names])
+        for part in slices(it, 512):
+            rows = [run(dict(zip(names, row, strict=True))) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+            cols = [pa.array([r[k] for r in rows], t) for k, (_, t, _) in enumerate(made)]
+            yield pa.RecordBatch.from_arrays([*cols, *part.columns], [*(m[0] for m in made), *names])
 
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     return docs.mapInArrow(batches, ", ".join([*(f"`{n}` {s}" for n, _, s in made), *own]))
