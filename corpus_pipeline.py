@@ -6,14 +6,12 @@ next stage what they read again. Every stage works on all rows that its predeces
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import langid, mixing, packing, secrets, simhash
-from wordloom.session import ensure_checkpoint_dir, table
+from wordloom.session import dropped, scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +27,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest doc_id; of rows that repeat a
-    doc_id, one. Documents without a doc_id come after all others of their group."""
-    late = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), late))
-    first = simhash.simhash_components(keyed, id_col="_key").select(F.col("component_id").alias("_key")).distinct()
-    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    """Keeps one document of each group of near-duplicates: the smallest doc_id, of rows that repeat it the one whose text has
+    the smallest hash, and one of equal rows. Documents without a doc_id come after all others of their group."""
+    return simhash.first_documents(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,13 +60,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again; what the stage before left there goes as
+    soon as the next one has read it.
+
+    Null texts and languages go in the first stage, and so does everything of an empty table; null ids, sources and other
+    columns and very long texts pass all stages; repeated rows end in the second. Columns beyond those of documents are
+    dropped by the first stage.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
+            path = scratch(spark, f"stage{k}")
+            docs.write.parquet(path)
+            if before:
+                dropped(spark, before)
+            docs, before = spark.read.parquet(path), path
     return docs
