@@ -1,10 +1,13 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction that adds to them. Built-in functions only.
 
-The base finds e-mail addresses, IP addresses, card numbers and phone numbers. They are the seeds: what stands in front of
-an entity is a lexical pattern of its kind. Patterns and the identifiers that they extract form a bipartite graph, whose
-scores Spark works out in rounds: a pattern is worth the mean score of its instances times what its support earns, an
-instance outside the base as much as its best pattern. Patterns that end up with high confidence discover identifiers
-in looser spellings, which the base does not know.
+The base finds e-mail addresses, IP addresses, card numbers and phone numbers. They are the seeds. What stands around an
+entity induces lexical patterns: words in front of it, words behind it, and one of each. Anything that looks like an
+identifier at all, whatever its spelling, is a candidate and induces the same patterns. Patterns and the distinct values that
+they surround form a bipartite graph, which Spark scores in rounds: a pattern's confidence in a kind is the share of its
+values that belong to the kind, each weighted by its own score; a candidate that stands in a trusted pattern and can be of
+its kind takes the pattern's confidence as its score, and counts with that weight for all its other patterns in the next
+round. So candidates that seeds' patterns discover make new patterns trusted, which discover more. Trusted patterns add
+the candidates that they surround.
 """
 
 from __future__ import annotations
@@ -27,26 +30,25 @@ BASE = {
     "card": "[0-9](?:[ -]?[0-9])++",
     "phone": "\\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Looser spellings that a pattern of the same kind may discover.
-LOOSE = {
-    "email": "(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9._-]*+ ?[\\[(]? ?(?:at|AT) ?[\\])] ?[A-Za-z0-9-]++(?: ?[\\[(]? ?(?:dot|DOT|\\.) ?[\\])]? ?[A-Za-z]{2,})",
-    "ip": "(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Fa-f:])",
-    "card": "(?<![0-9.-])[0-9]{4}(?:[./ -][0-9]{4}){3}(?![0-9])",
-    "phone": "(?<![0-9+./-])(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-}
+_C = "[A-Za-z0-9@._%+:/()#\\[\\]-]"
+#: A candidate in any spelling: words joined by bracketed words, or a word with a digit or @ and the numbers that follow it.
+LOOSE = (
+    f"(?<![A-Za-z0-9@._%+-])(?![A-Za-z_]+[:=])(?:[A-Za-z0-9][A-Za-z0-9._-]{{0,63}}(?: ?[\\[({{][A-Za-z]{{2,3}}[\\])}}] ?[A-Za-z0-9-]{{1,63}}){{1,6}}"
+    f"|(?={_C}{{0,63}}[0-9@])[A-Za-z0-9+(]{_C}{{0,63}}(?<=[A-Za-z0-9)])(?: [(]?[0-9][0-9().-]{{0,30}}(?<=[0-9)])){{0,6}})"
+)
 #: A cheap test that a text can hold a match of the kind at all.
 HINT = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){13}", "phone": "\\+[0-9]"}
-LOOSE_HINT = {"email": "[\\[(] ?(?:at|AT)\\b|\\b(?:at|AT) ?[\\])]", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f:]", "card": "[0-9]{4}[./ -][0-9]{4}", "phone": "[0-9]{3}[) .-]+[0-9]{3}[ .-][0-9]{4}"}
-CONTEXT = 48
+LOOSE_HINT = "[0-9@]|[\\[({][A-Za-z]{2,3}[\\])}]"
+LEFT, RIGHT = 48, 32
 SALTS = 16
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Rounds of scoring, distinct seeds that a pattern needs, and the confidence from which it discovers."""
+    """Rounds at most, the weight of distinct values that a pattern needs, and the confidence from which it is trusted."""
 
-    rounds: int = 3
-    support: int = 3
+    rounds: int = 8
+    support: float = 3.0
     confidence: float = 0.8
 
 
@@ -74,82 +76,121 @@ def _holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-_SPAN = "array<struct<start:int,kind:int,end:int,base:boolean,left:string,value:string>>"
+def _fits(value: Column) -> Column:
+    """The kinds that a candidate can be of at all, as bits: by its digits, letters and separators, not by its spelling."""
+    digits, letters = F.length(_digits(value)), value.rlike("[A-Za-z]")
+    tests = (letters & value.rlike("[@\\[({]"), (digits >= 3) & (F.length(F.regexp_replace(value, "[^.:]", "")) >= 3), ~letters & digits.between(12, 19), ~letters & digits.between(7, 15))
+    return sum((F.when(t, 1 << k).otherwise(0) for k, t in enumerate(tests)), F.lit(0))
+
+
+_SPAN = "array<struct<start:int,kind:int,end:int,fits:int,left:string,right:string,value:string>>"
 
 
-def _found(text: Column, kind: str, base: bool) -> Column:
-    """Spans of one kind with what stands in front of them; nothing is worked out for a text without a hint."""
-    pattern = (BASE if base else LOOSE)[kind]
+def _found(text: Column, kind: str | None) -> Column:
+    """Spans of a kind of the base, or of candidates, with what stands around them; nothing is worked out for a text without
+    a hint. fits is -1 in spans of the base."""
+    pattern, hint = (BASE[kind], HINT[kind]) if kind else (LOOSE, LOOSE_HINT)
 
     def spans(matches: Column, between: Column) -> Column:
         def build(starts: Column) -> Column:
             def one(m: Column, i: Column) -> Column:
-                start = starts[i * 2 + 1]
-                left = F.when(F.length(between[i]) >= CONTEXT, F.right(between[i], F.lit(CONTEXT))).when(i == 0, between[i]).otherwise(F.right(F.concat(matches[F.greatest(i - 1, F.lit(0))], between[i]), F.lit(CONTEXT)))
-                return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(m)).alias("end"), F.lit(base).alias("base"), left.alias("left"), m.alias("value"))
-
-            made = F.transform(matches, one)
-            return F.filter(made, lambda s: _holds(kind, s["value"])) if base else made
+                start, before, after = starts[i * 2 + 1], between[i], between[i + 1]
+                left = F.when((F.length(before) >= LEFT) | (i == 0), before).otherwise(F.concat(matches[F.greatest(i - 1, F.lit(0))], before))
+                right = F.when((F.length(after) >= RIGHT) | (i + 1 >= F.size(matches)), after).otherwise(F.concat(after, matches[F.least(i + 1, F.size(matches) - 1)]))
+                return F.struct(
+                    start.alias("start"),
+                    F.lit(KINDS.index(kind) if kind else -1).alias("kind"),
+                    (start + F.length(m)).alias("end"),
+                    (F.lit(-1) if kind else _fits(m)).cast("int").alias("fits"),
+                    F.right(left, F.lit(LEFT)).alias("left"),
+                    F.left(right, F.lit(RIGHT)).alias("right"),
+                    m.alias("value"),
+                )
+
+            return F.filter(F.transform(matches, one), lambda s: _holds(kind, s["value"]) if kind else s["fits"] > 0)
 
         lengths = F.flatten(F.zip_with(between, F.concat(matches, F.array(F.lit(""))), lambda b, m: F.array(F.length(b), F.length(m))))
         return let(running(lengths), build)
 
     every = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda b: spans(m, b))).otherwise(F.array().cast(_SPAN)))
-    return F.when(text.rlike((HINT if base else LOOSE_HINT)[kind]), every).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(hint), every).otherwise(F.array().cast(_SPAN))
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, base, loose): spans by start, then kind; positions are code points, end exclusive. loose spans do not
-    touch base spans or each other's kind."""
+    """(uid, doc_id, base, loose): spans by start, then kind; positions are code points, end exclusive. loose spans are
+    candidates that touch no span of the base; their kind is -1."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    base = F.array_sort(F.concat(*[_found(text, k) for k in KINDS]))
+    made = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), base.alias("base"), _found(text, None).alias("loose"))
+    apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return made.select("uid", "doc_id", "base", F.when((F.size("loose") > 0) & (F.size("base") > 0), apart).otherwise(F.col("loose")).alias("loose"))
 
-    def all_of(base: bool) -> Column:
-        return F.array_sort(F.concat(*[_found(text, k, base) for k in KINDS]))
 
-    made = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), all_of(True).alias("base"), all_of(False).alias("loose"))
-    apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return made.select("uid", "doc_id", "base", F.when(F.size("loose") > 0, apart).otherwise(F.col("loose")).alias("loose"))
+def _patterns(left: Column, right: Column) -> Column:
+    """Lexical patterns around a value, lower-cased, digits as 0: the last word in front if it is a cue that ends in : = or #,
+    the last two and three words, the first two words behind, and the words next to it on both sides."""
+
+    def words(text: Column) -> Column:
+        return F.filter(F.split(F.regexp_replace(F.lower(text), "[0-9]", "0"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def made(a: Column, b: Column) -> Column:
+        n, m = F.size(a), F.size(b)
+        last, first = F.element_at(a, -1), F.element_at(b, 1)
+        cue = F.when((n >= 1) & F.get(a, n - 1).rlike("^[^0-9]{2,}[:=#]$"), F.concat(F.lit("cue "), last))
+        more = [F.when(n >= k, F.concat(F.lit(f"in front {k} "), F.array_join(F.slice(a, -k, k), " "))) for k in (2, 3)]
+        behind = F.when(m >= 2, F.concat(F.lit("behind 2 "), F.array_join(F.slice(b, 1, 2), " ")))
+        around = F.when((n >= 1) & (m >= 1), F.concat_ws(" ", F.lit("around"), last, F.lit("_"), first))
+        return F.array_distinct(F.array_compact(F.array(cue, *more, behind, around)))
+
+    return let(words(left), lambda a: let(words(right), lambda b: made(a, b)))
 
 
-def _patterns(left: Column) -> Column:
-    """Lexical patterns of a left context, lower-cased: its last word if that is a cue that ends in : = or #, and its
-    last two and three words."""
-    words = F.filter(F.split(F.lower(left), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    cue = F.when((n >= 1) & F.element_at(words, -1).rlike("^[^0-9]{2,}[:=#]$"), F.concat(F.lit("1 "), F.element_at(words, -1)))
-    more = [F.when(n >= k, F.concat(F.lit(f"{k} "), F.array_join(F.slice(words, -k, k), " "))) for k in (2, 3)]
-    return F.when(n >= 1, F.array_compact(F.array(cue, *more))).otherwise(F.array().cast("array<string>"))
+def _salted(few: DataFrame) -> DataFrame:
+    return few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge")
 
 
-def score_patterns(found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(kind, pattern, confidence) of the patterns in found, the rows of entities, that reach the confidence.
+def trusted_patterns(found: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(pattern, kind, confidence) of the patterns in found, the rows of entities, that end up trusted.
 
-    The graph has a row per kind, pattern and distinct identifier; repeats count once, so a group of copies weighs as one
-    document. Rounds join on salted patterns, so that a frequent pattern is dealt to many tasks.
+    The graph has a row per pattern and distinct value; repeats count once, so a group of copies weighs as one document.
+    Patterns around fewer values than their support are left out at once. A round sends two numbers to the driver; rounds end
+    when one discovers the same values with the same scores as the one before. Joins are salted, so that a frequent pattern or value is dealt
+    to many tasks.
     """
-    spans = found.where(F.size(F.concat("base", "loose")) > 0).select(F.explode(F.concat("base", "loose")).alias("s"))
-    edges = spans.select("s.kind", "s.base", F.xxhash64(F.lower("s.value")).alias("instance"), F.explode(_patterns(F.col("s.left"))).alias("pattern"))
-    edges = checkpointed(edges.groupBy("kind", "pattern", "instance").agg(F.max("base").alias("base")))
-    graph = edges.withColumn("score", F.when(F.col("base"), 1.0).otherwise(0.0))
-    seeds = F.sum(F.when(F.col("base"), 1).otherwise(0))
-    for left in range(settings.rounds, 0, -1):
-        worth = graph.groupBy("kind", "pattern").agg(F.avg("score").alias("mean"), seeds.alias("seeds")).where(F.col("seeds") >= settings.support)
-        worth = worth.select("kind", "pattern", (F.col("mean") * F.col("seeds") / (F.col("seeds") + 0.5)).alias("confidence"))
-        if left == 1:
-            return worth.where(F.col("confidence") >= settings.confidence)
-        salted = worth.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        met = edges.withColumn("salt", F.pmod("instance", F.lit(SALTS))).join(salted, ["kind", "pattern", "salt"], "left").drop("salt")
-        best = met.where("not base").groupBy("kind", "instance").agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("best"))
-        graph = checkpointed(edges.join(best, ["kind", "instance"], "left").withColumn("score", F.when(F.col("base"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))).drop("best"))
-    raise ValueError("rounds must be at least 1")
+    if settings.rounds < 1:
+        raise ValueError("rounds must be at least 1")
+    spans = found.select(F.explode(F.concat("base", "loose")).alias("s"))
+    each = spans.select("s.kind", "s.fits", F.xxhash64(F.lower("s.value")).alias("value"), F.explode(_patterns(F.col("s.left"), F.col("s.right"))).alias("pattern"))
+    every = checkpointed(each.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.max("fits").alias("fits")))
+    wide = every.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= settings.support)
+    edges = checkpointed(every.withColumn("salt", F.pmod("value", F.lit(SALTS))).join(_salted(wide), ["pattern", "salt"]).drop("salt"))
+    seeds = edges.where("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
+    loose = edges.where("kind < 0").withColumn("salt", F.pmod("value", F.lit(SALTS))).select("pattern", "value", "fits", "salt")
+    scores, before = seeds, (0, 0)
+    for _ in range(settings.rounds):
+        dealt = edges.select("pattern", "value", "n", F.pmod(F.xxhash64("pattern"), F.lit(SALTS)).alias("salt"))
+        worth = dealt.join(_salted(scores), ["value", "salt"]).groupBy("pattern", "kind").agg(F.sum("score").alias("support"), F.first("n").alias("n"))
+        sure = worth.select("pattern", "kind", "support", (F.col("support") / (F.col("n") + 0.5)).alias("confidence")).where((F.col("support") >= settings.support) & (F.col("confidence") >= settings.confidence))
+        trusted = checkpointed(sure.select("pattern", "kind", "confidence"))
+        met = loose.join(_salted(trusted), ["pattern", "salt"]).where(F.expr("fits & (1 << kind)") > 0)
+        best = met.groupBy("value").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("b"))
+        discovered = checkpointed(best.select("value", (-F.col("b.k")).alias("kind"), F.col("b.confidence").alias("score")))
+        now = discovered.agg(F.count("*"), F.coalesce(F.sum(F.floor(F.col("score") * 1_000_000)), F.lit(0))).first()
+        if now == before:
+            break
+        scores, before = seeds.unionByName(discovered), now
+    return trusted
 
 
 def discover(found: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(uid, added): the loose spans that a pattern of their kind discovers."""
-    loose = found.where(F.size("loose") > 0).select("uid", F.explode("loose").alias("s")).select("uid", "s", F.explode(_patterns(F.col("s.left"))).alias("pattern"), F.col("s.kind").alias("kind"))
-    salted = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    met = loose.withColumn("salt", F.pmod("uid", F.lit(SALTS))).join(salted, ["kind", "pattern", "salt"], "left_semi")
-    return met.groupBy("uid").agg(F.collect_set("s").alias("added"))
+    """(uid, added): the candidates that a trusted pattern of a kind that they can be of surrounds, as that kind; of several
+    patterns the one of highest confidence, then the kind listed first."""
+    loose = found.where(F.size("loose") > 0).select("uid", F.explode("loose").alias("s"))
+    each = loose.select("uid", "s", F.explode(_patterns(F.col("s.left"), F.col("s.right"))).alias("pattern")).withColumn("salt", F.pmod("uid", F.lit(SALTS)))
+    met = each.join(_salted(patterns), ["pattern", "salt"]).where(F.expr("s.fits & (1 << kind)") > 0)
+    best = met.groupBy("uid", F.col("s.start").alias("start")).agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"), F.col("s.end").alias("end"))).alias("b"))
+    span = F.struct("start", (-F.col("b.k")).alias("kind"), F.col("b.end").alias("end"))
+    return best.groupBy("uid").agg(F.collect_list(span).alias("added"))
 
 
 def _listing(spans: Column) -> Column:
@@ -161,11 +202,14 @@ def personal_data(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (base and discovered), n_discovered.
 
     A null text counts as empty: no spans, and the hash of the empty string. Repeated rows and null ids stay; an empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. Texts of any length are read whole; a word of a candidate has at most
+    64 characters.
     """
     found = checkpointed(entities(docs))
-    added = discover(found, score_patterns(found, settings))
-    met = found.join(added, "uid", "left").withColumn("added", F.coalesce("added", F.array().cast(_SPAN)))
+    added = discover(found, trusted_patterns(found, settings))
+    short = "array<struct<start:int,kind:int,end:int>>"
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    met = found.select("uid", "doc_id", base.alias("base")).join(added.hint("merge"), "uid", "left").withColumn("added", F.coalesce("added", F.array().cast(short)))
 
     def number(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
