@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -6,8 +7,12 @@ import pytest
 from wordloom.llm import topk
 
 
+def whole(x):
+    return math.floor(1024 * Fraction(float(x)))
+
+
 def plain(rows, k=10, every=100):
-    ok = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [whole(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for i, v in ok:
         if i % every == 0:
@@ -44,12 +49,47 @@ def test_equals_brute_force(spark, block, group):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-def test_pruning_on_clustered_vectors(spark):
-    rng = np.random.default_rng(4)
-    centres = rng.normal(size=(12, 4))
-    rows = [(i, (centres[i % 12] + rng.normal(size=4) * 0.01).tolist()) for i in range(1500)]
-    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=400)
-    assert {tuple(r) for r in got.collect()} == plain(rows)
+def clustered(n, clusters=12, dim=6, width=0.01, seed=4):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dim))
+    return [(i, (centres[rng.integers(clusters)] + rng.normal(size=dim) * width).tolist()) for i in range(n)]
+
+
+def test_queries_go_only_to_cells_that_can_beat_their_kth_score(spark, monkeypatch):
+    rows = clustered(6000)
+    frame, made, routes = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), [], topk._routes
+    monkeypatch.setattr(topk, "_routes", lambda *x: made.append((x[1], routes(*x))) or made[-1][1])
+    got = topk.exact_top_k(frame, block_rows=200).collect()
+    assert {tuple(r) for r in got} == plain(rows)
+    cells = len(made[0][0].radius)
+    asked, further = (r.count() for _, r in made)
+    assert cells >= 12 and asked == 60 and further <= 0.25 * asked * cells
+
+
+@pytest.mark.parametrize(("low", "high"), [(0, 20), (30, 60), (200, 1023), (-8, 1023)])
+def test_any_finite_doubles_are_exact(spark, low, high):
+    rng = np.random.default_rng(high)
+    rows = [(i, (rng.choice([-1, 1], 5) * np.ldexp(rng.random(5) + 1, rng.integers(low, high + 1, 5))).tolist()) for i in range(260)]
+    rows += [(300 + i, [1.5, 0.0, -2.0, 3.25, 1e-3]) for i in range(40)] + [(400, [1.7e308] * 5), (401, [-1.7e308] * 5), (402, [0.0] * 5), (403, [5e-324] * 5)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = {(q, r, j, cut(s)) for q, r, j, s in plain(rows, every=50)}
+    for block, group in ((topk.BLOCK_ROWS, topk.GROUP_ROWS), (23, 2)):
+        assert {tuple(r) for r in topk.exact_top_k(frame, query_divisor=50, block_rows=block, group_rows=group).collect()} == want
+
+
+def test_many_copies_of_one_vector(spark):
+    rows = [(i, [1e200, 2.0, 3.0] if i % 3 else [float(i), 1.0, 0.5]) for i in range(900)] + [(5, [1e200, 2.0, 3.0])] * 50
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=100).collect()
+    cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    assert sorted(tuple(r)[1:] for r in got if r.query_id == 300) == sorted((r, j, cut(s)) for q, r, j, s in plain_rows(rows, 300))
+
+
+def plain_rows(rows, query):
+    """Like plain, with repeated candidates."""
+    own = next([whole(x) for x in v] for i, v in rows if i == query)
+    scored = sorted((-sum(a * whole(b) for a, b in zip(own, w)), j) for j, w in rows if j != query)[:10]
+    return [(query, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
 
 
 def test_odd_rows(spark):
@@ -58,6 +98,5 @@ def test_odd_rows(spark):
     frame = spark.createDataFrame([(*r, 5, 6) for r in rows], "vec_id long, embedding array<double>, score int, rank int")
     cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
     got = {tuple(r) for r in topk.exact_top_k(frame).collect()}
-    assert {r for r in got if r[0] != 100} == {(q, r, j, cut(s)) for q, r, j, s in plain(rows) if q != 100}
-    assert {r[2] for r in got if r[0] == 100} == {0, 5, 6}
+    assert got == {(q, r, j, cut(s)) for q, r, j, s in plain(rows)}
     assert topk.exact_top_k(frame.where("false")).collect() == []
