@@ -60,6 +60,19 @@ def test_encoding_equals_the_public_library(spark):
         assert r.tokens == [t if t != "<unk>" else "<unk>" for t in library.encode(r.word).tokens], r.word
 
 
+def test_akshara_merges_equal_replaying_them():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        units = list(dict.fromkeys("".join(rng.choices("abc", k=rng.randint(2, 6))) for _ in range(12)))
+        ranks = {}
+        for u in units:
+            while len(parts := bpe.segmented(list(u), ranks)) > 1:
+                ranks[parts[0], parts[1]] = len(ranks)
+        assert bpe.akshara_merges(units) == list(ranks)
+
+
 def test_akshara_merges_build_each_unit():
     units = ["क्ष", "त्र", "त्रि", "स्त्र"]
     merges = bpe.akshara_merges(units)

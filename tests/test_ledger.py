@@ -5,6 +5,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,19 +114,45 @@ def answer(multipliers):
 
 def test_balancing_closes_the_spread():
     records = search.balance(answer, ["a", "b", "c"], rounds=30)
-    best = [r for r in records if r["best"]]
-    assert len(best) == 1 and best[0]["objective"] < 1e-3 < records[0]["objective"]
+    best = min(records, key=lambda r: r["objective"])
+    assert best["improved"] and best["objective"] < 1e-3 < records[0]["objective"]
     pinned = search.balance(answer, ["a", "b", "c"], rounds=40, fixed={"a": 2.9})
-    assert abs(next(r for r in pinned if r["best"])["fertility"]["a"] - 2.9) < 0.02
+    assert abs(min(pinned, key=lambda r: r["objective"])["fertility"]["a"] - 2.9) < 0.02
     assert search.balance(answer, ["a"], rounds=3, fixed={"a": 2.0})[0]["objective"] == 0.0
 
 
+def test_feedback_learns_the_response_and_adapts_the_gain():
+    goal = search.Goal.of(["a", "b"])
+    begin = search.Feedback(goal, np.full(2, -0.15))
+    first = begin.observe(search.Point(np.zeros(2), np.log([2.0, 3.0]), 1.0))
+    assert first.gain == 0.8 and np.allclose(first.response, -0.15)
+    step = first.propose()
+    assert step[1] > 0 > step[0] and np.isclose(step.sum(), 0) and np.isclose(step[1] - step[0], 2 * min(1.0, 0.8 * np.log(1.5) / 2 / 0.15))
+    worse = first.observe(search.Point(step, np.log([2.0, 3.0]) - 0.4 * step, 1.5))
+    assert np.allclose(worse.response, (-0.15 - 0.4) / 2) and worse.gain == 0.4 and worse.best is first.points[0]
+    still = worse.observe(search.Point(step, np.log([2.0, 2.0]), 0.5))  # nothing moved, so nothing is learned
+    assert np.allclose(still.response, worse.response) and still.gain == 0.5
+
+
 def test_climbing_improves_and_repeats():
     a, b = (search.climb(answer, ["a", "b"], 25, seed=4) for _ in range(2))
-    assert a == b and min(r["spread"] for r in a) < a[0]["spread"] and a[-1]["sigma"] <= 0.01
+    assert a == b and len(a) == 26 and min(r["objective"] for r in a) < a[0]["objective"]
+    sigmas, fails = [0.01], 0
+    for r in a[1:]:
+        assert np.isclose(r["sigma"], sigmas[-1])
+        fails = 0 if r["improved"] else fails + 1
+        if fails == 3:
+            sigmas, fails = [*sigmas, max(sigmas[-1] * 0.6, 2e-4)], 0
     assert search.make_weights({"en": 2.0}, 3.0, 0.0) == {"en.eval": 6.0}
 
 
+def test_trials_agree_and_balance_counts(spark):
+    words = [("en", w, 5) for w in ("▁the", "▁then", "▁there")] + [("de", w, 3) for w in ("▁der", "▁das", "▁dem", "▁the")]
+    near, far = search.local_trial(words, 5), search.spark_trial(spark.createDataFrame(words, "lang string, word string, n long"), 5)
+    for weights in ({"en": 1.0, "de": 1.0}, {"en": 0.2, "de": 5.0}):
+        assert near(weights) == pytest.approx(far(weights))
+
+
 def test_sweep_moves_the_weighted_language(spark):
     words = spark.createDataFrame([("en", w, 5) for w in ("▁the", "▁then", "▁there")] + [("de", w, 5) for w in ("▁der", "▁das", "▁dem")], "lang string, word string, n long")
     got = {(r.weight, r.lang): r.fertility for r in search.sweep(words, [0.1, 10.0], "en", 4).collect()}

@@ -185,6 +185,12 @@ def test_prose_of_pages(spark):
 
 
 def test_links(spark):
-    assert one(spark, '<a class="k" href="/x">x</a><A HREF="/no"><a href=\'/y\'>', html.links) == ["/x", "/y"]
+    assert one(spark, '<a class="k" href="/x">x</a><A HREF="/no"><a href=\'/y\'>', html.links) == ["/x", "/no", "/y"]
+
+
+def test_references_decode_alike_with_and_without_a_root(spark):
+    text = "caf&eacute; &#233; &#x1F600; &amp;lt; &hellip; a&nbsp;b &copy; R&D"
+    want = "café é 😀 &lt; … a b © R&D"
+    assert one(spark, f"<p>{text}</p>", html.html_all) == want == one(spark, f'<div class="mw-parser-output"><p>{text}</p></div>', html.html_all)
 
 

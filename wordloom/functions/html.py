@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -46,14 +47,23 @@ def html_all(html: Column, nfc: bool = True) -> Column:
     """
     body = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", "\n")
     text = F.regexp_replace(body, r"<[^>]*>", "\n")
+    return clean_text(F.coalesce(_rooted(F.when(F.contains(html, F.lit(ROOT_CLASS)), html)), unescaped(text)), nfc)
+
+
+def unescaped(text: Column) -> Column:
+    """text with all character references replaced, by the HTML standard's rules: built-in functions where ENTITIES are the only
+    references, the standard library where there may be others."""
+    known = "|".join(name[1:] for name, _ in ENTITIES)
+    plain = text
     for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return clean_text(F.coalesce(_rooted(F.when(F.contains(html, F.lit(ROOT_CLASS)), html)), text), nfc)
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    other = text.rlike(f"&(?!(?:{known}))[#A-Za-z]") | text.rlike("&amp;[#A-Za-z]")
+    return F.coalesce(_unescaped(F.when(other, text)), plain)
 
 
 def links(html: Column) -> Column:
-    """array<string> of link targets, in order."""
-    return F.regexp_extract_all(html, F.lit(r"<a\b[^>]*?\bhref=[\"']([^\"']*)[\"']"), F.lit(1))
+    """array<string> of link targets, in order; names of elements and attributes in any case."""
+    return F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*?\bhref=[\"']([^\"']*)[\"']"), F.lit(1))
 
 
 class _Reader(HTMLParser):
@@ -122,6 +132,11 @@ def _prose(pages: pd.Series) -> pd.Series:
     return pages.map(lambda x: None if x is None else prose_of(x))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else unescape(x))
+
+
 @F.pandas_udf(StringType())
 def _rooted(pages: pd.Series) -> pd.Series:
     return pages.map(lambda x: None if x is None else "\n".join(read_page(x).nodes))

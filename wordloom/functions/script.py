@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -63,22 +64,32 @@ def aksharas(word: Column) -> Column:
     return F.regexp_extract_all(word, F.lit(AKSHARA), F.lit(0))
 
 
+@functools.cache
+def _kind(ch: str) -> tuple[str, str]:
+    """(kind, script) of a character: virama, mark, joiner, letter or other, by the character database."""
+    category, script = unicodedata.category(ch), unicodedata.name(ch, " ").split(" ")[0]
+    if category[0] == "M":
+        return ("virama" if unicodedata.combining(ch) == 9 else "mark"), script
+    if ch in "\u200c\u200d":
+        return ("joiner" if ch == "\u200d" else "mark"), script
+    return ("letter" if category == "Lo" and script != "TAMIL" else "other"), script
+
+
+#: What a unit is open to behind a character of a kind, if it was open to something before; all else leaves it closed.
+_OPENS = {("closed", "virama"): "letter or joiner", ("letter or joiner", "virama"): "letter or joiner", ("letter", "virama"): "letter or joiner", ("letter or joiner", "joiner"): "letter"}
+
+
 def akshara_list(word: str) -> list[str]:
-    """Units of one word by the character database, for any script."""
-    units: list[str] = []
-    for ch in word:
-        category = unicodedata.category(ch)
-        if units and (category[0] == "M" or ch in "\u200c\u200d"):
-            units[-1] += ch
-            continue
-        if units and category == "Lo":
-            tail = units[-1].removesuffix("\u200d")
-            script = unicodedata.name(ch, " ").split(" ")[0]
-            if tail and unicodedata.combining(tail[-1]) == 9 and script != "TAMIL" and unicodedata.name(tail[-1], "").split(" ")[0] == script:
-                units[-1] += ch
-                continue
-        units.append(ch)
-    return units
+    """Units of one word for any script: marks and joiners go on with a unit, and so does a letter right behind a virama of its
+    script, with at most one zero-width joiner between them."""
+    cuts, state, joined = [], "closed", ""
+    for at, ch in enumerate(word):
+        kind, script = _kind(ch)
+        if kind == "other" or (kind == "letter" and (state == "closed" or script != joined)) or not at:
+            cuts.append(at)
+        state = _OPENS.get((state, kind), "closed")
+        joined = script if kind == "virama" else joined
+    return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -153,12 +153,28 @@ def joined(symbols: Column, left: Column, right: Column) -> Column:
 
 
 def akshara_merges(aksharas: list[str]) -> list[tuple[str, str]]:
-    """Fixed merges that build each akshara, most frequent first: while the merges so far leave it in pieces, one more
-    merge joins its first two."""
+    """Fixed merges that build each akshara, in their order, by joining its first two parts until one is left.
+
+    Every akshara that is still to come is kept in the parts that the merges so far leave of it. A new merge ranks last, so it
+    changes only those that hold its pair side by side, and older merges may then go on from there.
+    """
     ranks: dict[tuple[str, str], int] = {}
-    for a in aksharas:
-        while len(parts := segmented(list(a), ranks)) > 1:
-            ranks[parts[0], parts[1]] = len(ranks)
+    parts = [list(a) for a in aksharas]
+    holders: dict[tuple[str, str], set[int]] = defaultdict(set)
+
+    def enter(i: int) -> None:
+        for pair in zip(parts[i], parts[i][1:]):
+            holders[pair].add(i)
+
+    for i in range(len(parts)):
+        enter(i)
+    for own in parts:
+        while len(own) > 1:
+            pair = (own[0], own[1])
+            ranks[pair] = len(ranks)
+            for i in holders.pop(pair):
+                parts[i][:] = segmented(parts[i], ranks)
+                enter(i)
     return list(ranks)
 
 

@@ -72,15 +72,15 @@ def chosen_aksharas(words: DataFrame, least: int, forced_words: DataFrame | None
 
 
 def rounded_counts(words: DataFrame, total_mass: int = 6_000_000) -> DataFrame:
-    """(word, k): masses scaled to a total and rounded without bias: floor(x + u), u from the word's hash."""
+    """(word, k) and further columns: masses scaled to a total and rounded without bias: floor(x + u), u from the word's hash."""
     total = words.agg(F.sum("mass").cast("double").alias("total"))
     scaled = words.crossJoin(F.broadcast(total))  # one row
-    return scaled.select("word", F.floor(F.col("mass").cast("double") * (F.lit(float(total_mass)) / F.col("total")) + unit_hash(F.col("word"))).alias("k"))
+    return scaled.select(*[c for c in words.columns if c != "mass"], F.floor(F.col("mass").cast("double") * (F.lit(float(total_mass)) / F.col("total")) + unit_hash(F.col("word"))).alias("k"))
 
 
 def within_budget(docs: DataFrame, cap: int, group: tuple[str, ...] = ("lang", "split"), order: str = "doc_id", words: Column | None = None) -> DataFrame:
     """The documents of each group, in order, until their words reach the cap; the one that crosses it is kept. Column
-    words_before: the words of its group in front of it."""
+    words_before: the words of its group in front of it. All columns of docs are sorted by range; pass narrow ones, with words."""
     counted = docs.withColumn("n_words", count_words(F.col("text")) if words is None else words)
     cut = ranged(counted.withColumn("_tie", F.monotonically_increasing_id()), [*group, order, "_tie"])
     return with_offsets(cut, list(group), [order, "_tie"], F.col("n_words"), "words_before").where(F.col("words_before") < cap).drop("_chunk", "_tie")

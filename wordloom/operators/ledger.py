@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.operators.prefix import ranged, with_least, with_offsets
+
 _MEASURE = "map<string,struct<tokens:int,words:int,fertility:double,unk:int,akshara_violations:int>>"
 #: Declared, as whole numbers and fractions mix in the files.
 SCHEMA = f"""
@@ -119,10 +121,11 @@ def last_noted(ledger: DataFrame, stage: str, text: str = "best+heldout", seq: s
 
 def trace(runs: DataFrame, stages: Column, time: str = "time", run_id: str = "id", objective: str = "spread") -> DataFrame:
     """(step, id, spread, best): runs of the chosen stages by time, numbered before runs of spread 0 are left out, with
-    the best so far. A trace is one experiment's few hundred runs, so a single window is enough."""
-    order = Window.orderBy(time, run_id)
-    numbered = runs.where(stages).withColumn("step", F.row_number().over(order)).where(F.col(objective) > 0)
-    return numbered.select("step", run_id, objective, F.min(objective).over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)).alias("best"))
+    the best so far. Ranges of runs are numbered side by side, however many there are."""
+    cut = ranged(runs.where(stages).select(time, run_id, objective), [time, run_id])
+    numbered = with_offsets(cut, [], [time, run_id], F.lit(1), "_before").where(F.col(objective) > 0)
+    made = with_least(numbered, ["_before"], objective, "best")
+    return made.select((F.col("_before") + 1).cast("int").alias("step"), run_id, objective, "best")
 
 
 def elasticity(runs: DataFrame, group: tuple[str, ...], seq: str = "seq", fertility: str = "fertility", weight: str = "weight", start: float = -0.15) -> DataFrame:

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.script import aksharas, bad_splits, boundaries
-from wordloom.functions.text import count_words, normalized, pretokens, truncated_ratio
-from wordloom.operators.bpe import UNKNOWN, segment_words
-from wordloom.operators.corpus import word_counts
+from wordloom.functions.text import META, bare_pretokens, count_words, normalized, pretokens, truncated_ratio
+from wordloom.operators.bpe import UNKNOWN, decoded, segment_words
 
 
 def violations(word: Column, tokens: Column) -> Column:
@@ -26,18 +25,26 @@ def evaluate(corpus: DataFrame, merges: list[tuple[str, str]], keys: tuple[str,
     """(*keys, tokens, words, unk, violations, fertility) of each group of texts.
 
     Distinct words are segmented once; their token counts are joined back to the counts per group. Words are counted on
-    the text itself. fertility is null for a group without a word.
+    the text itself, in the same scan. fertility is null for a group without a word; null texts count as empty.
     """
-    each = word_counts(corpus, keys, text_col=text_col)
-    cut = segment_words(each.select("word").distinct(), merges, alphabet, byte_fallback)
+    each = _counted(corpus, keys, text_col)
+    cut = segment_words(each.select("word").where("word is not null").distinct(), merges, alphabet, byte_fallback)
     bad = violations(F.col("word"), F.col("tokens")) if check_aksharas else F.lit(0)
     sized = cut.select("word", F.size("tokens").alias("t"), F.size(F.filter("tokens", lambda x: x == UNKNOWN)).alias("u"), bad.alias("v"))
-    sums = each.join(sized, "word").groupBy(*keys).agg(F.sum(F.col("n") * F.col("t")).alias("tokens"), F.sum(F.col("n") * F.col("u")).alias("unk"), F.sum(F.col("n") * F.col("v")).alias("violations"))
-    words = corpus.groupBy(*keys).agg(F.sum(count_words(F.col(text_col))).alias("words"))
-    met = words.join(sums, list(keys), "left").select(*keys, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tokens", "words", "unk", "violations")])
+    total = lambda c: F.coalesce(F.sum(F.col("n") * F.col(c)), F.lit(0)).cast("long")
+    words = F.sum(F.when(F.col("word").isNull(), F.col("n")).otherwise(0)).cast("long")
+    met = each.join(sized, "word", "left").groupBy(*keys).agg(total("t").alias("tokens"), words.alias("words"), total("u").alias("unk"), total("v").alias("violations"))
     return met.withColumn("fertility", F.try_divide(F.col("tokens").cast("double"), F.col("words").cast("double")))
 
 
+def _counted(corpus: DataFrame, keys: tuple[str, ...], text_col: str) -> DataFrame:
+    """(*keys, word, n): occurrences of pre-tokens; the row without a word has the words of the texts. One scan for both."""
+    total = F.struct(F.lit(None).cast("string").alias("word"), F.coalesce(count_words(F.col(text_col)), F.lit(0)).cast("long").alias("n"))
+    pieces = F.coalesce(bare_pretokens(normalized(F.col(text_col))), F.array().cast("array<string>"))
+    ones = F.transform(pieces, lambda w: F.struct(F.concat(F.lit(META), w).alias("word"), F.lit(1).cast("long").alias("n")))
+    return corpus.select(*keys, F.explode(F.concat(F.array(total), ones)).alias("p")).groupBy(*keys, "p.word").agg(F.sum("p.n").alias("n"))
+
+
 def spread(measured: DataFrame, group: tuple[str, ...] = (), name: str = "lang", order: str | None = None) -> DataFrame:
     """(*group, max_*, min_*, spread_num, spread_den, spread, score): from rows (name, tokens, words).
 
@@ -80,15 +87,14 @@ def greatest_divisor(a: Column, b: Column, steps: int = 190) -> Column:
 
 
 def round_trip(texts: DataFrame, merges: list[tuple[str, str]], key: str, alphabet: set[str] | None = None, byte_fallback: bool = False) -> DataFrame:
-    """(key, ok): whether the tokens of a text decode to the normalised text."""
-    from wordloom.operators.bpe import decoded
-
-    norm = texts.select(key, normalized(F.col("text")).alias("norm"))
-    words = norm.select(key, "norm", F.posexplode_outer(pretokens(F.col("norm"))).alias("at", "word"))
+    """(key, ok) of each distinct pair of key and text: whether the tokens decode to the normalised text. Words carry a hash of
+    the text, not the text."""
+    norm = texts.select(key, normalized(F.coalesce("text", F.lit(""))).alias("norm"))
+    words = norm.select(key, F.md5("norm").alias("h"), F.posexplode_outer(pretokens(F.col("norm"))).alias("at", "word"))
     cut = segment_words(words.select("word").where("word is not null").distinct(), merges, alphabet, byte_fallback)
-    met = words.join(cut, "word", "left").groupBy(key, "norm").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("p"))
+    met = words.join(cut, "word", "left").groupBy(key, "h").agg(F.array_sort(F.collect_set(F.struct("at", "tokens"))).alias("p"))
     tokens = F.flatten(F.filter(F.transform("p", lambda x: x["tokens"]), lambda t: t.isNotNull()))
-    return met.select(key, (decoded(tokens) == F.col("norm")).alias("ok"))
+    return met.select(key, (F.md5(decoded(tokens)) == F.col("h")).alias("ok"))
 
 
 def decimals(a: Column, b: Column, digits: int = 12) -> Column:

@@ -33,3 +33,11 @@ def with_offsets(df: DataFrame, group: list[str], order: list[str], value: Colum
     starts = keyed.groupBy(*named, "_chunk").agg(F.sum("_value").alias("_sum")).select(*named, "_chunk", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_start"))
     local = keyed.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     return local.join(starts, [*named, "_chunk"]).select(*df.columns, (F.col("_start") + F.col("_local")).cast("long").alias(out))
+
+
+def with_least(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """df (with _chunk) and `out`: the least value of all rows up to and with each row, by _chunk and then `order`."""
+    inside = Window.partitionBy("_chunk").orderBy(*[F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy("_chunk").agg(F.min(value).alias("_least")).select("_chunk", F.min("_least").over(across).alias("_earlier"))  # a row per range
+    return df.withColumn("_own", F.min(value).over(inside)).join(starts, "_chunk").select(*df.columns, F.least("_own", "_earlier").alias(out))

@@ -1,152 +1,259 @@
-"""Searches over language weights: balancing, hill climbing, sweeps.
+"""Searches over language weights: a feedback controller, seeded hill climbs, sweeps and grids of configurations.
 
-A trial is a function from micro-weights per language to fertilities; `bpe_trial` makes one from word counts that Spark has
-gathered. Balancing is sequential by nature and runs on the driver; sweeps and chains are independent and run one group each.
+Points live in log space, as vectors over the languages in their given order: `Point` holds the log weights that were tried
+and the log fertilities that they gave. A search is a pair of pure functions, one from the history to the next log weights
+and one from the history and a new point to the next history; `run` feeds it trials. A trial maps weights per language to
+fertilities: `spark_trial` measures one with Spark, `local_trial` one over a vocabulary that a task holds.
 """
 
 from __future__ import annotations
 
-import math
-import random
 from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.operators.bpe import learned, segmented
+from wordloom.operators import bpe, corpus
 from wordloom.operators.corpus import MICRO
+from wordloom.session import checkpointed
 
 Trial = Callable[[dict[str, float]], dict[str, float]]
 
 
+@dataclass(frozen=True)
+class Tuning:
+    """The settings of both searches."""
+
+    response: float = -0.15  # first guess of d log fertility / d log weight
+    believable: tuple[float, float] = (-2.0, -0.005)  # responses that are taken over
+    least_move: float = 1e-3  # of a log weight, to tell a response from
+    gain: float = 0.8
+    gain_growth: float = 1.25
+    gain_cut: float = 0.5
+    largest_step: float = 1.0  # of a log weight
+    close: float = 1e-4  # objective at which the controller is done
+    climb_response: float = -0.2
+    lean: tuple[float, float] = (0.2, 1.0)  # share of the gap that a leaning proposal closes
+    patience: int = 3  # failures in a row after which a climb takes smaller steps
+    shrink: float = 0.6
+    least_sigma: float = 2e-4
+
+
+@dataclass(frozen=True)
+class Point:
+    weight: np.ndarray
+    fertility: np.ndarray
+    objective: float
+
+
+@dataclass(frozen=True)
+class Goal:
+    """What a search is after: free languages alike, the others (where target is not nan) at their log target."""
+
+    langs: tuple[str, ...]
+    target: np.ndarray
+
+    @classmethod
+    def of(cls, langs: list[str], fixed: dict[str, float] | None = None) -> Goal:
+        return cls(tuple(langs), np.log([(fixed or {}).get(x, np.nan) for x in langs]))
+
+    @property
+    def free(self) -> np.ndarray:
+        return np.isnan(self.target)
+
+    def objective(self, fertility: np.ndarray) -> float:
+        """Spread of the free languages plus the largest distance of a fixed one from its target; no languages of a kind add 0."""
+        value, free = np.exp(fertility), self.free
+        spread = np.ptp(value[free]) if free.any() else 0.0
+        away = np.abs(value - np.exp(self.target))[~free]
+        return float(spread + away.max(initial=0.0))
+
+    def gap(self, point: Point) -> np.ndarray:
+        """How far each language's log fertility is above where it should be."""
+        middle = point.fertility[self.free].mean() if self.free.any() else 0.0
+        return point.fertility - np.where(self.free, middle, self.target)
+
+
+def centred(weight: np.ndarray) -> np.ndarray:
+    """The same proportions with a geometric mean of one: only proportions matter to a tokenizer."""
+    return weight - weight.mean()
+
+
+@dataclass(frozen=True)
+class Feedback:
+    """The controller's state: points so far, each language's believed response and the gain."""
+
+    goal: Goal
+    response: np.ndarray
+    points: tuple[Point, ...] = ()
+    gain: float = Tuning.gain
+    tuning: Tuning = field(default_factory=Tuning)
+
+    @property
+    def best(self) -> Point:
+        return min(self.points, key=lambda p: p.objective)
+
+    @property
+    def done(self) -> bool:
+        return bool(self.points) and self.points[-1].objective < self.tuning.close
+
+    def observe(self, point: Point) -> Feedback:
+        """A response is believed half of what was believed and half of what the last move shows, where it shows any."""
+        t, response, better = self.tuning, self.response, not self.points or point.objective < self.best.objective
+        if self.points:
+            moved = point.weight - self.points[-1].weight
+            seen = np.divide(point.fertility - self.points[-1].fertility, moved, out=np.full(len(moved), np.nan), where=np.abs(moved) > t.least_move)
+            with np.errstate(invalid="ignore"):
+                response = np.where((seen > t.believable[0]) & (seen < t.believable[1]), (response + seen) / 2, response)
+        gain = min(t.gain, self.gain * t.gain_growth) if better else self.gain * t.gain_cut
+        return replace(self, response=response, gain=gain, points=(*self.points, point))
+
+    def propose(self) -> np.ndarray:
+        """From the best point, each language by the weight that closes its gap if it answers as believed, times the gain."""
+        step = np.clip(-self.gain * self.goal.gap(self.best) / self.response, -self.tuning.largest_step, self.tuning.largest_step)
+        return centred(self.best.weight + step)
+
+
+@dataclass(frozen=True)
+class Climb:
+    """A hill climb's state: the best point, failures since it or since the last smaller step, and the step's size. Noise is
+    drawn per trial from the seed and the trial's number, so that a state alone fixes what follows."""
+
+    goal: Goal
+    seed: int
+    sigma: float
+    best: Point | None = None
+    trials: int = 0
+    fails: int = 0
+    tuning: Tuning = field(default_factory=Tuning)
+    done: bool = False
+
+    def observe(self, point: Point) -> Climb:
+        if self.best is None:
+            return replace(self, best=point)
+        if point.objective < self.best.objective:
+            return replace(self, best=point, trials=self.trials + 1, fails=0)
+        small = self.fails + 1 == self.tuning.patience
+        sigma = max(self.sigma * self.tuning.shrink, self.tuning.least_sigma) if small else self.sigma
+        return replace(self, trials=self.trials + 1, fails=0 if small else self.fails + 1, sigma=sigma)
+
+    def propose(self) -> np.ndarray:
+        """Noise around the best point; every other proposal also leans towards closing the gaps."""
+        rng = np.random.default_rng((self.seed, self.trials))
+        step = rng.normal(0, self.sigma, len(self.goal.langs))
+        if self.trials % 2 == 0:
+            step -= self.goal.gap(self.best) / self.tuning.climb_response * rng.uniform(*self.tuning.lean, len(step))
+        return centred(self.best.weight + step)
+
+
+def run(state: Feedback | Climb, trial: Trial, trials: int, start: dict[str, float] | None = None) -> tuple[Feedback | Climb, list[dict]]:
+    """At most `trials` trials from the start (all weights one); the last state and a record per trial: trial, multipliers,
+    fertility, objective, improved, and of a climb sigma. The point of lowest objective, the first of equals, is the last one
+    that improved."""
+    langs = state.goal.langs
+    weight, records = np.log([(start or {}).get(x, 1.0) for x in langs]), []
+    for k in range(trials):
+        multipliers = dict(zip(langs, np.exp(weight).tolist(), strict=True))
+        got = trial(multipliers)
+        fertility = np.log([got[x] for x in langs])
+        point = Point(weight, fertility, state.goal.objective(fertility))
+        best = min((r["objective"] for r in records), default=np.inf)
+        records.append({"trial": k, "multipliers": multipliers, "fertility": got, "objective": point.objective, "improved": point.objective < best} | ({"sigma": state.sigma} if isinstance(state, Climb) else {}))
+        state = state.observe(point)
+        if state.done:
+            break
+        weight = state.propose()
+    return state, records
+
+
+def balance(trial: Trial, langs: list[str], rounds: int = 12, start: dict[str, float] | None = None, fixed: dict[str, float] | None = None) -> list[dict]:
+    """Feedback on the weights until the fertilities agree. Sequential by nature: each round needs the last one's trial."""
+    goal = Goal.of(langs, fixed)
+    return run(Feedback(goal, np.full(len(langs), Tuning.response)), trial, rounds, start)[1]
+
+
+def climb(trial: Trial, langs: list[str], trials: int, seed: int, sigma: float = 0.01, start: dict[str, float] | None = None) -> list[dict]:
+    """The start and `trials` proposals of a seeded hill climb."""
+    return run(Climb(Goal.of(langs), seed, sigma), trial, trials + 1, start)[1]
+
+
 def make_weights(multipliers: dict[str, float], eval_weight: float, train_weight: float) -> dict[str, float]:
     """Weights by "lang.source"; sources without a positive weight are left out."""
-    sources = [(s, w) for s, w in (("eval", eval_weight), ("train", train_weight)) if w > 0]
-    return {f"{lang}.{s}": w * m for lang, m in multipliers.items() for s, w in sources}
+    sources = {s: w for s, w in {"eval": eval_weight, "train": train_weight}.items() if w > 0}
+    return {f"{lang}.{s}": w * m for lang, m in multipliers.items() for s, w in sources.items()}
 
 
-def normalised(multipliers: dict[str, float]) -> dict[str, float]:
-    """Scaled to a geometric mean of one."""
-    mean = math.exp(sum(map(math.log, multipliers.values())) / len(multipliers))
-    return {k: v / mean for k, v in multipliers.items()}
+def spark_trial(counts: DataFrame, n_merges: int) -> Trial:
+    """A trial over counts (lang, word, n), which stay where they are: merges are learned from the weighted counts by one task
+    per trial, words are cut and summed by all."""
+    counts = checkpointed(counts)
+    spark = counts.sparkSession
 
+    def measure(multipliers: dict[str, float]) -> dict[str, float]:
+        weights = spark.createDataFrame([(x, round(w * MICRO)) for x, w in multipliers.items()], "lang string, micro long")
+        mass = corpus.weighted_counts(counts, weights, on=("lang",)).select("word", F.col("mass").cast("long").alias("n"))
+        merges = [(r["left"], r["right"]) for r in bpe.learn_merges(mass, n_merges).orderBy("rank").collect()]  # a vocabulary
+        cut = bpe.segment_words(counts.select("word").distinct(), merges).select("word", F.size("tokens").alias("t"))
+        sums = counts.join(cut, "word").groupBy("lang").agg((F.sum(F.col("n") * F.col("t")) / F.sum("n")).alias("f")).collect()
+        return {r["lang"]: r["f"] for r in sums}
 
-def objective(fertility: dict[str, float], fixed: dict[str, float]) -> float:
-    """Spread of the free languages plus the largest distance of a fixed one from its target."""
-    free = [f for lang, f in fertility.items() if lang not in fixed]
-    away = max((abs(fertility[lang] - t) for lang, t in fixed.items()), default=0.0)
-    return (max(free) - min(free) if free else 0.0) + away
+    return measure
 
 
-def bpe_trial(words: list[tuple[str, str, int]], n_merges: int) -> Trial:
-    """A trial over (lang, word, n): learn merges from the weighted counts and measure tokens per word and language."""
+def local_trial(words: list[tuple[str, str, int]], n_merges: int) -> Trial:
+    """The same inside one task, over (lang, word, n)."""
     distinct = sorted({w for _, w, _ in words})
     totals = Counter()
     for lang, _, n in words:
         totals[lang] += n
 
-    def run(multipliers: dict[str, float]) -> dict[str, float]:
-        mass: Counter = Counter()
+    def measure(multipliers: dict[str, float]) -> dict[str, float]:
+        mass, tokens = Counter(), Counter()
         for lang, w, n in words:
             mass[w] += n * round(multipliers[lang] * MICRO)
-        ranks = {(a, b): k for k, (a, b, _) in enumerate(learned([(list(w), mass[w]) for w in distinct], n_merges))}
-        size = {w: len(segmented(list(w), ranks)) for w in distinct}
-        tokens: Counter = Counter()
+        ranks = {(a, b): k for k, (a, b, _) in enumerate(bpe.learned([(list(w), mass[w]) for w in distinct], n_merges))}
+        size = {w: len(bpe.segmented(list(w), ranks)) for w in distinct}
         for lang, w, n in words:
             tokens[lang] += n * size[w]
         return {lang: tokens[lang] / totals[lang] for lang in totals}
 
-    return run
-
-
-def balance(trial: Trial, langs: list[str], rounds: int = 12, start: dict[str, float] | None = None, fixed: dict[str, float] | None = None, close: float = 1e-4) -> list[dict]:
-    """Feedback on the weights until the fertilities agree; one record per round, the best one marked.
-
-    Each round learns how strongly a language answers to its weight, and steps from the best point so far towards the
-    mean log fertility of the free languages (or a fixed language's target). The gain grows after an improvement and is
-    halved after a failure; a step changes a weight by a factor of e at most.
-    """
-    fixed = fixed or {}
-    free = [x for x in langs if x not in fixed]
-    now = dict(start or dict.fromkeys(langs, 1.0))
-    answer = dict.fromkeys(langs, -0.15)
-    gain, records, best, last = 0.8, [], None, None
-    for k in range(rounds):
-        got = trial(now)
-        value = objective(got, fixed)
-        better = best is None or value < best["objective"]
-        records.append({"round": k, "multipliers": dict(now), "fertility": got, "objective": value, "best": False})
-        if better:
-            best = records[-1]
-        if last is not None:
-            for x in langs:
-                moved = math.log(now[x] / last["multipliers"][x])
-                if abs(moved) > 1e-3:
-                    seen = math.log(got[x] / last["fertility"][x]) / moved
-                    if -2.0 < seen < -0.005:
-                        answer[x] = (answer[x] + seen) / 2
-        last = records[-1]
-        if value < close:
-            break
-        gain = min(0.8, gain * 1.25) if better else gain / 2
-        middle = sum(math.log(best["fertility"][x]) for x in free) / max(1, len(free))
-        step = {x: (math.log(best["fertility"][x]) - (math.log(fixed[x]) if x in fixed else middle)) / answer[x] for x in langs}
-        now = normalised({x: best["multipliers"][x] * math.exp(max(-1.0, min(1.0, -gain * step[x]))) for x in langs})
-    best["best"] = True
-    return records
-
-
-def climb(trial: Trial, langs: list[str], trials: int, seed: int, sigma: float = 0.01, answer: float = -0.2, start: dict[str, float] | None = None) -> list[dict]:
-    """Hill climbing from a start: even trials lean towards closing the gaps, three failures in a row shrink the step."""
-    rng, now = random.Random(seed), dict(start or dict.fromkeys(langs, 1.0))
-    got = trial(now)
-    best = {"trial": -1, "multipliers": now, "fertility": got, "spread": objective(got, {}), "improved": True, "sigma": sigma}
-    records, fails = [best], 0
-    for k in range(trials):
-        middle = sum(map(math.log, best["fertility"].values())) / len(langs)
-        moved = {}
-        for x in langs:
-            lean = (middle - math.log(best["fertility"][x])) / answer * rng.uniform(0.2, 1.0) if k % 2 == 0 else 0.0
-            moved[x] = best["multipliers"][x] * math.exp(rng.gauss(0, sigma) + lean)
-        moved = normalised(moved)
-        got = trial(moved)
-        record = {"trial": k, "multipliers": moved, "fertility": got, "spread": objective(got, {}), "improved": False, "sigma": sigma}
-        records.append(record)
-        if record["spread"] < best["spread"]:
-            record["improved"], best, fails = True, record, 0
-        else:
-            fails += 1
-            if fails == 3:
-                sigma, fails = max(sigma * 0.6, 2e-4), 0
-    return records
+    return measure
+
+
+def _per_point(words: DataFrame, points: DataFrame, name: str, work, schema: str) -> DataFrame:
+    """work(point, rows) for every point of a short list, each in a task with the whole vocabulary (lang, word, n)."""
+    every = words.select("lang", "word", F.col("n").cast("long").alias("n")).crossJoin(F.broadcast(points))
+
+    def one(key, group):
+        rows = sorted(zip(group["lang"], group["word"], group["n"].tolist(), strict=True))
+        return pd.DataFrame(work(key[0], rows), columns=[c.split()[0] for c in schema.split(", ")])
+
+    return every.groupBy(name).applyInPandas(one, schema)
 
 
 def sweep(words: DataFrame, points: list[float], lang: str, n_merges: int) -> DataFrame:
-    """(weight, lang, fertility, tokens...): one group per sweep point, each with the whole vocabulary (lang, word, n) and
-    one language's weight changed. The vocabulary goes to every point's task; points run in parallel."""
-    spark = words.sparkSession
-    grid = spark.createDataFrame([(float(p),) for p in points], "weight double")
-    every = words.select("lang", "word", F.col("n").cast("long").alias("n")).crossJoin(F.broadcast(grid))
+    """(weight, lang, fertility): one language's weight changed, the others at one. Points run in parallel, each in a task that
+    holds the vocabulary; use spark_trial per point where no task can."""
+    grid = words.sparkSession.createDataFrame([(float(p),) for p in points], "weight double")
 
-    def run(key, group):
-        rows = list(zip(group["lang"], group["word"], group["n"], strict=True))
-        langs = sorted(set(group["lang"]))
-        got = bpe_trial(rows, n_merges)({x: key[0] if x == lang else 1.0 for x in langs})
-        return pd.DataFrame([(key[0], x, got[x]) for x in langs], columns=["weight", "lang", "fertility"])
+    def work(weight: float, rows: list[tuple[str, str, int]]) -> list[tuple]:
+        langs = sorted({x for x, _, _ in rows})
+        got = local_trial(rows, n_merges)({x: weight if x == lang else 1.0 for x in langs})
+        return [(weight, x, got[x]) for x in langs]
 
-    return every.groupBy("weight").applyInPandas(run, "weight double, lang string, fertility double")
+    return _per_point(words, grid, "weight", work, "weight double, lang string, fertility double")
 
 
 def chains(words: DataFrame, seeds: list[int], trials: int, n_merges: int) -> DataFrame:
-    """(seed, trial, spread, sigma, improved): independent hill climbs, one group per seed."""
-    spark = words.sparkSession
-    every = words.select("lang", "word", F.col("n").cast("long").alias("n")).crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in seeds], "seed int")))
+    """(seed, trial, spread, sigma, improved): independent hill climbs, one group per seed; the start is trial -1."""
+    grid = words.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")
 
-    def run(key, group):
-        rows = sorted(zip(group["lang"], group["word"], group["n"], strict=True))
-        made = climb(bpe_trial(rows, n_merges), sorted(set(group["lang"])), trials, int(key[0]))
-        return pd.DataFrame([(int(key[0]), r["trial"], r["spread"], r["sigma"], r["improved"]) for r in made], columns=["seed", "trial", "spread", "sigma", "improved"])
+    def work(seed: int, rows: list[tuple[str, str, int]]) -> list[tuple]:
+        made = climb(local_trial(rows, n_merges), sorted({x for x, _, _ in rows}), trials, int(seed))
+        return [(int(seed), r["trial"] - 1, r["objective"], r["sigma"], r["improved"]) for r in made]
 
-    return every.groupBy("seed").applyInPandas(run, "seed int, trial int, spread double, sigma double, improved boolean")
+    return _per_point(words, grid, "seed", work, "seed int, trial int, spread double, sigma double, improved boolean")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,10 @@ from wordloom.operators import bpe, corpus
 from wordloom.session import checkpointed
 
 
+#: Fixed value: the first of the private-use characters that stand for glued aksharas.
+PRIVATE = 0xF0000
+
+
 @dataclass(frozen=True)
 class Config:
     vocab_size: int = 10_000
@@ -61,28 +66,28 @@ def train(texts: DataFrame, weights: DataFrame, config: Config, eval_texts: Data
         words = corpus.alphabet_filtered(words, corpus.kept_characters(words, config.alpha_min * corpus.MICRO, forced))
     words = checkpointed(words)
     fixed: list[tuple[str, str]] = []
+    glued: list[str] = []
     if config.akshara:
         chosen = corpus.chosen_aksharas(words, config.akshara_min * corpus.MICRO, forced).orderBy(F.desc("mass"), "akshara")
         glued = [r["akshara"] for r in chosen.collect()]  # a part of the vocabulary
         fixed = bpe.akshara_merges(glued)
-        units = _units(words, glued)
+        mapped = mapped_words(words, glued)
     else:
-        units = words.select(F.filter(F.split("word", ""), lambda c: c != "").alias("symbols"), "mass")
+        mapped = words.select("word", F.array(F.filter(F.split("word", ""), lambda c: c != "")).alias("runs"), "mass")
     base = [(r["token"], r["kind"]) for r in corpus.base_vocabulary(words, byte_fallback=config.byte_fallback).orderBy("id").collect()]
     tokens, kinds = [t for t, _ in base], [k for _, k in base]
-    for a, b in fixed:
-        if a + b not in tokens:
-            tokens.append(a + b)
+    existing = set(tokens)
+    for product in (a + b for a, b in fixed):
+        if product not in existing:
+            existing.add(product)
+            tokens.append(product)
             kinds.append("akshara")
     room = config.vocab_size - len(tokens)
     if room <= 0:
         raise ValueError("base symbols use up the vocabulary")
-    if config.total_mass:
-        units = corpus.rounded_counts(units.select(F.array_join("symbols", "\x1f").alias("word"), "mass"), config.total_mass).select(F.split("word", "\x1f").alias("symbols"), F.col("k").alias("n"))
-    else:
-        units = units.select("symbols", F.col("mass").cast("long").alias("n"))
-    grouped = units.groupBy("symbols").agg(F.sum("n").alias("n"))
-    existing = set(tokens)
+    # A word's mass is rounded once, by its own hash, before it falls into runs; equal runs of many words are summed after.
+    counted = corpus.rounded_counts(mapped, config.total_mass).withColumnRenamed("k", "n") if config.total_mass else mapped.withColumn("n", F.col("mass").cast("long"))
+    grouped = counted.where("n > 0").select(F.explode("runs").alias("symbols"), "n").groupBy("symbols").agg(F.sum("n").alias("n"))
     merges = list(fixed)
     for r in bpe.learn_merges(grouped, room + 64, least=config.min_frequency).orderBy("rank").collect():
         product = r["left"] + r["right"]
@@ -100,18 +105,25 @@ def train(texts: DataFrame, weights: DataFrame, config: Config, eval_texts: Data
     return Tokenizer(config, tokens, kinds, merges, info)
 
 
-def _units(words: DataFrame, glued: list[str]) -> DataFrame:
-    """(symbols, mass): words as glued aksharas and single characters, cut where a rare akshara stands, so that no merge
-    reaches into or across it."""
-    known = F.array(*[F.lit(a) for a in glued]) if glued else F.array().cast("array<string>")
-    tagged = F.transform(aksharas(F.col("word")), lambda a: F.struct(a.alias("u"), ((F.length(a) > 1) & ~F.array_contains(known, a)).alias("rare")))
-    start = F.array(F.array().cast("array<string>"))
-
-    def add(runs, t):
-        n = F.size(runs)
-        lone = F.transform(F.filter(F.split(t["u"], ""), lambda c: c != ""), lambda c: F.array(c))
-        grown = F.concat(F.slice(runs, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(runs, -1), F.array(t["u"]))))
-        return F.when(t["rare"], F.concat(runs, lone, start)).otherwise(grown)
-
-    runs = F.aggregate(tagged, start, add)
-    return words.select(F.explode(F.filter(runs, lambda r: F.size(r) > 0)).alias("symbols"), "mass")
+def mapped_words(words: DataFrame, glued: list[str]) -> DataFrame:
+    """(word, runs, mass): each word with glued aksharas as one private-use character each and rare ones apart between blanks,
+    and its runs of symbols, which no merge reaches across."""
+    shared = words.sparkSession.sparkContext.broadcast({a: chr(PRIVATE + i) for i, a in enumerate(glued)})
+
+    @F.pandas_udf("struct<word:string,runs:array<array<string>>>")
+    def cut(units: pd.Series) -> pd.DataFrame:
+        place, out = shared.value, []
+        for row in units:
+            name, runs, open_ = "", [], []
+            for u in row:
+                if len(u) == 1 or u in place:
+                    name += place.get(u, u) if len(u) > 1 else u
+                    open_.append(u)
+                else:
+                    name += f" {' '.join(u)} "
+                    runs += [open_, *([c] for c in u)]
+                    open_ = []
+            out.append((name, [r for r in [*runs, open_] if r]))
+        return pd.DataFrame(out, columns=["word", "runs"])
+
+    return words.select(cut(aksharas(F.col("word"))).alias("m"), "mass").select("m.word", "m.runs", "mass")

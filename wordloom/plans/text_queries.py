@@ -73,8 +73,8 @@ def title_exclusion(spark, sf_dir):
 
 def word_budget_prefix(spark, sf_dir):
     title = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
-    rows = docs(spark, sf_dir).select("doc_id", "lang", "text", text.split_name(title).alias("split")).where(text.count_words(F.col("text")) >= 20)
-    return corpus.within_budget(rows, 5000).select("doc_id", "lang", "split", F.col("n_words").cast("long").alias("n_words"), "words_before")
+    rows = docs(spark, sf_dir).select("doc_id", "lang", text.split_name(title).alias("split"), text.count_words(F.col("text")).alias("n_words")).where("n_words >= 20")
+    return corpus.within_budget(rows, 5000, words=F.col("n_words")).select("doc_id", "lang", "split", F.col("n_words").cast("long").alias("n_words"), "words_before")
 
 
 def first_sentence(spark, sf_dir):
@@ -87,7 +87,7 @@ def script_of_words(spark, sf_dir):
 
 
 def page_links(spark, sf_dir):
-    rows = readers.page_links(table(spark, sf_dir, "pages"), 50)
+    rows = readers.page_links(table(spark, sf_dir, "pages"))
     return rows.select("page_id", F.col("place").cast("long").alias("place"), "target")
 
 
@@ -153,7 +153,7 @@ def word_count_cases(spark, sf_dir):
 
 def scalar_functions(spark, sf_dir):
     """Small string helpers over the benchmark's texts."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("t"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
     words = F.slice(F.split("t", " "), 1, 3)
     return rows.select(
         "item_id",
@@ -209,7 +209,7 @@ ORACLES = {
     "word_budget_prefix": f"with t as (select doc_id, lang, sha1(source || '/' || doc_id) as h, {sql_words('text')}::bigint as n_words from documents where {sql_words('text')} >= 20), s as (select doc_id, lang, case when {SHA_RESIDUE} = 0 then 'heldout' else 'train' end as split, n_words from t), b as (select *, coalesce(sum(n_words) over (partition by lang, split order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as words_before from s) select * from b where words_before < 5000",
     "first_sentence": f"with t as (select doc_id, regexp_extract_all(string_split(text, chr(10))[1], '[^{WS29}]+') as w from documents), e as (select doc_id, w, list_filter(range(6, len(w) + 1), lambda i: regexp_matches(w[i], '[.\\x{{964}}\\x{{6D4}}?!]$')) as ends from t) select doc_id, array_to_string(w[1:least(coalesce(ends[1], 18), 18)], ' ') as sentence from e",
     "script_of_words": f"with t as (select lang, unnest({sql_pretokens('text')}) as word from documents), c as (select lang, word, count(*) as n from t group by 1, 2) select lang, {_SCRIPT} as script, count(*) as n_words, sum(n)::bigint as n from c group by 1, 2",
-    "page_links": r"""with t as (select page_id, regexp_extract_all(html, '<a\b[^>]*?\bhref=["'']([^"'']*)["'']', 1)[1:50] as l from pages) select page_id, unnest(range(len(l)))::bigint as place, unnest(l) as target from t""",
+    "page_links": r"""with t as (select page_id, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref=["'']([^"'']*)["'']', 1)[1:5000] as l from pages) select page_id, unnest(range(len(l)))::bigint as place, unnest(l) as target from t""",
     "html_all_text": f"select page_id, sha256({HTML_ALL}) as sha256 from pages",
     "html_word_counts": f"with t as (select page_id, {HTML_ALL} as t from pages) select page_id, length(t)::bigint as chars, {sql_words('t')}::bigint as words from t",
     "extraction_sensitivity": f"""with p as (select regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang, html, array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), chr(10)) as para from pages),
@@ -221,7 +221,7 @@ select f.variant, max(fertility) filter (lang = 'de') as de, max(fertility) filt
     "akshara_violations_fixture": _values([(w, "|".join(p), n) for w, p, n in SPLIT_CASES], "word, pieces, bad"),
     "grapheme_cases": _values(GRAPHEME_CASES, "word, n"),
     "word_count_cases": _values([("61C2A062E2808963202064 0A0A65".replace(" ", ""), 5, 5), ("E0A49CE0A4B5E0A4BEE0A4B9E0A4B0E2808CE0A4B2E0A4BEE0A4B2", 1, 1), ("", 0, 0), ("2020", 0, 0), ("781C79", 2, 1)], "bytes, python, unicode"),
-    "scalar_functions": r"""with t as (select item_id, substr(text, 1, 40) as t from benchmark), w as (select *, string_split(t, ' ')[1:3] as w from t)
+    "scalar_functions": r"""with t as (select item_id, text as t from benchmark), w as (select *, string_split(t, ' ')[1:3] as w from t)
 select item_id, replace(replace(url_encode(replace(t, ' ', '_')), '+', '%20'), '~', '%7E') as url, replace(replace(replace(replace('<a href="x">&' || t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped,
  case when len(w) < 2 then array_to_string(w, '') else array_to_string(w[1:len(w) - 1], ', ') || ' and ' || w[-1] end as spoken,
  regexp_replace(hex(encode(substr(t, 1, 1))), '(..)', '<0x\1>', 'g') as bytes, (length(t) // 7) || '.' || lpad(((length(t) % 7)::hugeint * 1000000000 // 7)::varchar, 9, '0') as ratio,
