@@ -63,6 +63,8 @@ def test_query_equals_brute_force(spark, whole):
     rows = {r.doc_id: r for r in docs.withColumn("edits", tc.revision(F.col("text"), F.col("doc_id"))).collect()}
     got = tc.edited_token_counts(docs, PATH).collect()
     assert len(got) == len(rows)
+    long = [(r.n_reencoded, len(tc.PRE_TOKEN.findall(rows[r.doc_id].text))) for r in got if len(rows[r.doc_id].text) > 2000]
+    assert len(long) > 20 and sum(a for a, _ in long) < 0.1 * sum(b for _, b in long)  # the kept trees are reused
     for r in got:
         text = rows[r.doc_id].text
         assert r.n_tokens == whole(text)
@@ -82,3 +84,8 @@ def test_trees_and_edits_as_tables(spark, whole):
     assert all(r.new_n_tokens == whole(r.new_text) for r in made)
     assert tc.edited_token_counts(docs.where("false"), PATH).collect() == []
     assert len(tc.edited_token_counts(docs, PATH).collect()) == 4
+
+
+def test_a_file_that_splits_otherwise_is_refused():
+    with pytest.raises(ValueError, match="does not split"):
+        tc.counter(public_tokenizers.path("word_bpe_49k.json"))

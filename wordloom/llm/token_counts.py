@@ -6,6 +6,7 @@ characters to the first pre-token that it can change, splits the text anew from
 one behind the edit, replaces the leaves in between and corrects the sums on the way up. Every other count is reused.
 """
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.session import slices
+from wordloom.session import scratch, slices
 
 LEAF = 64
 _CACHED = 1 << 18
@@ -48,6 +49,10 @@ def counter(path: str) -> _Counts:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(tokenizer.to_str())
+        split = settings["pre_tokenizer"] or {}
+        if settings["normalizer"] or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) != ("ByteLevel", False, True):
+            raise ValueError(f"{path} does not split words as PRE_TOKEN does")
         tokenizer.encode_special_tokens = True
         _counters[path] = _Counts(lambda piece: len(tokenizer.encode(piece, add_special_tokens=False).ids))
     return _counters[path]
@@ -188,9 +193,10 @@ def build_trees(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return _mapped(docs, [("tree", pa.binary(), "binary"), ("n_tokens", pa.int64(), "long")], run)
 
 
-def apply_edits(trees: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(new_text, new_tree, new_n_tokens, n_reencoded) in front of trees' columns, which are text, tree and edits, an
-    array<struct<start,length,replacement>> that is applied in its order, each edit to the text that the last one left.
+def apply_edits(trees: DataFrame, tokenizer_path: str, made: tuple[str, ...] = ("new_text", "new_tree", "new_n_tokens", "n_reencoded")) -> DataFrame:
+    """(new_text, new_tree, new_n_tokens, n_reencoded), or those of them in `made`, in front of trees' columns, which are text,
+    tree and edits, an array<struct<start,length,replacement>> that is applied in its order, each edit to the text that the
+    last one left.
 
     Positions are code points and are cut to the text; null edits, null members and null replacements (nothing) are allowed.
     """
@@ -204,9 +210,11 @@ def apply_edits(trees: DataFrame, tokenizer_path: str) -> DataFrame:
             end = min(len(text), start + max(0, edit["length"] or 0))
             text, n = tree.edit(text, start, end, edit["replacement"] or "", count)
             again += n
-        return text, tree.to_bytes(), tree.tokens, again
+        out = {"new_text": text, "new_n_tokens": tree.tokens, "n_reencoded": again}
+        return tuple(tree.to_bytes() if c == "new_tree" else out[c] for c in made)
 
-    return _mapped(trees, [("new_text", pa.string(), "string"), ("new_tree", pa.binary(), "binary"), ("new_n_tokens", pa.int64(), "long"), ("n_reencoded", pa.int64(), "long")], run)
+    types = {"new_text": (pa.string(), "string"), "new_tree": (pa.binary(), "binary"), "new_n_tokens": (pa.int64(), "long"), "n_reencoded": (pa.int64(), "long")}
+    return _mapped(trees, [(c, *types[c]) for c in made], run)
 
 
 def revision(text: Column, doc_id: Column) -> Column:
@@ -228,21 +236,13 @@ def edited_token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, n_tokens_edited, n_reencoded for each row of docs: tokens before and after `revision`, and the
     pre-tokens that had to be encoded again for it.
 
-    A null text counts as empty. Null ids and repeated rows stay, an empty table gives no rows, other columns are not read.
+    The trees are kept: they are written with the texts they count, as a corpus keeps them, and read back when the edits
+    arrive. A null text counts as empty. Null ids and repeated rows stay, an empty table gives no rows, other columns are
+    not read, texts of any length are counted whole.
     """
+    path = scratch(docs.sparkSession, "trees")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    planned = rows.withColumn("edits", revision(F.col("text"), F.col("doc_id")))
-
-    def run(row: dict) -> tuple:  # both steps at once, so that no tree has to leave its worker
-        count = counter(tokenizer_path)
-        text, again = row["text"], 0
-        tree = Tree.of(text, count)
-        before = tree.tokens
-        for e in row["edits"]:
-            start = min(e["start"], len(text))
-            text, n = tree.edit(text, start, min(len(text), start + e["length"]), e["replacement"], count)
-            again += n
-        return before, tree.tokens, again
-
-    made = _mapped(planned, [("n_tokens", pa.int64(), "long"), ("n_tokens_edited", pa.int64(), "long"), ("n_reencoded", pa.int64(), "long")], run)
-    return made.select("doc_id", "n_tokens", "n_tokens_edited", "n_reencoded")
+    build_trees(rows, tokenizer_path).write.option("compression", "zstd").parquet(path)
+    kept = docs.sparkSession.read.parquet(path)
+    made = apply_edits(kept.withColumn("edits", revision(F.col("text"), F.col("doc_id"))), tokenizer_path, ("new_n_tokens", "n_reencoded"))
+    return made.select("doc_id", "n_tokens", F.col("new_n_tokens").alias("n_tokens_edited"), "n_reencoded")
