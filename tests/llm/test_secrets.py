@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from wordloom.llm import secrets
@@ -15,11 +16,29 @@ def plain_candidates(text):
     return [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{8,}", text or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
 
 
-def test_forest_equals_what_spark_prints(spark):
-    text = "Forest\n  Tree 0 (weight 1.0):\n    If (feature 0 <= 2.5)\n     Predict: 0.0\n    Else (feature 0 > 2.5)\n     If (feature 3 <= 0.5)\n      Predict: 1.0\n     Else (feature 3 > 0.5)\n      Predict: 0.0\n  Tree 1 (weight 1.0):\n    Predict: 1.0\n"
-    made = secrets.forest_of(text, 3)
-    rows = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0],), ([3.0, 0.0, 0.0, 0.0],), ([3.0, 0.0, 0.0, 1.0],)], "f array<double>")
-    assert [r.s for r in rows.select(made.score(F.col("f")).alias("s")).collect()] == [0.5, 1.0, 0.5]
+def test_forest_votes_like_the_model_on_candidates_of_the_table(spark):
+    model = secrets.fitted(secrets.labelled_findings(spark), depth=4)
+    forest = secrets.forest_of(model, 4)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = secrets.scan(docs, forest).where(F.size("findings") > 0).select("row.text", F.explode("findings").alias("x"))
+    left = F.right(F.substring(F.col("text"), F.lit(1), F.col("x.start")), F.lit(secrets.CONTEXT))
+    table = found.select("x.score", secrets.features(F.col("x.token"), left, F.substring(F.col("text"), F.col("x.end") + 1, F.lit(16))).alias("f")).collect()
+    assert len(table) > 50
+
+    def share(f):
+        votes = [tree.predict(Vectors.dense(f)) for tree in model.trees]
+        return sum(votes) / len(votes)
+
+    shares = [share(r.f) for r in table[:400]]
+    assert sum(abs(s - r.score) < 1e-9 for s, r in zip(shares, table)) >= 0.98 * len(shares)  # right contexts end at the next candidate
+
+
+def test_forest_equals_the_model_on_findings(spark):
+    model = secrets.fitted(secrets.labelled_findings(spark, 600), trees=5, depth=3)
+    forest = secrets.forest_of(model, 3)
+    rows = secrets.labelled_findings(spark, 400, "more").select(secrets.features(F.col("token"), F.col("left"), F.col("right")).alias("f"))
+    for r in rows.select("f", forest.score(F.col("f")).alias("s")).collect():
+        assert abs(r.s - sum(t.predict(Vectors.dense(r.f)) for t in model.trees) / 5) < 1e-9
 
 
 def test_held_out_findings(spark, forest):
@@ -89,7 +108,7 @@ def test_left_context_is_that_of_the_text(spark, forest, monkeypatch):
     text = "é" * 90 + " " + "ab1cdefg " * 9 + "x" * 70 + "1 k=ab12cd34 " + "ab1cdefg." * 12
     monkeypatch.setattr(secrets, "features", lambda token, left, right: F.array(F.xxhash64(left).cast("double")))
     monkeypatch.setattr(secrets.Forest, "score", lambda self, f: f[0])
-    rows = secrets.scan(spark.createDataFrame([(text,)], "text string"), forest).select(F.explode("_findings").alias("f")).select("f.start", "f.score")
+    rows = secrets.scan(spark.createDataFrame([(text,)], "text string"), forest).select(F.explode("findings").alias("f")).select("f.start", "f.score")
     want = spark.createDataFrame([(a, text[max(0, a - secrets.CONTEXT) : a]) for a, _ in plain_candidates(text)], "start int, left string").select("start", F.xxhash64("left").cast("double").alias("score"))
     assert rows.count() == want.count() and rows.exceptAll(want).count() == 0
 
@@ -117,3 +136,11 @@ def test_values_that_are_no_runs(spark, forest):
 def test_long_values(spark, forest):
     docs = spark.createDataFrame([(1, "password=" + "a.b,c;" * 50000), (2, "password = '" + "x y" * 50000 + "'")], "doc_id long, text string")
     assert {r.doc_id: r.n_candidates for r in secrets.secret_scan(docs, forest).collect()} == {1: 1, 2: 1}
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    long = "plain words here " * 40000 + "password=b7db7aa4a5fcc78305 " + "more words " * 10000
+    docs = spark.createDataFrame([(1, long, 2, 3, 4), (1, long, 2, 3, 4), (None, None, None, None, None)], "doc_id long, text string, findings int, row int, _between int")
+    made = secrets.redacted(docs)
+    assert made.columns == docs.columns and sorted(r.text or "" for r in made.collect()) == ["", *[long.replace("b7db7aa4a5fcc78305", "[SECRET]")] * 2]
+    assert {(r.findings, r.row, r._between) for r in made.collect()} == {(2, 3, 4), (None, None, None)}

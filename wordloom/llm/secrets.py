@@ -6,10 +6,9 @@ scoring is a projection inside the scan: no shuffle, no Python, and the texts ar
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,47 +186,54 @@ class Forest:
         return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), ballot), F.lit(0.0), lambda s, v: s + v) / trees
 
 
-def train(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int = 11) -> Forest:
-    """A forest over findings (token, left, right, label), grown by Spark's learner."""
+def fitted(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int = 11) -> RandomForestClassificationModel:
+    """Spark's random forest over findings (token, left, right, label)."""
     table = findings.select(features(F.col("token"), F.col("left"), F.col("right")).alias("f"), F.col("label").cast("double").alias("label"))
     wide = table.select("label", *[F.col("f")[i].alias(name) for i, name in enumerate(FEATURES)])
     wide = checkpointed(wide.coalesce(1))  # a small table; the learner reads it several times
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=5).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(wide))
-    return forest_of(model.toDebugString, depth)
-
-
-def forest_of(text: str, depth: int) -> Forest:
-    """The forest that Spark prints as nested If/Else lines; a leaf above the full depth fills all leaves below it."""
-    trees: list[list[str]] = []
-    for line in text.splitlines():
-        if line.strip().startswith("Tree "):
-            trees.append([])
-        elif trees and line.strip():
-            trees[-1].append(line.strip())
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=5).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(wide))
+
+
+def train(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int = 11) -> Forest:
+    """A forest over findings, grown by Spark's learner."""
+    return forest_of(fitted(findings, trees, depth, seed), depth)
+
+
+def forest_of(model: RandomForestClassificationModel, depth: int) -> Forest:
+    """The model's trees, each filled up to the full depth: a leaf above it stands for all leaves below."""
+    trees = [tree._java_obj.rootNode() for tree in model.trees]
     inner, leaves = (1 << depth) - 1, 1 << depth
     feature, limit, vote = [0] * (inner * len(trees)), [float("inf")] * (inner * len(trees)), [0.0] * (leaves * len(trees))
 
-    def fill(lines: list[str], tree: int, node: int, level: int) -> None:
-        line = lines.pop(0)
-        if found := re.fullmatch(r"Predict: ([0-9.]+)", line):
-            first = (node + 1 << depth - level) - leaves
-            vote[tree * leaves + first : tree * leaves + first + (1 << depth - level)] = [float(found[1])] * (1 << depth - level)
+    def fill(tree: int, node, at: int, level: int) -> None:
+        if node.subtreeDepth() == 0:
+            first = (at + 1 << depth - level) - leaves
+            vote[tree * leaves + first : tree * leaves + first + (1 << depth - level)] = [node.prediction()] * (1 << depth - level)
             return
-        at, value = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line).groups()
-        feature[tree * inner + node], limit[tree * inner + node] = int(at), float(value)
-        fill(lines, tree, 2 * node + 1, level + 1)
-        if not lines.pop(0).startswith("Else "):
-            raise ValueError("a branch without its other side")
-        fill(lines, tree, 2 * node + 2, level + 1)
-
-    for k, lines in enumerate(trees):
-        fill(lines, k, 0, 0)
+        feature[tree * inner + at], limit[tree * inner + at] = node.split().featureIndex(), node.split().threshold()
+        fill(tree, node.leftChild(), 2 * at + 1, level + 1)
+        fill(tree, node.rightChild(), 2 * at + 2, level + 1)
+
+    for k, root in enumerate(trees):
+        fill(k, root, 0, 0)
     return Forest(depth, tuple(feature), tuple(limit), tuple(vote))
 
 
+_trained: dict[str, Forest] = {}
+
+
+def standard_forest(spark: SparkSession) -> Forest:
+    """The forest over labelled_findings, grown once per application."""
+    name = spark.sparkContext.applicationId
+    if name not in _trained:
+        _trained[name] = train(labelled_findings(spark))
+    return _trained[name]
+
+
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs with _findings, array<struct<start,end,token,score,secret>> of every candidate in its whole text, by start, and
-    _between, the pieces of text around them; null texts count as empty. Positions are code points, end exclusive."""
+    """Per row of docs: row, a struct of its columns; findings, array<struct<start,end,token,score,secret>> of every candidate in
+    its whole text, by start; and between, the pieces of text around them. Null texts count as empty. Positions are code
+    points, end exclusive."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = "array<struct<start:int,end:int,token:string,score:double,secret:boolean>>"
 
@@ -250,34 +256,34 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: str
 
     none = F.struct(F.array().cast(kind).alias("findings"), F.array(text).alias("between"))
     made = let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda t: F.when(F.size(t) > 0, both(t)).otherwise(none))
-    return docs.withColumn("_scan", made).withColumn("_findings", F.col("_scan.findings")).withColumn("_between", F.col("_scan.between")).drop("_scan")
+    return docs.select(F.struct("*").alias("row"), made.alias("scan")).select("row", "scan.findings", "scan.between")
 
 
 def secret_scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, n_candidates, n_secrets, top_score (0 without a candidate), spans (start:end of secrets, comma-joined).
 
     One row per row of docs: nulls count as empty texts, repeats and null ids stay, an empty table gives no rows, other
-    columns are not read.
+    columns are not read, texts of any length are read whole.
     """
-    forest = forest or train(labelled_findings(docs.sparkSession))
-    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), forest, threshold)
-    secret = F.filter("_findings", lambda x: x["secret"])
+    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), forest or standard_forest(docs.sparkSession), threshold)
+    secret = F.filter("findings", lambda x: x["secret"])
     return found.select(
-        "doc_id",
-        F.size("_findings").cast("long").alias("n_candidates"),
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("findings").cast("long").alias("n_candidates"),
         F.size(secret).cast("long").alias("n_secrets"),
-        F.coalesce(F.array_max(F.transform("_findings", lambda x: x["score"])), F.lit(0.0)).alias("top_score"),
+        F.coalesce(F.array_max(F.transform("findings", lambda x: x["score"])), F.lit(0.0)).alias("top_score"),
         F.array_join(F.transform(secret, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
     )
 
 
 def redacted(docs: DataFrame, forest: Forest | None = None, mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
-    """docs with each secret in text replaced by mark and n_chars, if there, made to fit; documents without stay as they are."""
-    found = scan(docs, forest or train(labelled_findings(docs.sparkSession)), threshold)
-    shown = F.concat(F.transform("_findings", lambda x: F.when(x["secret"], F.lit(mark)).otherwise(x["token"])), F.array(F.lit("")))
-    clean = F.array_join(F.flatten(F.zip_with("_between", shown, lambda b, s: F.array(b, s))), "")
-    has = F.exists("_findings", lambda x: x["secret"])
-    out = found.withColumn("text", F.when(has, clean).otherwise(F.col("text")))
+    """docs with each secret in text replaced by mark and n_chars, if there, made to fit; documents without stay as they are.
+    Nulls, repeats, empty tables and clashing names pass as in secret_scan, under docs' own names."""
+    found = scan(docs, forest or standard_forest(docs.sparkSession), threshold)
+    shown = F.concat(F.transform("findings", lambda x: F.when(x["secret"], F.lit(mark)).otherwise(x["token"])), F.array(F.lit("")))
+    clean = F.array_join(F.flatten(F.zip_with("between", shown, lambda b, s: F.array(b, s))), "")
+    out = found.select("row", F.exists("findings", lambda x: x["secret"]).alias("has"), F.when(F.exists("findings", lambda x: x["secret"]), clean).alias("clean"))
+    made = {"text": F.when(F.col("has"), F.col("clean")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(has, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("has"), F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
