@@ -88,3 +88,11 @@ def test_nulls_repeats_and_empty(spark):
     got = packing.best_fit_packing(docs, PATH).collect()
     assert sorted(r.length for r in got) == [1, 1, 1, 3] and check([(r.length, r.sequence_id, r.offset) for r in got], 2048) == 1
     assert packing.best_fit_packing(docs.where("false"), PATH).collect() == []
+
+
+def test_other_tokenizer_files_are_encoded_by_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, texts = Tokenizer.from_file(path), ["Some words, it's 12 of them", "", "  two  blanks "]
+    encoder = packing.Encoder(path)
+    assert not encoder.split and packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).split
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.many(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]

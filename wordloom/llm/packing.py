@@ -6,6 +6,7 @@ equal contents form one group, so the plan has a bounded size whatever the numbe
 planned places by their rank within their length.
 """
 
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -30,6 +31,18 @@ _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
+def _splits_alike(settings: dict) -> bool:
+    """Whether a tokenizer file lower-cases, drops blanks and splits words as _PIECES does, and marks the ends of words."""
+    normal = [(x.get("type"), x.get("pattern"), x.get("content")) for x in (settings["normalizer"] or {}).get("normalizers", [])]
+    split = [(x.get("type"), x.get("pattern"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in (settings["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    return (
+        normal == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and split == [("Split", {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+        and bool(settings["model"].get("end_of_word_suffix"))
+        and all("<|" in x["content"] for x in settings["added_tokens"])
+    )
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes; equal to encoding each whole text with the library.
 
@@ -41,7 +54,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        suffix = self.tokenizer.model.end_of_word_suffix
+        settings = json.loads(self.tokenizer.to_str())
+        self.split = _splits_alike(settings)
+        suffix = self.tokenizer.model.end_of_word_suffix or ""
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
@@ -57,7 +72,7 @@ class Encoder:
         self.known.update(zip(pieces, [data[a:b] for a, b in zip([0, *stops], stops)], strict=True))
 
     def _run(self, texts: list[str]) -> list[bytes]:
-        cut = [_PIECES.findall(x.lower()) if _PLAIN.fullmatch(x) and "<|" not in x else None for x in texts]
+        cut = [_PIECES.findall(x.lower()) if self.split and _PLAIN.fullmatch(x) and "<|" not in x else None for x in texts]
         seen = {piece for pieces in cut if pieces for piece in pieces}
         new = seen.difference(self.known)
         if len(self.known) + len(new) > _CACHED:
