@@ -148,3 +148,10 @@ b as (select *, (@BITS)::bigint as failed_rules from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules % 4 <> 0 as base_failed,
        failed_rules = 0 as kept, failed_rules, n_lines, n_exclamations, n_upper, n_distinct_words, n_stutters from b
 """.replace("@BITS", " + ".join(f"case when {r.fails} then {1 << k} else 0 end" for k, r in enumerate(RULES)))
+
+#: DuckDB SQL of ablations over the ledger of documents.
+ABLATIONS_SQL = ORACLE_SQL[: ORACLE_SQL.rindex("select doc_id")].rstrip() + f""",
+c as (select * from (values {", ".join(f"('{p}', {m}, '{r.name}', {1 << k})" for p, m in POLICIES.items() for k, r in enumerate(RULES) if m >> k & 1)}) as v(policy, mask, rule, bit))
+select policy, rule, count(*) as n_docs, count(*) filter (failed_rules & mask = 0) as n_kept, count(*) filter (failed_rules & bit <> 0) as n_failed, count(*) filter (failed_rules & mask = bit) as n_only
+from b, c group by policy, rule
+"""

@@ -24,6 +24,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy removes, and what it alone removes, from the ledger's bits."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_quality_rules": op3_quality_rules,
+        "quality_rule_ablations": quality_rule_ablations,
         "op4_secret_scan": op4_secret_scan,
         "op5_exact_top_k": op5_exact_top_k,
         "op6_personal_data": op6_personal_data,
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.ORACLE_SQL,
+        "quality_rule_ablations": quality_rules.ABLATIONS_SQL,
         "op5_exact_top_k": topk.ORACLE_SQL,
         "op8_source_mixing": mixing.ORACLE_SQL,
     }
