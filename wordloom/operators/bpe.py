@@ -7,9 +7,10 @@ configurations run side by side. Encoding segments each distinct word once and j
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,51 +51,120 @@ def segmented(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str
 def learned(words: list[tuple[list[str], int]], n_merges: int, least: int = 1, skip: set[str] | None = None) -> list[tuple[str, str, int]]:
     """The first n_merges merges (left, right, count): highest count first, ties by left, then right, in code-point order.
 
-    Pair counts and the words of each pair are kept up to date; a heap with stale entries gives the next pair. Products
-    in skip are joined but not listed, as their token exists already.
+    Learning ends at the first pair whose count is below least. Products in skip are joined but not listed, as their token
+    exists already. Counts are exact; their sum has to fit a 64-bit number.
     """
-    skip = skip or set()
-    parts, weight = [list(s) for s, _ in words], [n for _, n in words]
-    count: Counter = Counter()
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for w, symbols in enumerate(parts):
-        for pair in zip(symbols, symbols[1:]):
-            count[pair] += weight[w]
-            where[pair].add(w)
-    heap = [(-n, pair) for pair, n in count.items()]
+    symbols = Symbols(words)
+    heap = [(-n, symbols.spelled(key)) for key, n in symbols.count.items()]
     heapq.heapify(heap)
     made: list[tuple[str, str, int]] = []
     while heap and len(made) < n_merges:
-        n, pair = heapq.heappop(heap)
-        if count.get(pair, 0) != -n:
-            continue
+        n, (left, right) = heapq.heappop(heap)
+        key = symbols.key(left, right)
+        if symbols.count.get(key) != -n:
+            continue  # pushed before its count changed
         if -n < least:
             break
-        if pair[0] + pair[1] not in skip:
-            made.append((*pair, -n))
-        touched: Counter = Counter()
-        for w in where.pop(pair):
-            old, new = parts[w], replaced(parts[w], *pair)
-            before, after = Counter(zip(old, old[1:])), Counter(zip(new, new[1:]))
-            for p in before.keys() | after.keys():
-                if change := after[p] - before[p]:
-                    touched[p] += change * weight[w]
-                    if not after[p]:
-                        where[p].discard(w)
-                    elif not before[p]:
-                        where[p].add(w)
-            parts[w] = new
-        for p, change in touched.items():
-            if change:
-                count[p] += change
-                if count[p] > 0:
-                    heapq.heappush(heap, (-count[p], p))
-                else:
-                    del count[p]
-        count.pop(pair, None)
+        if not skip or left + right not in skip:
+            made.append((left, right, -n))
+        for changed in symbols.join(key):
+            heapq.heappush(heap, (-symbols.count[changed], symbols.spelled(changed)))
     return made
 
 
+class Symbols:
+    """All words' symbols end to end in arrays, with links to the neighbours that are left, the count of each pair of
+    neighbours and the places where it may start. A join rewrites all places of a pair at once."""
+
+    def __init__(self, words: list[tuple[list[str], int]]):
+        self.names: list[str] = []
+        self.ids: dict[str, int] = {}
+        flat = [self._id(x) for s, _ in words for x in s]
+        sizes = np.array([len(s) for s, _ in words], np.int64)
+        weights = [int(n) for _, n in words]
+        if sum(n * len(s) for (s, _), n in zip(words, weights)) >= 1 << 63:
+            raise OverflowError("scale the masses down: their sum does not fit 64 bits")
+        self.symbol = np.array(flat, np.int64)
+        self.weight = np.repeat(np.array(weights, np.int64), sizes)
+        n, ends = len(flat), np.cumsum(sizes)
+        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        full = ends[sizes > 0]
+        self.after[full - 1] = -1
+        self.before[(ends - sizes)[sizes > 0]] = -1
+        self.count: dict[int, int] = {}
+        self.places: dict[int, list[np.ndarray]] = defaultdict(list)
+        starts = np.flatnonzero(self.after >= 0)
+        self._enter(starts)
+        for key, total in zip(*self._sums(self._keys(starts), self.weight[starts]), strict=True):
+            self.count[key] = total
+
+    def _id(self, name: str) -> int:
+        if name not in self.ids:
+            self.ids[name] = len(self.names)
+            self.names.append(name)
+        return self.ids[name]
+
+    def key(self, left: str, right: str) -> int:
+        return self.ids[left] << 32 | self.ids[right]
+
+    def spelled(self, key: int) -> tuple[str, str]:
+        return self.names[key >> 32], self.names[key & 0xFFFFFFFF]
+
+    def _keys(self, at: np.ndarray) -> np.ndarray:
+        return self.symbol[at] << 32 | self.symbol[self.after[at]]
+
+    @staticmethod
+    def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[int]]:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.array([], np.int64)
+        return keys[first].tolist(), (np.add.reduceat(values[order], first).tolist() if len(first) else [])
+
+    def _enter(self, at: np.ndarray) -> None:
+        """Notes where pairs start, by pair."""
+        keys = self._keys(at)
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
+        for key, part in zip(keys[first].tolist(), np.split(at, first[1:]) if len(keys) else [], strict=True):
+            self.places[key].append(part)
+
+    def join(self, key: int) -> list[int]:
+        """Joins a pair, from the left and without overlaps, wherever it stands; the pairs whose count is another now, but for
+        those that are gone."""
+        left, right = key >> 32, key & 0xFFFFFFFF
+        at = np.unique(np.concatenate(self.places.pop(key)))
+        at = at[(self.symbol[at] == left) & (self.after[at] >= 0)]
+        at = at[self.symbol[self.after[at]] == right]
+        if left == right and len(at):  # in a run of equal symbols, every other pair
+            chained = np.r_[False, self.after[at[:-1]] == at[1:]]
+            start = np.flatnonzero(~chained)
+            at = at[(np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))) % 2 == 0]
+        second = self.after[at]
+        old = np.unique(np.concatenate([self.before[at], at, second]))
+        old = old[(old >= 0) & (self.after[old] >= 0)]
+        lost = self._keys(old), -self.weight[old]
+        behind = self.after[second]
+        self.symbol[at] = self._id(self.names[left] + self.names[right])
+        self.symbol[second] = -1
+        self.after[at] = behind
+        self.before[behind[behind >= 0]] = at[behind >= 0]
+        self.after[second] = -1
+        fresh = np.unique(np.concatenate([self.before[at], at]))
+        fresh = fresh[(fresh >= 0) & (self.after[fresh] >= 0)]
+        self._enter(fresh)
+        changed = []
+        for k, d in zip(*self._sums(np.concatenate([lost[0], self._keys(fresh)]), np.concatenate([lost[1], self.weight[fresh]])), strict=True):
+            if d:
+                total = self.count.get(k, 0) + d
+                if total:
+                    self.count[k] = total
+                    changed.append(k)
+                else:
+                    del self.count[k]
+        return changed
+
+
 MERGES = "rank int, left string, right string, n long"
 
 
