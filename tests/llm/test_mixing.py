@@ -91,9 +91,9 @@ def test_small_and_odd_sources(spark):
 @pytest.mark.parametrize("quota", [[3000, 1000, 96000, 0], [1, 7, 13, 10**6], [33333] * 30])
 def test_every_prefix_of_the_schedule_holds_the_shares(spark, quota):
     targets = spark.createDataFrame(list(enumerate(quota)), "source_id long, quota long")
-    made, block = mixing.schedule(targets, 50_000)
+    made, block, n = mixing.schedule(targets, 50_000)
     got = sorted((r.slot, r.source_id, r["rank"]) for r in made.collect())
-    assert [g[0] for g in got] == list(range(-(-sum(quota) // block)))
+    assert [g[0] for g in got] == list(range(n)) and n == -(-sum(quota) // block)
     count = dict.fromkeys(range(len(quota)), 0)
     for slot, source, rank in got:
         assert rank == count[source]
@@ -105,6 +105,7 @@ def test_every_prefix_of_the_schedule_holds_the_shares(spark, quota):
 def test_mixed_documents_hold_what_is_taken_in_slot_order(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(7).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
+    assert {r.doc_id for r in mixing.mixed_documents(docs.select("*")).collect()} == {r.doc_id for r in mixing.mixed_documents(docs).collect()}  # numbered, and by place
     first = {r.doc_id: (r.taken, r.first_slot) for r in mixing.mix(docs).collect()}
     made = mixing.mixed_documents(docs)
     # Another cut of the files between the reads must not change which row is which.

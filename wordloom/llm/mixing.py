@@ -13,6 +13,7 @@ source's share up to a few blocks.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +60,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return made.select("source_id", "source", "source_size", "target", F.least(F.lit(most) * F.col("source_size"), F.floor(F.col("target") + 1e-6)).cast("long").alias("quota"))
 
 
-def schedule(targets: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, int]:
-    """(source_id, rank, slot) for every slot of the mix, ranks without gaps, and the words of a block.
+def schedule(targets: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, int, int]:
+    """(source_id, rank, slot) for every slot of the mix, ranks without gaps, the words of a block, and the number of slots.
 
     The quotas laid end to end are a line, scaled to POINTS; slot i plays the source in which i * GOLDEN mod POINTS falls.
     A source without a point plays nothing.
@@ -77,12 +78,13 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, int]:
     points = targets.sparkSession.range(n).select(F.col("id").alias("slot"), F.expr(f"id % {POINTS} * {GOLDEN} % {POINTS}").alias("at"))
     dealt = points.withColumn("bucket", F.expr(f"at div {width}")).join(spread, "bucket").where("at >= begin and at < end")
     chunked = dealt.select("source_id", "slot", F.expr(f"slot div {SLOT_CHUNK}").alias("_chunk"))
-    return checkpointed(with_offsets(chunked, ["source_id"], ["slot"], F.lit(1), "rank").select("source_id", "rank", "slot")), block
+    return checkpointed(with_offsets(chunked, ["source_id"], ["slot"], F.lit(1), "rank").select("source_id", "rank", "slot")), block, n
 
 
-def plays(rows: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """Rows (uid, doc_id, source, size, h) with source_id, source_size and target; and the plays of the mix, (uid, turn, words,
-    slot, n_slots): the first `words` words of the row, from `slot` on, over n_slots slots.
+def plays(rows: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (uid, doc_id, source, size, h) with source_id, source_size and target; and the plays of the mix, (uid, turn, size,
+    words, slot, n_slots): the first `words` words of the row, from `slot` on, over n_slots slots;
+    and the number of slots.
 
     h, a hash of what the row holds, shuffles the rows of a source; rows of equal h are taken to be equal.
     """
@@ -90,16 +92,16 @@ def plays(rows: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     laid = ranged(rows, ["source", "h", "uid"])
     starts = with_offsets(laid, ["source"], ["h", "uid"], F.col("size"), "begin")
     targets = checkpointed(source_targets(laid.select("source", "size")))
-    scheduled, block = schedule(targets, slots)
+    scheduled, block, n = schedule(targets, slots)
     blocks = scheduled.groupBy("source_id").agg(F.count("*").alias("blocks"))
     ends = F.least(F.col("source_size") * MOST, F.coalesce("blocks", F.lit(0)) * block)
     played = checkpointed(targets.join(blocks, "source_id", "left").withColumn("played", ends).withColumnRenamed("source", "_source"))
     placed = checkpointed(starts.join(played, F.col("source").eqNullSafe(F.col("_source"))).select("uid", "doc_id", "source", "size", "source_id", "source_size", "target", "played", "begin"))
     passes = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(played - 1 - begin) div source_size")))
     shown = placed.where("size > 0 and begin < played").select("uid", "source_id", "size", "played", passes.alias("turn"), F.expr("begin + turn * source_size").alias("lo"))
-    cut = shown.select("uid", "source_id", "turn", F.expr("least(size, played - lo)").alias("words"), F.expr(f"lo div {block}").alias("rank"), F.expr(f"(least(lo + size, played) - 1) div {block} - lo div {block} + 1").alias("n_slots"))
+    cut = shown.select("uid", "source_id", "turn", "size", F.expr("least(size, played - lo)").alias("words"), F.expr(f"lo div {block}").alias("rank"), F.expr(f"(least(lo + size, played) - 1) div {block} - lo div {block} + 1").alias("n_slots"))
     met = cut.join(scheduled.hint("merge"), ["source_id", "rank"])
-    return placed, met.select("uid", "turn", "words", "slot", "n_slots")
+    return placed, met.select("uid", "turn", "size", "words", "slot", "n_slots"), n
 
 
 def _size(text: Column) -> Column:
@@ -119,36 +121,48 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """
     uid = F.monotonically_increasing_id().alias("uid")
     rows = docs.select(uid, F.col("doc_id").cast("long").alias("doc_id"), "source", _size(F.col("text")).alias("size"), _content(F.col("doc_id"), F.col("text")).alias("h"))
-    placed, played = plays(rows, slots)
+    placed, played, _ = plays(rows, slots)
     got = played.groupBy("uid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.sum("n_slots").alias("n_slots"))
     met = placed.join(got.hint("merge"), "uid", "left")
     return met.select("doc_id", "size", "source_size", "target", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) if c != "first_slot" else F.col(c) for c in ("taken", "first_slot", "n_slots")])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(uid, row): docs' rows with a key that two reads agree on, however the files are split. Rows of a plain scan of files have
+    their file and place in it; any others are numbered once, in a table in the shared folder."""
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    if plan == "LogicalRelation" and docs.columns and "_metadata" not in docs.columns:
+        place = F.concat_ws(":", F.md5("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+        try:
+            return docs.select(place.alias("uid"), F.struct("*").alias("row"))
+        except AnalysisException:  # a format without places
+            pass
+    path = scratch(docs.sparkSession, "mixed")
+    docs.select(F.monotonically_increasing_id().cast("string").alias("uid"), F.struct("*").alias("row")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def mixed_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """The documents of the mix in the order of their slots, as often as they are played: whole texts, and the first words of
     those that a source's end cuts. Columns are those of docs, n_chars (if there) brought up to date.
 
-    Rows are numbered once, in a table in the shared folder, so that no second read of docs can number them otherwise.
-    Partitions are ranges of slots in ascending order, sorted inside. Null and wordless texts are never played; nulls in
-    other columns, repeated rows, clashing names and empty tables are as in `mix`.
+    Rows keep their keys between reads, see _keyed. Partitions are ranges of slots in ascending order, sorted inside. Null and
+    wordless texts are never played; nulls in other columns, repeated rows, clashing names and empty tables are as in `mix`.
     """
-    spark, path = docs.sparkSession, scratch(docs.sparkSession, "mixed")
-    size, content = _size(F.col("text")), _content(F.col("doc_id"), F.col("text"))
-    source, doc_id = F.col("source").alias("source"), F.col("doc_id").cast("long").alias("doc_id")
-    docs.select(F.monotonically_increasing_id().alias("uid"), doc_id, source, size.alias("size"), content.alias("h"), F.struct("*").alias("row")).write.parquet(path)
-    kept = spark.read.parquet(path)
-    _, played = plays(kept.select("uid", "doc_id", "source", "size", "h"), slots)
-    each = kept.select("uid", "size", "row").join(played, "uid")
+    spark, kept = docs.sparkSession, _keyed(docs)
+    text, doc_id = F.col("row.text"), F.col("row.doc_id").cast("long")
+    _, played, n = plays(kept.select("uid", doc_id.alias("doc_id"), F.col("row.source").alias("source"), _size(text).alias("size"), _content(doc_id, text).alias("h")), slots)
+    each = kept.join(played, "uid")
     part = F.col("words").cast("string")
     pattern = F.concat(F.lit("^[\\x20\\x09-\\x0D]*+(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){"), part, F.lit("}+"))
-    whole, text = F.col("words") == F.col("size"), F.col("row.text")
-    cut = each.withColumn("now", F.when(whole, text).otherwise(F.call_function("regexp_extract", text, pattern, F.lit(0))))
+    whole = F.col("words") == F.col("size")
+    made = {"text": F.when(whole, text).otherwise(F.call_function("regexp_extract", text, pattern, F.lit(0)))}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length(made["text"]).cast("long"))
+    played_rows = each.select("slot", "uid", "turn", F.struct(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]).alias("out"))
     ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    width = max(1, -(-2 * max(slots, 1) // ways))
-    dealt = cut.repartitionById(ways, F.expr(f"cast(least(slot div {width}, {ways - 1}) as int)")).sortWithinPartitions("slot", "uid", "turn")
-    made = {"text": F.col("now"), "n_chars": F.when(whole, F.col("row.n_chars")).otherwise(F.length("now").cast("long")) if "n_chars" in docs.columns else None}
-    return dealt.select(*[made[c].alias(c) if made.get(c) is not None else F.col("row").getField(c).alias(c) for c in docs.columns])
+    dealt = played_rows.repartitionById(ways, F.expr(f"cast(slot * {ways}L div {max(n, 1)} as int)"))
+    return dealt.sortWithinPartitions("slot", "uid", "turn").select("out.*")
 
 
 #: DuckDB SQL of mix over documents, with a schedule of its own.
