@@ -116,10 +116,22 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BINS)), pa.array(np.r_[n, found])], ["bin", "n"])
 
 
+def _packed(count: np.ndarray) -> bytes:
+    """Bins that occur, and how often."""
+    at = np.flatnonzero(count)
+    return at.astype("<u2").tobytes() + count[at].astype("<u4").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n, out = len(data) // 6, np.zeros(BINS)
+    out[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<u4", n, 2 * n)
+    return out
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, h, head, counts) of rows (text, lang, h) whose text has a letter: what clustering needs, of bounded size."""
     for batch in slices(batches):
-        made = [(lang.as_py(), h.as_py(), text.as_py()[: EXCERPTS[-1]], c.astype(np.uint32).tobytes()) for text, lang, h in zip(*batch.columns, strict=True) if (c := counts(text.as_py())) is not None]
+        made = [(lang.as_py(), h.as_py(), text.as_py()[: EXCERPTS[-1]], _packed(c)) for text, lang, h in zip(*batch.columns, strict=True) if (c := counts(text.as_py())) is not None]
         cols = zip(*made, strict=True) if made else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["lang", "h", "head", "counts"])
 
@@ -158,7 +170,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_
 
     def cluster(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         first = table.sort_by([("h", "ascending")]).slice(0, sample)
-        made = [np.frombuffer(x.as_py(), np.uint32).astype(np.float64) for x in first.column("counts")]
+        made = [_unpacked(x.as_py()) for x in first.column("counts")]
         vectors = np.array([vector(c, idf) for c in made])
         centres = _cluster(vectors, k)
         floors = _floors(first.column("head").to_pylist(), made, idf, centres).tobytes()
