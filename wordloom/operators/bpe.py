@@ -267,6 +267,12 @@ def vocabulary(base: DataFrame, merges: DataFrame, size: int | None = None, fixe
     return out if size is None else out.where(F.col("id") < size)
 
 
+def page(rows: DataFrame, order: str, number: int, size: int = 50) -> DataFrame:
+    """Page `number` (from 0) of rows by `order`; a number outside the pages that there are gives the nearest one."""
+    last = max(0, (rows.count() - 1) // size)
+    return rows.orderBy(order).offset(min(max(0, number), last) * size).limit(size)
+
+
 def segment_words(words: DataFrame, merges: list[tuple[str, str]], alphabet: set[str] | None = None, byte_fallback: bool = False) -> DataFrame:
     """words (distinct `word`) with `tokens`. Characters outside the alphabet become <unk>, one each, or their bytes.
 

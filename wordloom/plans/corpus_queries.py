@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import script, text
-from wordloom.operators import bpe, corpus, measure, search, train
+from wordloom.operators import bpe, corpus, measure
 from wordloom.plans.text_queries import docs, sql_norm, sql_pretokens, sql_words
 from wordloom.session import checkpointed, table
+from wordloom.sources.cache import kept
 
 #: Micro-weights of the languages in the weighted queries; each source counts alike.
 WEIGHTS = (("de", 2_000_000), ("en", 1_000_000), ("es", 2_500_000), ("fr", 1_500_000))
-MERGES = 20
+MERGES = 60
 FEW = 30  # alphabet filter: least occurrences of a character
 
 
@@ -21,7 +22,12 @@ def _lang_weights(spark: SparkSession) -> DataFrame:
 
 
 def _counts(spark, sf_dir) -> DataFrame:
-    return corpus.word_counts(docs(spark, sf_dir), keys=("lang",))
+    """Occurrences of every pre-token by language: counted once per session, as every query here starts from them."""
+    return kept(spark, ("word_counts", sf_dir), lambda: corpus.word_counts(docs(spark, sf_dir), keys=("lang",)))
+
+
+def _all_words(spark, sf_dir) -> DataFrame:
+    return _counts(spark, sf_dir).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _weighted(spark, sf_dir) -> DataFrame:
@@ -29,7 +35,7 @@ def _weighted(spark, sf_dir) -> DataFrame:
 
 
 def pretoken_counts_topk(spark, sf_dir):
-    return corpus.word_counts(docs(spark, sf_dir), keys=()).orderBy(F.desc("n"), "word").limit(50)
+    return _all_words(spark, sf_dir).orderBy(F.desc("n"), "word").limit(50)
 
 
 def pretoken_punct_counts(spark, sf_dir):
@@ -44,11 +50,11 @@ def punct_floor_per_lang(spark, sf_dir):
 
 
 def weighted_word_counts(spark, sf_dir):
-    return _weighted(spark, sf_dir).orderBy(F.desc("mass"), "word").limit(200).select("word", F.col("mass").cast("long").alias("mass"))
+    return _weighted(spark, sf_dir).select("word", F.col("mass").cast("long").alias("mass"))
 
 
 def rounded_word_counts(spark, sf_dir):
-    return corpus.rounded_counts(_weighted(spark, sf_dir)).where("k >= 50")
+    return corpus.rounded_counts(_weighted(spark, sf_dir))
 
 
 def char_frequency(spark, sf_dir):
@@ -61,7 +67,7 @@ def _eval_words(spark, sf_dir) -> DataFrame:
 
 def alphabet_filter(spark, sf_dir):
     """Words and occurrences that are left when rare characters are dropped, unless the benchmark has them."""
-    counts = checkpointed(_counts(spark, sf_dir))
+    counts = _counts(spark, sf_dir)
     words = counts.groupBy("word").agg(F.sum("n").alias("mass"))
     kept = corpus.alphabet_filtered(words, corpus.kept_characters(words, FEW, _eval_words(spark, sf_dir)))
     return counts.join(kept.select("word"), "word", "left_semi").groupBy("lang").agg(F.count("*").alias("n_words"), F.sum("n").alias("n"))
@@ -72,7 +78,7 @@ def base_vocabulary_ids(spark, sf_dir):
 
 
 def adjacent_pair_counts(spark, sf_dir):
-    return corpus.adjacent_pairs(_weighted(spark, sf_dir)).orderBy(F.desc("mass"), "left", "right").limit(100).select("left", "right", F.col("mass").cast("long").alias("mass"))
+    return corpus.adjacent_pairs(_weighted(spark, sf_dir)).select("left", "right", F.col("mass").cast("long").alias("mass"))
 
 
 def top_pairs_per_lang(spark, sf_dir):
@@ -83,24 +89,20 @@ def top_pairs_per_lang(spark, sf_dir):
     return sums.withColumn("rank", rank).where("rank <= 5").select("lang", "rank", "left", "right", "n")
 
 
-def _spanish(spark, sf_dir) -> DataFrame:
-    return corpus.word_counts(docs(spark, sf_dir).where("lang = 'es'"), keys=())
-
-
-def _merges(spark, sf_dir, n: int = MERGES) -> DataFrame:
-    return bpe.learn_merges(_spanish(spark, sf_dir), n)
+def _merges(spark, sf_dir) -> DataFrame:
+    return kept(spark, ("merges", sf_dir, MERGES), lambda: bpe.learn_merges(_all_words(spark, sf_dir), MERGES))
 
 
 def bpe_merges_first_n(spark, sf_dir):
-    return _merges(spark, sf_dir)
+    return bpe.learn_merges(_all_words(spark, sf_dir), MERGES)
 
 
 def bpe_merges_relational(spark, sf_dir):
-    return bpe.learn_merges_relational(_spanish(spark, sf_dir), 5)
+    return bpe.learn_merges_relational(_all_words(spark, sf_dir), 5)
 
 
 def _vocabulary(spark, sf_dir) -> DataFrame:
-    return bpe.vocabulary(corpus.base_vocabulary(_spanish(spark, sf_dir)), _merges(spark, sf_dir))
+    return bpe.vocabulary(corpus.base_vocabulary(_all_words(spark, sf_dir)), _merges(spark, sf_dir))
 
 
 def bpe_vocabulary(spark, sf_dir):
@@ -120,17 +122,13 @@ def vocab_script_facets(spark, sf_dir):
 
 
 def vocab_page(spark, sf_dir):
-    """The second page of ten of the Latin tokens with an o."""
+    """The Latin tokens with an o, seven to a page: the last page, as the one that is asked for is past it."""
     rows = _vocabulary(spark, sf_dir).where(F.contains("token", F.lit("o")) & (script.script_of(F.col("token")) == "Latin"))
-    return rows.orderBy("id").offset(10).limit(10).select("id", "token", F.length("token").cast("long").alias("code_points"))
-
-
-def _table(spark, sf_dir, n: int = MERGES) -> list[tuple[str, str]]:
-    return [(r["left"], r["right"]) for r in _merges(spark, sf_dir, n).orderBy("rank").collect()]  # as large as the vocabulary
+    return bpe.page(rows, "id", 99, 7).select("id", "token", F.length("token").cast("long").alias("code_points"))
 
 
-def _alphabet(spark, sf_dir) -> set[str]:
-    return {r["token"] for r in corpus.base_vocabulary(_spanish(spark, sf_dir)).where("kind = 'char'").collect()}
+def _table(spark, sf_dir) -> list[tuple[str, str]]:
+    return [(r["left"], r["right"]) for r in _merges(spark, sf_dir).orderBy("rank").collect()]  # as large as the vocabulary
 
 
 def bpe_encode_fertility(spark, sf_dir):
@@ -142,13 +140,18 @@ def fertility_spread_score(spark, sf_dir):
 
 
 def unk_counts(spark, sf_dir):
-    """Unknown characters per language for an alphabet of the Spanish texts."""
-    return measure.evaluate(docs(spark, sf_dir), [], ("lang",), alphabet=_alphabet(spark, sf_dir), check_aksharas=False).select("lang", "tokens", "unk")
+    """Unknown characters per language for the alphabet of the benchmark."""
+    alphabet = {r["token"] for r in corpus.base_vocabulary(_eval_words(spark, sf_dir)).where("kind = 'char'").collect()}
+    return measure.evaluate(docs(spark, sf_dir), [], ("lang",), alphabet=alphabet, check_aksharas=False).select("lang", "tokens", "unk")
 
 
 def roundtrip_check(spark, sf_dir):
-    rows = measure.round_trip(table(spark, sf_dir, "benchmark"), _table(spark, sf_dir), "item_id")
-    return rows.agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
+    """Whether each text of the benchmark survives, with an alphabet that lacks its second character: then it must not."""
+    texts = table(spark, sf_dir, "benchmark")
+    whole = measure.round_trip(texts, _table(spark, sf_dir), "item_id")
+    alphabet = {chr(i) for i in range(32, 0x250)} - {"a"} | {text.META}
+    lossy = measure.round_trip(texts, _table(spark, sf_dir), "item_id", alphabet)
+    return whole.join(lossy.withColumnRenamed("ok", "ok_without_a"), "item_id")
 
 
 def heldout_vs_train_fertility(spark, sf_dir):
@@ -158,59 +161,22 @@ def heldout_vs_train_fertility(spark, sf_dir):
 
 
 def flat_token_ids(spark, sf_dir):
-    """One row per token of the benchmark's texts, with ids."""
+    """Every token of the benchmark's texts with its place and id; what the vocabulary does not know is <unk>."""
     vocab = checkpointed(_vocabulary(spark, sf_dir))
     words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.pretokens(text.normalized(F.col("text")))).alias("word_at", "word"))
     cut = bpe.segment_words(words.select("word").distinct(), _table(spark, sf_dir), {r["token"] for r in vocab.where("kind = 'char'").collect()})
-    flat = words.join(cut, "word").select("item_id", "word_at", F.posexplode("tokens").alias("token_at", "token")).join(vocab.select("token", "id"), "token", "left")
-    return flat.groupBy("item_id").agg(F.count("*").alias("n_tokens"), F.sum("id").alias("id_sum"), F.max("word_at").cast("long").alias("last_word"))
+    flat = words.join(cut, "word").select("item_id", F.col("word_at").cast("long").alias("word_at"), F.posexplode("tokens").alias("token_at", "token"))
+    return flat.join(vocab.select("token", "id"), "token", "left").select("item_id", "word_at", F.col("token_at").cast("long").alias("token_at"), "token", "id")
 
 
 def bpe_merges_full(spark, sf_dir):
-    """Up to 500 merges per language over all words, of pairs of at least three occurrences, languages side by side."""
-    return bpe.learn_merges(_counts(spark, sf_dir), 500, config=("lang",), least=3)
-
-
-def trained_tokenizer(spark, sf_dir):
-    """Sections of a tokenizer of 400 tokens over all languages, with aksharas first and the benchmark's characters kept."""
-    rows = docs(spark, sf_dir)
-    weights = _lang_weights(spark).crossJoin(rows.select("source").distinct())
-    evaluated = table(spark, sf_dir, "benchmark").select(F.lit("en").alias("lang"), "text")
-    made = train.train(rows, weights, train.Config(vocab_size=400, akshara=True, alpha_min=FEW, min_frequency=5 * corpus.MICRO), evaluated)
-    return made.vocabulary(spark).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-def _frequent(spark, sf_dir) -> DataFrame:
-    return _counts(spark, sf_dir).where("n >= 20")
-
-
-def weight_sweep(spark, sf_dir):
-    return search.sweep(_frequent(spark, sf_dir), [1.0, 2.0, 4.0, 6.0], "en", 60)
-
-
-def climbing_chains(spark, sf_dir):
-    return search.chains(_frequent(spark, sf_dir), [1, 2], 4, 40)
-
-
-def verification_checks(spark, sf_dir):
-    """Checks of the tokenizer and of two ways to the same numbers."""
-    merges = checkpointed(_merges(spark, sf_dir))
-    vocab = checkpointed(_vocabulary(spark, sf_dir))
-    fact = lambda ok, detail: spark.range(1).select(ok.alias("pass"), detail.alias("detail"))
-    ids = vocab.agg((F.max("id") + 1 == F.count("*")).alias("pass"), F.count("*").cast("string").alias("detail"))
-    products = merges.select(F.concat("left", "right").alias("token"))
-    distinct = products.agg((F.count("*") == F.countDistinct("token")).alias("pass"), F.count("*").cast("string").alias("detail"))
-    inside = merges.select(F.explode(F.array("left", "right", F.concat("left", "right"))).alias("token")).join(vocab, "token", "left_anti").agg((F.count("*") == 0).alias("pass"), F.count("*").cast("string").alias("detail"))
-    trips = roundtrip_check(spark, sf_dir).select((F.col("n") == F.col("n_ok")).alias("pass"), F.col("n_ok").cast("string").alias("detail"))
-    relational = bpe.learn_merges_relational(_spanish(spark, sf_dir), 3)
-    same = relational.join(merges, ["rank", "left", "right", "n"]).agg((F.count("*") == 3).alias("pass"), F.count("*").cast("string").alias("detail"))
-    rows = [("ids are contiguous", ids), ("products are distinct", distinct), ("parts and products are tokens", inside), ("texts survive a round trip", trips), ("two learners agree", same), ("sections follow each other", fact(F.lit(True), F.lit("ok")))]
-    return measure.checks(rows[:-1])
+    """Up to 1,000 merges per language over all words, of pairs of at least two occurrences, languages side by side."""
+    return bpe.learn_merges(_counts(spark, sf_dir), 1000, config=("lang",), least=2)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (pretoken_counts_topk, pretoken_punct_counts, punct_floor_per_lang, weighted_word_counts, rounded_word_counts, char_frequency, alphabet_filter, base_vocabulary_ids, adjacent_pair_counts, top_pairs_per_lang, bpe_merges_first_n, bpe_merges_relational, bpe_vocabulary, vocab_lineage, vocab_script_facets, vocab_page, bpe_encode_fertility, fertility_spread_score, unk_counts, roundtrip_check, heldout_vs_train_fertility, flat_token_ids, bpe_merges_full, trained_tokenizer, weight_sweep, climbing_chains, verification_checks)
+    for f in (pretoken_counts_topk, pretoken_punct_counts, punct_floor_per_lang, weighted_word_counts, rounded_word_counts, char_frequency, alphabet_filter, base_vocabulary_ids, adjacent_pair_counts, top_pairs_per_lang, bpe_merges_first_n, bpe_merges_relational, bpe_vocabulary, vocab_lineage, vocab_script_facets, vocab_page, bpe_encode_fertility, fertility_spread_score, unk_counts, roundtrip_check, heldout_vs_train_fertility, flat_token_ids, bpe_merges_full)
 }
 
 _WORDS = f"w as materialized (select lang, word, count(*)::bigint as n from (select lang, unnest({sql_pretokens('text')}) as word from documents) group by 1, 2)"
@@ -224,60 +190,70 @@ def _joined(s: str, left: str, right: str) -> str:
     return f"case when list_contains({s}, {left}) and list_contains({s}, {right}) then list_reduce(list_transform({s}, lambda c: [c]), lambda o, c: case when o[-1] = {left} and c[1] = {right} then list_concat(o[1:len(o) - 1], [{left} || {right}]) else list_concat(o, c) end) else {s} end"
 
 
-def _learned(n: int) -> str:
-    """CTEs: e (Spanish words as symbols), t (rounds of merging) and m (rank, left, right, n)."""
-    return f"""e as materialized (select row_number() over () as id, string_split(word, '') as s, n from w where lang = 'es'),
+def _learned(n: int, words: str = "select word, sum(n)::hugeint as n from w group by word", least: int = 1) -> str:
+    """CTEs: e (distinct words as symbols), t (rounds of merging) and m (rank, left, right, n)."""
+    return f"""e as materialized (select row_number() over () as id, string_split(word, '') as s, n from ({words})),
 t(step, id, s, n, l, r, c) as (
-  select 0, id, s, n, ''::varchar, ''::varchar, 0::bigint from e
+  select 0, id, s, n, ''::varchar, ''::varchar, 0::hugeint from e
   union all
   select t.step + 1, t.id, {_joined('t.s', 'b.l', 'b.r')}, t.n, b.l, b.r, b.c from t, (
-    select p[1] as l, p[2] as r, sum(n)::bigint as c from (select unnest(list_zip(s[1:len(s) - 1], s[2:len(s)])) as p, n from t where len(s) > 1) group by 1, 2 order by c desc, l, r limit 1) as b
+    select p[1] as l, p[2] as r, sum(n)::hugeint as c from (select unnest(list_zip(s[1:len(s) - 1], s[2:len(s)])) as p, n from t where len(s) > 1) group by 1, 2 having sum(n) >= {least} order by c desc, l, r limit 1) as b
   where t.step < {n}),
-m as materialized (select distinct (step - 1)::int as rank, l as "left", r as "right", c as n from t where step > 0)"""
+m as materialized (select distinct (step - 1)::int as rank, l as "left", r as "right", c::bigint as n from t where step > 0)"""
 
 
 _RECURSIVE = f"with recursive {_WORDS}, {_learned(MERGES)}"
-_BASE = """k as (select unnest(string_split(word, '')) as token from w where lang = 'es'), c as (select distinct token from k),
+_BASE = """c as (select distinct unnest(string_split(word, '')) as token from w),
 v as materialized (select (row_number() over (order by sect, place, token) - 1)::bigint as id, token, kind from (
   select 0 as sect, 0 as place, '<unk>' as token, 'special' as kind union all select 1, 0, token, 'char' from c union all select 2, rank, "left" || "right", 'learned' from m))"""
-#: Distinct words of all languages, cut by the merges in rank order.
-_CUT = f"""d as materialized (select distinct word from w),
-z(step, word, s) as (select 0, word, string_split(word, '') from d union all
-  select z.step + 1, z.word, {_joined('z.s', 'm."left"', 'm."right"')} from z join m on m.rank = z.step),
-f as materialized (select word, len(s)::bigint as t from z where step = {MERGES})"""
+
+
+def _segmented(words: str, name: str = "f") -> str:
+    """CTEs: the distinct words of a query (word, s) cut by the merges in rank order: (word, s, t)."""
+    return f"""{name}z(step, word, s) as (select 0, word, s from ({words}) union all
+  select z.step + 1, z.word, {_joined('z.s', 'm."left"', 'm."right"')} from {name}z as z join m on m.rank = z.step),
+{name} as materialized (select word, s, len(s)::bigint as t from {name}z where step = {MERGES})"""
+
+
+_CUT = _segmented("select distinct word, string_split(word, '') as s from w")
 _FERT = f"""g as (select lang, sum(n * t)::bigint as tokens from w join f using (word) group by lang),
 h as (select lang, sum({sql_words('text')})::bigint as words from documents group by lang),
 i as (select lang, tokens, words, tokens::double / words::double as fertility from g join h using (lang))"""
+_BENCH = f"bw as materialized (select item_id, unnest(range(len(p)))::bigint as word_at, unnest(p) as word from (select item_id, {sql_pretokens('text')} as p from benchmark))"
 
 ORACLES = {
     "pretoken_counts_topk": f"with {_WORDS} select word, sum(n)::bigint as n from w group by word order by n desc, word limit 50",
     "pretoken_punct_counts": f"with {_WORDS} select lang, sum(n * {_PIECES})::bigint as n_pieces from w group by lang",
     "punct_floor_per_lang": f"with {_WORDS}, p as (select lang, sum(n * {_PIECES})::bigint as k from w group by lang), h as (select lang, sum({sql_words('text')})::bigint as words from documents group by lang) select lang, k::double / words::double as floor from p join h using (lang)",
-    "weighted_word_counts": f"with {_WORDS}, {_MASS} select word, mass::bigint as mass from x order by mass desc, word limit 200",
-    "rounded_word_counts": f"with {_WORDS}, {_MASS}, y as (select word, floor(mass::double * (6000000::double / sum(mass) over ()::double) + ('0x' || substr(md5(word), 1, 8))::bigint / 4294967296::double)::bigint as k from x) select word, k from y where k >= 50",
+    "weighted_word_counts": f"with {_WORDS}, {_MASS} select word, mass::bigint as mass from x",
+    "rounded_word_counts": f"with {_WORDS}, {_MASS}, y as (select word, floor(mass::double * (6000000::double / sum(mass) over ()::double) + ('0x' || substr(md5(word), 1, 8))::bigint / 4294967296::double)::bigint as k from x) select word, k from y",
     "char_frequency": f"with {_WORDS}, {_MASS}, c as (select unnest(string_split(word, '')) as char, mass from x) select char, sum(mass)::bigint as mass from c group by char",
     "alphabet_filter": f"with {_WORDS}, c as (select unnest(string_split(word, '')) as ch, n from w), bw as (select distinct unnest({sql_pretokens('text')}) as word from benchmark), b as (select distinct unnest(string_split(word, '')) as ch from bw), k as (select ch from c group by ch having sum(n) >= {FEW} union select ch from b), x as (select distinct word from (select word, unnest(string_split(word, '')) as ch from w) where ch not in (select ch from k)) select lang, count(*) as n_words, sum(n)::bigint as n from w where word not in (select word from x) group by lang",
     "base_vocabulary_ids": f"with {_WORDS}, c as (select distinct unnest(string_split(word, '')) as token from w) select 0::bigint as id, '<unk>' as token, 'special' as kind union all select row_number() over (order by token), token, 'char' from c",
-    "adjacent_pair_counts": f"with {_WORDS}, {_MASS}, p as (select {_PAIRS} as p, mass from x where length(word) > 1) select p[1] as \"left\", p[2] as \"right\", sum(mass)::bigint as mass from p group by 1, 2 order by mass desc, 1, 2 limit 100",
+    "adjacent_pair_counts": f"with {_WORDS}, {_MASS}, p as (select {_PAIRS} as p, mass from x where length(word) > 1) select p[1] as \"left\", p[2] as \"right\", sum(mass)::bigint as mass from p group by 1, 2",
     "top_pairs_per_lang": f"with {_WORDS}, p as (select lang, {_PAIRS} as p, n from w where length(word) > 1), s as (select lang, p[1] as \"left\", p[2] as \"right\", sum(n)::bigint as n from p group by 1, 2, 3) select lang, (row_number() over (partition by lang order by n desc, \"left\", \"right\"))::int as rank, \"left\", \"right\", n from s qualify rank <= 5",
     "bpe_merges_first_n": f"{_RECURSIVE} select * from m",
     "bpe_merges_relational": f"with recursive {_WORDS}, {_learned(5)} select * from m",
     "bpe_vocabulary": f"{_RECURSIVE}, {_BASE} select * from v",
     "vocab_lineage": f"""{_RECURSIVE}, {_BASE} select id, token, case when rank is null then '' else '["' || "left" || '","' || "right" || '"]' end as built_from from v left join m on token = "left" || "right" """,
     "vocab_script_facets": f"{_RECURSIVE}, {_BASE} select SCRIPT as script, count(*) as n_tokens, count(*) filter (token like '▁_%') as n_words from v group by 1",
-    "vocab_page": f"{_RECURSIVE}, {_BASE} select id, token, length(token)::bigint as code_points from v where contains(token, 'o') and SCRIPT = 'Latin' order by id limit 10 offset 10",
+    "vocab_page": f"{_RECURSIVE}, {_BASE}, o as (select id, token from v where contains(token, 'o') and SCRIPT = 'Latin') select id, token, length(token)::bigint as code_points from o order by id limit 7 offset greatest(0, ((select count(*) from o) - 1) // 7 * 7)",
     "bpe_encode_fertility": f"{_RECURSIVE}, {_CUT}, {_FERT} select * from i",
     "fertility_spread_score": f"""{_RECURSIVE}, {_CUT}, {_FERT}, hi as (select * from i order by fertility desc, lang limit 1), lo as (select * from i order by fertility, lang limit 1),
 n as (select hi.lang as max_lang, lo.lang as min_lang, hi.fertility as max_fertility, lo.fertility as min_fertility, (hi.tokens::hugeint * lo.words - lo.tokens::hugeint * hi.words) as a, hi.words::hugeint * lo.words as b from hi, lo),
 q as (select *, gcd(a, b) as g from n)
 select max_lang, min_lang, max_fertility, min_fertility, (a // g)::varchar as spread_num, (b // g)::varchar as spread_den, (a // g)::double / (b // g)::double as spread, case when a = 0 then null else 1000.0::double * (b // g)::double / (a // g)::double end as score from q""",
-    "unk_counts": f"with {_WORDS}, a as (select distinct unnest(string_split(word, '')) as ch from w where lang = 'es') select lang, sum(n)::bigint as tokens, coalesce(sum(n) filter (c not in (select ch from a)), 0)::bigint as unk from (select lang, n, unnest(string_split(word, '')) as c from w) group by lang",
-    "roundtrip_check": "select count(*) as n, count(*) as n_ok from benchmark",
+    "unk_counts": f"with {_WORDS}, {_BENCH}, a as (select distinct unnest(string_split(word, '')) as ch from bw) select lang, sum(n)::bigint as tokens, coalesce(sum(n) filter (c not in (select ch from a)), 0)::bigint as unk from (select lang, n, unnest(string_split(word, '')) as c from w) group by lang",
+    "roundtrip_check": f"select item_id, {sql_norm('text')} = ltrim(replace(array_to_string({sql_pretokens('text')}, ''), '▁', ' '), ' ') as ok, not contains({sql_norm('text')}, 'a') and not regexp_matches({sql_norm('text')}, '[^ -ɏ]') as ok_without_a from benchmark",
+    "flat_token_ids": f"""{_RECURSIVE}, {_BASE}, {_BENCH},
+ch as (select word, unnest(string_split(word, '')) as x, unnest(range(length(word))) as i from (select distinct word from bw)),
+{_segmented("select word, list(case when token is null then '<unk>' else x end order by i) as s from ch left join c on token = x group by word")},
+q as (select item_id, word_at, unnest(range(t)) as token_at, unnest(s) as token from bw join f using (word))
+select item_id, word_at, token_at::bigint as token_at, token, id from q left join v using (token)""",
     "heldout_vs_train_fertility": f"""{_RECURSIVE}, {_CUT}, tt as (select lang, sha1(source || '/' || doc_id) as h, text from documents),
 s as (select lang, case when SHA = 0 then 'heldout' else 'train' end as split, text from tt), u as (select lang, split, unnest({sql_pretokens('text')}) as word from s),
 g as (select lang, split, sum(f.t)::bigint as tokens from u join f using (word) group by 1, 2), h as (select lang, split, sum({sql_words('text')})::bigint as words from s group by 1, 2)
 select lang, split, tokens, words, tokens::double / words::double as fertility from g join h using (lang, split)""",
-    "verification_checks": f"""{_RECURSIVE}, {_BASE} select 'ids are contiguous' as "check", true as pass, count(*)::varchar as detail from v union all select 'products are distinct', true, '{MERGES}' union all select 'parts and products are tokens', true, '0' union all select 'texts survive a round trip', true, count(*)::varchar from benchmark union all select 'two learners agree', true, '3'""",
 }
 from wordloom.plans.text_queries import SHA_RESIDUE, _SCRIPT  # noqa: E402
 
