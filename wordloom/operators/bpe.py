@@ -273,10 +273,20 @@ def page(rows: DataFrame, order: str, number: int, size: int = 50) -> DataFrame:
     return rows.orderBy(order).offset(min(max(0, number), last) * size).limit(size)
 
 
-def segment_words(words: DataFrame, merges: list[tuple[str, str]], alphabet: set[str] | None = None, byte_fallback: bool = False) -> DataFrame:
+def applied(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """segmented() by another route: merges that the word could use one after the other, each wherever it applies."""
+    symbols, names = list(symbols), set(symbols)
+    for left, right in sorted(ranks, key=ranks.get):
+        if left in names and right in names:
+            symbols = replaced(symbols, left, right)
+            names.add(left + right)
+    return symbols
+
+
+def segment_words(words: DataFrame, merges: list[tuple[str, str]], alphabet: set[str] | None = None, byte_fallback: bool = False, cut=None) -> DataFrame:
     """words (distinct `word`) with `tokens`. Characters outside the alphabet become <unk>, one each, or their bytes.
 
-    The merge table is shared as a broadcast variable; its size is the vocabulary's.
+    The merge table is shared as a broadcast variable; its size is the vocabulary's. cut is segmented, or applied.
     """
     ranks: dict[tuple[str, str], int] = {}
     for pair in merges:
@@ -287,12 +297,12 @@ def segment_words(words: DataFrame, merges: list[tuple[str, str]], alphabet: set
     def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ranks, alphabet, bytes_ = shared.value
         for batch in batches:
-            yield batch.map(lambda w: None if w is None else encoded_word(w, ranks, alphabet, bytes_))
+            yield batch.map(lambda w: None if w is None else encoded_word(w, ranks, alphabet, bytes_, cut or segmented))
 
     return words.withColumn("tokens", segment("word"))
 
 
-def encoded_word(word: str, ranks: dict[tuple[str, str], int], alphabet: set[str] | None = None, byte_fallback: bool = False) -> list[str]:
+def encoded_word(word: str, ranks: dict[tuple[str, str], int], alphabet: set[str] | None = None, byte_fallback: bool = False, cut=segmented) -> list[str]:
     symbols: list[str] = []
     for c in word:
         if alphabet is None or c in alphabet:
@@ -301,7 +311,7 @@ def encoded_word(word: str, ranks: dict[tuple[str, str], int], alphabet: set[str
             symbols += [f"<0x{b:02X}>" for b in c.encode("utf-8")]
         else:
             symbols.append(UNKNOWN)
-    return segmented(symbols, ranks)
+    return cut(symbols, ranks)
 
 
 def decoded(tokens: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import script, text
 from wordloom.operators import bpe, corpus, measure
-from wordloom.plans.text_queries import docs, sql_norm, sql_pretokens, sql_words
+from wordloom.plans.text_queries import SQL_VARIANTS, docs, sql_norm, sql_pretokens, sql_words
 from wordloom.session import checkpointed, table
 from wordloom.sources.cache import kept
 
@@ -243,6 +243,14 @@ ORACLES = {
 n as (select hi.lang as max_lang, lo.lang as min_lang, hi.fertility as max_fertility, lo.fertility as min_fertility, (hi.tokens::hugeint * lo.words - lo.tokens::hugeint * hi.words) as a, hi.words::hugeint * lo.words as b from hi, lo),
 q as (select *, gcd(a, b) as g from n)
 select max_lang, min_lang, max_fertility, min_fertility, (a // g)::varchar as spread_num, (b // g)::varchar as spread_den, (a // g)::double / (b // g)::double as spread, case when a = 0 then null else 1000.0::double * (b // g)::double / (a // g)::double end as score from q""",
+    "extraction_sensitivity": f"""{_RECURSIVE}, {SQL_VARIANTS}, vw as materialized (select variant, lang, unnest({sql_pretokens('t')}) as word from pv where lang in ('de', 'en', 'es', 'fr')), {_segmented("select distinct word, string_split(word, '') as s from vw")},
+g as (select variant, lang, sum(f.t)::bigint as tokens from vw join f using (word) group by 1, 2), h as (select variant, lang, sum({sql_words('t')})::bigint as words from pv where lang in ('de', 'en', 'es', 'fr') group by 1, 2),
+i as (select variant, lang, coalesce(tokens, 0) as tokens, words, case when words > 0 then coalesce(tokens, 0)::double / words::double end as fertility from h left join g using (variant, lang)),
+x as (select variant, max_by(i, (fertility, -ord(lang) * 256 - ord(lang[2]))) as hi, min_by(i, (fertility, lang)) as lo from i where words > 0 group by variant),
+n as (select variant, hi.lang as max_lang, lo.lang as min_lang, (hi.tokens::hugeint * lo.words - lo.tokens::hugeint * hi.words) as a, hi.words::hugeint * lo.words as b from x), q as (select *, gcd(a, b) as d from n),
+l as (select i.variant, max(abs(i.fertility - a.fertility)) as largest from i join i as a on a.lang = i.lang and a.variant = 'all' group by 1),
+y as (select variant, max(fertility) filter (lang = 'de') as de, max(fertility) filter (lang = 'en') as en, max(fertility) filter (lang = 'es') as es, max(fertility) filter (lang = 'fr') as fr from i group by 1)
+select variant, de, en, es, fr, max_lang, min_lang, (a // d)::varchar as spread_num, (b // d)::varchar as spread_den, largest from y join q using (variant) join l using (variant)""",
     "unk_counts": f"with {_WORDS}, {_BENCH}, a as (select distinct unnest(string_split(word, '')) as ch from bw) select lang, sum(n)::bigint as tokens, coalesce(sum(n) filter (c not in (select ch from a)), 0)::bigint as unk from (select lang, n, unnest(string_split(word, '')) as c from w) group by lang",
     "roundtrip_check": f"select item_id, {sql_norm('text')} = ltrim(replace(array_to_string({sql_pretokens('text')}, ''), '▁', ' '), ' ') as ok, not contains({sql_norm('text')}, 'a') and not regexp_matches({sql_norm('text')}, '[^ -ɏ]') as ok_without_a from benchmark",
     "flat_token_ids": f"""{_RECURSIVE}, {_BASE}, {_BENCH},

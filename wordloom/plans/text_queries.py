@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import html, script, text
 from wordloom.operators import corpus, measure
-from wordloom.session import table
+from wordloom.session import checkpointed, table
 from wordloom.sources import readers
 
 WS29 = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -105,19 +105,29 @@ def html_word_counts(spark, sf_dir):
 
 
 def _variants(spark, sf_dir):
+    """(lang, variant, text) of pages: all text, paragraphs with nested elements, and paragraphs with marked headings."""
     pages = table(spark, sf_dir, "pages").withColumn("lang", F.regexp_extract("html", r'<html lang="([a-z]+)"', 1))
-    paragraphs = F.array_join(F.regexp_extract_all("html", F.lit(r"<p>([^<]*)</p>"), F.lit(1)), "\n")
-    return pages.select("lang", F.explode(F.array(F.struct(F.lit("all").alias("variant"), html.html_all(F.col("html")).alias("text")), F.struct(F.lit("paragraphs").alias("variant"), text.clean_text(paragraphs).alias("text")))).alias("v")).select("lang", "v.*")
+    plain = lambda x: html.unescaped(F.regexp_replace(x, "<[^>]*>", ""))
+    paragraphs = F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<p\b[^>]*>(.*?)</p>"), F.lit(1)), "\n")
+    both = F.regexp_extract_all("html", F.lit(r"(?s)<p\b[^>]*>.*?</p>|<h[1-6]\b[^>]*>.*?</h[1-6]>"), F.lit(0))
+    marked = F.array_join(F.transform(both, lambda x: F.when(x.rlike("^<h"), F.concat(F.lit("== "), x, F.lit(" =="))).otherwise(x)), "\n")
+    variants = (("all", html.html_all(F.col("html"))), ("paragraphs", text.clean_text(plain(paragraphs))), ("marked headings", text.clean_text(plain(marked))))
+    return pages.select("lang", F.explode(F.array(*[F.struct(F.lit(name).alias("variant"), value.alias("text")) for name, value in variants])).alias("v")).select("lang", "v.*")
 
 
 def extraction_sensitivity(spark, sf_dir):
-    """Characters per word by variant of the same pages, one column per language, and the largest change from `all`."""
-    sums = _variants(spark, sf_dir).groupBy("variant", "lang").agg(F.sum(F.length(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("c"), F.sum(text.count_words(F.col("text"))).alias("w"))
-    each = sums.select("variant", "lang", F.try_divide(F.col("c").cast("double"), F.col("w").cast("double")).alias("fertility"))
+    """Fertility of one tokenizer by variant of the same pages, one column per language, the spread, and the largest change from
+    `all`."""
+    from wordloom.plans import corpus_queries
+
+    rows = _variants(spark, sf_dir).where(F.col("lang").isin("de", "en", "es", "fr"))
+    each = checkpointed(measure.evaluate(rows, corpus_queries._table(spark, sf_dir), ("variant", "lang"), check_aksharas=False).select("variant", "lang", "tokens", "words", "fertility"))
     wide = each.groupBy("variant").pivot("lang", ["de", "en", "es", "fr"]).agg(F.first("fertility"))
-    return wide.join(measure.largest_change(each, each.where("variant = 'all'")), "variant")
+    spread = measure.spread(each, group=("variant",)).select("variant", "max_lang", "min_lang", "spread_num", "spread_den")
+    return wide.join(spread, "variant").join(measure.largest_change(each, each.where("variant = 'all'")), "variant")
 
 
+#: Syllables of words.
 AKSHARA_CASES = (
     ("शक्ति", ("श", "क्ति")),
     ("स्वतंत्रता", ("स्व", "तं", "त्र", "ता")),
@@ -162,7 +172,7 @@ def scalar_functions(spark, sf_dir):
         text.spoken_list(words).alias("spoken"),
         F.array_join(text.byte_tokens(F.substring("t", 1, 1)), "").alias("bytes"),
         text.truncated_ratio(F.length("t").cast("long"), F.lit(7).cast("long"), 9).alias("ratio"),
-        script.starts_with_mark(F.col("t")).alias("mark_first"),
+        script.starts_with_mark(F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("▁\u0301"), "t")).otherwise(F.col("t"))).alias("mark_first"),
         F.length("t").cast("long").alias("code_points"),
     )
 
@@ -192,6 +202,19 @@ for _name, _char in html.ENTITIES:
 HTML_ALL = sql_clean(_HTML)
 
 
+def _stripped(col: str) -> str:
+    out = f"regexp_replace({col}, '<[^>]*>', '', 'g')"
+    for name, char in html.ENTITIES:
+        out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return sql_clean(out)
+
+
+#: CTEs up to pv, the variants of pages.
+SQL_VARIANTS = rf"""pg as materialized (select regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang, html, array_to_string(regexp_extract_all(html, '(?s)<p\b[^>]*>(.*?)</p>', 1), chr(10)) as para,
+  array_to_string(list_transform(regexp_extract_all(html, '(?s)<p\b[^>]*>.*?</p>|<h[1-6]\b[^>]*>.*?</h[1-6]>'), lambda x: case when starts_with(x, '<h') then '== ' || x || ' ==' else x end), chr(10)) as marked from pages),
+pv as materialized (select lang, 'all' as variant, {HTML_ALL} as t from pg union all select lang, 'paragraphs', {_stripped('para')} from pg union all select lang, 'marked headings', {_stripped('marked')} from pg)"""
+
+
 def _values(rows, names: str) -> str:
     quote = lambda x: f"{x}::bigint" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
     return f"select * from (values {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) as v({names})"
@@ -212,11 +235,6 @@ ORACLES = {
     "page_links": r"""with t as (select page_id, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref=["'']([^"'']*)["'']', 1)[1:5000] as l from pages) select page_id, unnest(range(len(l)))::bigint as place, unnest(l) as target from t""",
     "html_all_text": f"select page_id, sha256({HTML_ALL}) as sha256 from pages",
     "html_word_counts": f"with t as (select page_id, {HTML_ALL} as t from pages) select page_id, length(t)::bigint as chars, {sql_words('t')}::bigint as words from t",
-    "extraction_sensitivity": f"""with p as (select regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang, html, array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), chr(10)) as para from pages),
-v as (select lang, 'all' as variant, {HTML_ALL} as t from p union all select lang, 'paragraphs', {sql_clean('para')} from p),
-f as (select variant, lang, sum(length(t))::double / nullif(sum({sql_words('t')}), 0)::double as fertility from v group by 1, 2),
-m as (select f.variant, max(abs(f.fertility - a.fertility)) as largest from f join f a on a.lang = f.lang and a.variant = 'all' group by 1)
-select f.variant, max(fertility) filter (lang = 'de') as de, max(fertility) filter (lang = 'en') as en, max(fertility) filter (lang = 'es') as es, max(fertility) filter (lang = 'fr') as fr, any_value(largest) as largest from f join m using (variant) group by f.variant""",
     "akshara_cases": _values([(w, "|".join(u), "|".join(u)) for w, u in AKSHARA_CASES], "word, units, units_any"),
     "akshara_violations_fixture": _values([(w, "|".join(p), n) for w, p, n in SPLIT_CASES], "word, pieces, bad"),
     "grapheme_cases": _values(GRAPHEME_CASES, "word, n"),
@@ -225,7 +243,7 @@ select f.variant, max(fertility) filter (lang = 'de') as de, max(fertility) filt
 select item_id, replace(replace(url_encode(replace(t, ' ', '_')), '+', '%20'), '~', '%7E') as url, replace(replace(replace(replace('<a href="x">&' || t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped,
  case when len(w) < 2 then array_to_string(w, '') else array_to_string(w[1:len(w) - 1], ', ') || ' and ' || w[-1] end as spoken,
  regexp_replace(hex(encode(substr(t, 1, 1))), '(..)', '<0x\1>', 'g') as bytes, (length(t) // 7) || '.' || lpad(((length(t) % 7)::hugeint * 1000000000 // 7)::varchar, 9, '0') as ratio,
- regexp_matches(t, '^▁*[\p{M}\x{200C}\x{200D}]') as mark_first, length(t)::bigint as code_points from w""",
+ regexp_matches(case when item_id % 2 = 0 then '▁' || chr(769) || t else t end, '^▁*[\p{M}\x{200C}\x{200D}]') as mark_first, length(t)::bigint as code_points from w""",
     "quality_join": f"select quality, count(*) as n_docs, sum(length({sql_norm('text')}) + 1)::bigint as chars, sum({sql_words('text')})::bigint as words, sum(length({sql_norm('text')}) + 1)::double / sum({sql_words('text')})::double as fertility from documents join labels using (doc_id) group by quality",
     "arrivals_per_window": f"with t as (select time_bucket(interval '1 hour', ts) as s, lang, {sql_words('text')} as w, length({sql_norm('text')}) + ({sql_norm('text')} <> '')::int as c from documents join events on event_id = doc_id) select strftime(s, '%Y-%m-%d %H:%M') as start, lang, count(*) as n_docs, sum(w)::bigint as n_words, sum(c)::bigint as n_chars, sum(c)::double / sum(w)::double as fertility from t group by s, lang",
 }
