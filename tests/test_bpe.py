@@ -50,6 +50,20 @@ def test_two_learners_agree(spark):
     assert a == b and len(a) == 8
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_rounds_of_several_merges_agree(spark, seed):
+    rng = random.Random(seed)
+    words = [("▁" + "".join(rng.choices("abcdefghij", k=rng.randint(2, 6))), rng.randint(1, 40)) for _ in range(300)]
+    rows, jobs = spark.createDataFrame(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), []
+    near = bpe._neighbourhoods
+    bpe._neighbourhoods = lambda *x: jobs.append(1) or near(*x)
+    try:
+        got = [tuple(r) for r in bpe.learn_merges_relational(rows, 30).orderBy("rank").collect()]
+    finally:
+        bpe._neighbourhoods = near
+    assert got == [tuple(r) for r in bpe.learn_merges(rows, 30).orderBy("rank").collect()] and len(jobs) < 30
+
+
 def test_encoding_equals_the_public_library(spark):
     rng = random.Random(2)
     words = [("".join(rng.choices("abcd", k=rng.randint(1, 8))), rng.randint(1, 9)) for _ in range(200)]

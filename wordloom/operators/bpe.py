@@ -190,25 +190,49 @@ def learn_merges(words: DataFrame, n_merges: int, config: tuple[str, ...] = (),
     return narrow.groupBy(*config).applyInPandas(run, schema)
 
 
-def learn_merges_relational(words: DataFrame, n_merges: int, value: str = "n") -> DataFrame:
-    """The same merges by DataFrame rounds, for vocabularies that fit no worker: count pairs, take the top one, rewrite.
+def learn_merges_relational(words: DataFrame, n_merges: int, value: str = "n", at_once: int = 32) -> DataFrame:
+    """The same merges by DataFrame rounds, for vocabularies that fit no worker; the driver sees at_once pairs per round.
 
-    One job and one checkpoint per merge; the driver sees one pair per round.
+    A round counts the pairs, and takes as many of the highest as are sure to be next: pairs that share no symbol with those
+    taken before them, and stay above every pair that those bring about. What a merge of (a, b) brings about is at most as
+    frequent as its most frequent neighbourhood (x, a, b) or (a, b, x), which is counted too.
     """
-    spark = words.sparkSession
+    spark, step = words.sparkSession, lambda c, k: F.slice(c, k + 1, F.greatest(F.size("s") - k, F.lit(0)))
     state = checkpointed(words.select(F.filter(F.split("word", ""), lambda c: c != "").alias("s"), F.col(value).cast("long").alias("n")))
-    made = []
-    for rank in range(n_merges):
-        pairs = F.zip_with(F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-        top = state.select(F.explode(pairs).alias("p"), "n").groupBy("p.left", "p.right").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "left", "right").limit(1).collect()
+    made: list[tuple[int, str, str, int]] = []
+    while len(made) < n_merges:
+        pairs = F.filter(F.zip_with("s", step(F.col("s"), 1), lambda a, b: F.struct(a.alias("left"), b.alias("right"))), lambda p: p["right"].isNotNull())
+        counts = state.select(F.explode(pairs).alias("p"), "n").groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
+        top = [tuple(r) for r in counts.orderBy(F.desc("n"), "left", "right").limit(min(at_once, n_merges - len(made))).collect()]
         if not top:
             break
-        left, right, n = top[0]
-        made.append((rank, left, right, n))
-        state = checkpointed(state.select(joined(F.col("s"), F.lit(left), F.lit(right)).alias("s"), "n"))
+        sure, seen, above = [], set(), -1
+        near = _neighbourhoods(state, top) if len(top) > 1 else {}
+        for left, right, n in top:
+            if sure and (n <= above or left in seen or right in seen):
+                break
+            sure.append((left, right))
+            made.append((len(made), left, right, n))
+            seen |= {left, right}
+            above = max(above, near.get((left, right), 0))
+        merged = F.col("s")
+        for left, right in sure:
+            merged = joined(merged, F.lit(left), F.lit(right))
+        state = checkpointed(state.select(merged.alias("s"), "n"))
     return spark.createDataFrame(made, MERGES)
 
 
+def _neighbourhoods(state: DataFrame, top: list[tuple[str, str, int]]) -> dict[tuple[str, str], int]:
+    """The count of the most frequent three symbols in a row that hold each pair, by pair."""
+    spark = state.sparkSession
+    few = F.broadcast(spark.createDataFrame([(a, b) for a, b, _ in top], "left string, right string"))
+    threes = F.transform(F.sequence(F.lit(1), F.size("s") - 2), lambda i: F.slice("s", i, 3))
+    rows = state.where(F.size("s") > 2).select(F.explode(threes).alias("t"), "n").groupBy("t").agg(F.sum("n").alias("n"))
+    sides = F.explode(F.array(*[F.struct(F.col("t")[i].alias("left"), F.col("t")[i + 1].alias("right")) for i in (0, 1)]))
+    found = rows.select(sides.alias("p"), "n").select("p.*", "n").join(few, ["left", "right"]).groupBy("left", "right").agg(F.max("n").alias("n"))
+    return {(r["left"], r["right"]): r["n"] for r in found.collect()}
+
+
 def joined(symbols: Column, left: Column, right: Column) -> Column:
     """replaced() as a column: a fold that joins a symbol to the last one."""
     both = F.concat(left, right)

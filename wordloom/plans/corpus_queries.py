@@ -98,7 +98,7 @@ def bpe_merges_first_n(spark, sf_dir):
 
 
 def bpe_merges_relational(spark, sf_dir):
-    return bpe.learn_merges_relational(_all_words(spark, sf_dir), 5)
+    return bpe.learn_merges_relational(_all_words(spark, sf_dir), 20)
 
 
 def _vocabulary(spark, sf_dir) -> DataFrame:
@@ -233,7 +233,7 @@ ORACLES = {
     "adjacent_pair_counts": f"with {_WORDS}, {_MASS}, p as (select {_PAIRS} as p, mass from x where length(word) > 1) select p[1] as \"left\", p[2] as \"right\", sum(mass)::bigint as mass from p group by 1, 2",
     "top_pairs_per_lang": f"with {_WORDS}, p as (select lang, {_PAIRS} as p, n from w where length(word) > 1), s as (select lang, p[1] as \"left\", p[2] as \"right\", sum(n)::bigint as n from p group by 1, 2, 3) select lang, (row_number() over (partition by lang order by n desc, \"left\", \"right\"))::int as rank, \"left\", \"right\", n from s qualify rank <= 5",
     "bpe_merges_first_n": f"{_RECURSIVE} select * from m",
-    "bpe_merges_relational": f"with recursive {_WORDS}, {_learned(5)} select * from m",
+    "bpe_merges_relational": f"with recursive {_WORDS}, {_learned(20)} select * from m",
     "bpe_vocabulary": f"{_RECURSIVE}, {_BASE} select * from v",
     "vocab_lineage": f"""{_RECURSIVE}, {_BASE} select id, token, case when rank is null then '' else '["' || "left" || '","' || "right" || '"]' end as built_from from v left join m on token = "left" || "right" """,
     "vocab_script_facets": f"{_RECURSIVE}, {_BASE} select SCRIPT as script, count(*) as n_tokens, count(*) filter (token like '▁_%') as n_words from v group by 1",
