@@ -89,3 +89,25 @@ def test_odd_rows(spark, tmp_path):
     assert all(n == 0 for (_, what), n in made.items() if what == "none")
     assert made["simhash near-dedup", "rows"] == len({plain_fingerprint(r[1]) for r in rows})
     assert np.all([made[name, "rows"] == len(rows) for name in ("secret scan", "best-fit packing")])
+
+
+def test_clashing_columns_and_very_long_texts(spark, tmp_path):
+    """Every stage on columns that bear the names it works with, on a text of 200,000 words, and on rows that repeat a doc_id."""
+    long = "the cat sat on the mat with words " * 25000
+    rows = [(1, long, "en", "a", len(long)), (1, "another text of the same number here", "en", "a", 36), (2, "password=b7db7aa4a5fcc78305 is what the cat said to the dog", "en", "b", 59), (2, "password=b7db7aa4a5fcc78305 is what the cat said to the dog", "en", "b", 59), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("_key", "_uid", "uid", "row", "h", "late", "id", "findings", "between", "slot", "turn", "words", "_chunk", "lang_pred2", "piece2"):
+        docs = docs.withColumn(name, docs.doc_id)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs.write.parquet(str(tmp_path / f"in{k}"))
+        out = stage(spark, spark.read.parquet(str(tmp_path / f"in{k}")), "").collect()
+        if name == "language id":
+            assert out[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"} and {r.doc_id for r in out} <= {1, 2}
+        elif name == "simhash near-dedup":
+            assert sorted((r.doc_id, r.n_chars or 0, r.uid) for r in out) == [(1, 36, 1), (1, len(long), 1), (2, 59, 2), (3, 0, 3)]
+        elif name == "secret scan":
+            assert len(out) == 5 and [r.text for r in out if r.doc_id == 2] == ["password=[SECRET] is what the cat said to the dog"] * 2 and all(r.h == r.doc_id for r in out)
+        elif name == "source mixing":
+            assert sum(len(r.text.split()) for r in out if r.n_chars and r.source == "b") > 0 and all(r.slot == r.doc_id for r in out)
+        else:
+            assert {r.doc_id for r in out} == {1, 2, 3}
