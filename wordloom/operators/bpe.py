@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -54,7 +55,12 @@ def learned(words: list[tuple[list[str], int]], n_merges: int, least: int = 1, s
     Learning ends at the first pair whose count is below least. Products in skip are joined but not listed, as their token
     exists already. Counts are exact; their sum has to fit a 64-bit number.
     """
-    symbols = Symbols(words)
+    names: dict[str, int] = {}
+    flat = np.array([names.setdefault(x, len(names)) for s, _ in words for x in s], np.int64)
+    return _learned(Symbols(list(names), flat, np.array([len(s) for s, _ in words], np.int64), [int(n) for _, n in words]), n_merges, least, skip)
+
+
+def _learned(symbols: Symbols, n_merges: int, least: int, skip: set[str] | None = None) -> list[tuple[str, str, int]]:
     heap = [(-n, symbols.spelled(key)) for key, n in symbols.count.items()]
     heapq.heapify(heap)
     made: list[tuple[str, str, int]] = []
@@ -76,15 +82,13 @@ class Symbols:
     """All words' symbols end to end in arrays, with links to the neighbours that are left, the count of each pair of
     neighbours and the places where it may start. A join rewrites all places of a pair at once."""
 
-    def __init__(self, words: list[tuple[list[str], int]]):
-        self.names: list[str] = []
-        self.ids: dict[str, int] = {}
-        flat = [self._id(x) for s, _ in words for x in s]
-        sizes = np.array([len(s) for s, _ in words], np.int64)
-        weights = [int(n) for _, n in words]
-        if sum(n * len(s) for (s, _), n in zip(words, weights)) >= 1 << 63:
+    def __init__(self, names: list[str], flat: np.ndarray, sizes: np.ndarray, weights: list[int]):
+        """flat: the symbols of all words, as places in names; sizes and weights: of the words."""
+        self.names = list(names)
+        self.ids = {name: i for i, name in enumerate(self.names)}
+        if sum(n * size for size, n in zip(sizes.tolist(), weights, strict=True)) >= 1 << 63:
             raise OverflowError("scale the masses down: their sum does not fit 64 bits")
-        self.symbol = np.array(flat, np.int64)
+        self.symbol = flat.astype(np.int64)
         self.weight = np.repeat(np.array(weights, np.int64), sizes)
         n, ends = len(flat), np.cumsum(sizes)
         self.after, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
@@ -179,15 +183,16 @@ def learn_merges(words: DataFrame, n_merges: int, config: tuple[str, ...] = (),
     own = [f for f in words.schema.fields if f.name in config]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), MERGES])
 
-    def run(key, group):
-        group = group.sort_values("n", kind="stable")
-        made = learned([(list(s), int(n)) for s, n in zip(group["symbols"], group["n"], strict=True)], n_merges, least)
-        out = pd.DataFrame([(k, *m) for k, m in enumerate(made)], columns=["rank", "left", "right", "n"]).astype({"rank": "int32", "n": "int64"})
-        for k, name in enumerate(config):
-            out.insert(k, name, key[k])
-        return out
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        lists = group.column("symbols").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        sizes = np.diff(lists.offsets.to_numpy())
+        symbols = Symbols(coded.dictionary.to_pylist(), coded.indices.to_numpy(), sizes, group.column("n").to_pylist())
+        made = _learned(symbols, n_merges, least)
+        cols = [pa.array(x, t) for x, t in zip(zip(*((k, *m) for k, m in enumerate(made)), strict=True) if made else ((),) * 4, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)]
+        return pa.table([*(pa.array([k.as_py()] * len(made), k.type) for k in key), *cols], names=[*config, "rank", "left", "right", "n"])
 
-    return narrow.groupBy(*config).applyInPandas(run, schema)
+    return narrow.groupBy(*config).applyInArrow(run, schema)
 
 
 def learn_merges_relational(words: DataFrame, n_merges: int, value: str = "n", at_once: int = 32) -> DataFrame:

@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 from wordloom.functions.script import aksharas
 from wordloom.functions.text import META, bare_pretokens, count_words, normalized, pretokens, punctuation_pieces, unit_hash
 from wordloom.operators.prefix import ranged, with_offsets
+from wordloom.session import checkpointed
 
 MICRO = 1_000_000
 
 
 def word_counts(corpus: DataFrame, keys: tuple[str, ...] = ("lang", "source"), form: str | None = "NFC", punctuation: bool = False, text_col: str = "text") -> DataFrame:
     """(*keys, word, n): occurrences of each pre-token; with punctuation, of its pieces."""
-    norm = normalized(F.col(text_col), form)
+    staged, norm = corpus.select(*keys, normalized(F.col(text_col), form).alias("_norm")), F.col("_norm")  # worked out once per text
     if punctuation:
         pieces = F.flatten(F.transform(pretokens(norm), punctuation_pieces))
-        return corpus.select(*keys, F.explode(pieces).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    counted = corpus.select(*keys, F.explode(bare_pretokens(norm)).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+        return staged.select(*keys, F.explode(pieces).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    counted = staged.select(*keys, F.explode(bare_pretokens(norm)).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
     return counted.select(*keys, F.concat(F.lit(META), "word").alias("word"), "n")
 
 
@@ -82,7 +83,7 @@ def within_budget(docs: DataFrame, cap: int, group: tuple[str, ...] = ("lang", "
     """The documents of each group, in order, until their words reach the cap; the one that crosses it is kept. Column
     words_before: the words of its group in front of it. All columns of docs are sorted by range; pass narrow ones, with words."""
     counted = docs.withColumn("n_words", count_words(F.col("text")) if words is None else words)
-    cut = ranged(counted.withColumn("_tie", F.monotonically_increasing_id()), [*group, order, "_tie"])
+    cut = ranged(checkpointed(counted.withColumn("_tie", F.monotonically_increasing_id())), [*group, order, "_tie"])  # ranges read it twice
     return with_offsets(cut, list(group), [order, "_tie"], F.col("n_words"), "words_before").where(F.col("words_before") < cap).drop("_chunk", "_tie")
 
 

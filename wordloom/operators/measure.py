@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions.script import aksharas, bad_splits, boundaries
 from wordloom.functions.text import META, bare_pretokens, count_words, normalized, pretokens, truncated_ratio
 from wordloom.operators.bpe import UNKNOWN, decoded, segment_words
+from wordloom.session import checkpointed
 
 
 def violations(word: Column, tokens: Column) -> Column:
@@ -21,13 +22,14 @@ def grapheme_violations(units: Column, tokens: Column) -> Column:
     return F.size(F.array_except(boundaries(tokens), boundaries(units)))
 
 
-def evaluate(corpus: DataFrame, merges: list[tuple[str, str]], keys: tuple[str, ...], alphabet: set[str] | None = None, byte_fallback: bool = False, check_aksharas: bool = True, text_col: str = "text") -> DataFrame:
-    """(*keys, tokens, words, unk, violations, fertility) of each group of texts.
+def evaluate(corpus: DataFrame, merges: list[tuple[str, str]], keys: tuple[str, ...], alphabet: set[str] | None = None, byte_fallback: bool = False, check_aksharas: bool = True, text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """(*keys, tokens, words, unk, violations, fertility) of each group of texts, or of counted ones.
 
     Distinct words are segmented once; their token counts are joined back to the counts per group. Words are counted on
-    the text itself, in the same scan. fertility is null for a group without a word; null texts count as empty.
+    the text itself, in the same scan. fertility is null for a group without a word; null texts count as empty. counts, rows
+    (*keys, word, n) as counted_with_words gives them, saves that scan.
     """
-    each = _counted(corpus, keys, text_col)
+    each = checkpointed(counted_with_words(corpus, keys, text_col)) if counts is None else counts
     cut = segment_words(each.select("word").where("word is not null").distinct(), merges, alphabet, byte_fallback)
     bad = violations(F.col("word"), F.col("tokens")) if check_aksharas else F.lit(0)
     sized = cut.select("word", F.size("tokens").alias("t"), F.size(F.filter("tokens", lambda x: x == UNKNOWN)).alias("u"), bad.alias("v"))
@@ -37,12 +39,16 @@ def evaluate(corpus: DataFrame, merges: list[tuple[str, str]], keys: tuple[str,
     return met.withColumn("fertility", F.try_divide(F.col("tokens").cast("double"), F.col("words").cast("double")))
 
 
-def _counted(corpus: DataFrame, keys: tuple[str, ...], text_col: str) -> DataFrame:
+def counted_with_words(corpus: DataFrame, keys: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """(*keys, word, n): occurrences of pre-tokens; the row without a word has the words of the texts. One scan for both."""
-    total = F.struct(F.lit(None).cast("string").alias("word"), F.coalesce(count_words(F.col(text_col)), F.lit(0)).cast("long").alias("n"))
-    pieces = F.coalesce(bare_pretokens(normalized(F.col(text_col))), F.array().cast("array<string>"))
-    ones = F.transform(pieces, lambda w: F.struct(F.concat(F.lit(META), w).alias("word"), F.lit(1).cast("long").alias("n")))
-    return corpus.select(*keys, F.explode(F.concat(F.array(total), ones)).alias("p")).groupBy(*keys, "p.word").agg(F.sum("p.n").alias("n"))
+    total = F.coalesce(count_words(F.col(text_col)), F.lit(0))
+    staged = corpus.select(*keys, normalized(F.coalesce(text_col, F.lit(""))).alias("_norm"), total.alias("_total"))
+    # The words of a text stand in front of its pre-tokens as one more element, which no pre-token equals: it has blanks.
+    listed = F.concat(F.array(F.concat(F.lit(" "), F.col("_total").cast("string"))), bare_pretokens(F.col("_norm")))
+    sums = staged.select(*keys, F.explode(listed).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    word, marked = F.concat(F.lit(META), "word"), F.startswith("word", F.lit(" "))
+    named = sums.select(*keys, F.when(~marked, word).alias("word"), F.when(marked, F.col("n") * F.trim("word").try_cast("long")).otherwise(F.col("n")).alias("n"))
+    return named
 
 
 def spread(measured: DataFrame, group: tuple[str, ...] = (), name: str = "lang", order: str | None = None) -> DataFrame:
@@ -126,6 +132,6 @@ def largest_change(variants: DataFrame, pinned: DataFrame, key: str = "lang", va
 
 def character_level(corpus: DataFrame, keys: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """(*keys, tokens, words): what a tokenizer without merges gives, one token per character of each pre-token."""
-    pieces = F.aggregate(pretokens(normalized(F.col(text_col), None)), F.lit(0), lambda s, w: s + F.length(w))
-    each = corpus.select(*keys, pieces.alias("t"), count_words(F.col(text_col)).alias("w"))
+    staged = corpus.select(*keys, normalized(F.col(text_col), None).alias("_norm"), count_words(F.col(text_col)).alias("w"))
+    each = staged.select(*keys, F.aggregate(pretokens(F.col("_norm")), F.lit(0), lambda s, w: s + F.length(w)).alias("t"), "w")
     return each.groupBy(*keys).agg(F.sum("t").alias("tokens"), F.sum("w").alias("words"))

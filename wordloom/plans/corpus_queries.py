@@ -22,8 +22,13 @@ def _lang_weights(spark: SparkSession) -> DataFrame:
 
 
 def _counts(spark, sf_dir) -> DataFrame:
-    """Occurrences of every pre-token by language: counted once per session, as every query here starts from them."""
-    return kept(spark, ("word_counts", sf_dir), lambda: corpus.word_counts(docs(spark, sf_dir), keys=("lang",)))
+    """Occurrences of every pre-token by language."""
+    return _measured(spark, sf_dir).where("word is not null")
+
+
+def _measured(spark, sf_dir) -> DataFrame:
+    """Those, with the words of each language: counted once per session, as every query here starts from them."""
+    return kept(spark, ("word_counts", sf_dir), lambda: measure.counted_with_words(docs(spark, sf_dir), ("lang",)))
 
 
 def _all_words(spark, sf_dir) -> DataFrame:
@@ -132,7 +137,7 @@ def _table(spark, sf_dir) -> list[tuple[str, str]]:
 
 
 def bpe_encode_fertility(spark, sf_dir):
-    return measure.evaluate(docs(spark, sf_dir), _table(spark, sf_dir), ("lang",), check_aksharas=False).select("lang", "tokens", "words", "fertility")
+    return measure.evaluate(docs(spark, sf_dir), _table(spark, sf_dir), ("lang",), check_aksharas=False, counts=_measured(spark, sf_dir)).select("lang", "tokens", "words", "fertility")
 
 
 def fertility_spread_score(spark, sf_dir):
@@ -142,7 +147,7 @@ def fertility_spread_score(spark, sf_dir):
 def unk_counts(spark, sf_dir):
     """Unknown characters per language for the alphabet of the benchmark."""
     alphabet = {r["token"] for r in corpus.base_vocabulary(_eval_words(spark, sf_dir)).where("kind = 'char'").collect()}
-    return measure.evaluate(docs(spark, sf_dir), [], ("lang",), alphabet=alphabet, check_aksharas=False).select("lang", "tokens", "unk")
+    return measure.evaluate(docs(spark, sf_dir), [], ("lang",), alphabet=alphabet, check_aksharas=False, counts=_measured(spark, sf_dir)).select("lang", "tokens", "unk")
 
 
 def roundtrip_check(spark, sf_dir):

@@ -34,8 +34,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_mem
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of the test data by name."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table of the test data by name; a table of fewer files than there are cores is dealt to all of them, as a file may
+    be a single unit of reading."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
