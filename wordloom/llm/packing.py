@@ -196,7 +196,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (doc_id, piece, length and further columns) with sequence_id and offset. Reads cut once; the only data on the
-    driver is the histogram, and what is broadcast is the plan, whose size is bounded by the capacity."""
+    driver is the histogram, and what is broadcast is the plan, whose size is bounded by the capacity.
+
+    Lengths are from 1 to the capacity, else ValueError. Null ids and repeated rows are packed like any other, equal ones in any
+    order; an empty table gives no rows; columns must not be named _chunk or _rank.
+    """
     ready = checkpointed(cut.withColumn("_chunk", F.spark_partition_id()))
     histogram = {r["length"]: r["n"] for r in ready.groupBy("length").agg(F.count("*").alias("n")).collect()}
     shared = ready.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
