@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import langid, mixing, packing, pii, quality_model, quality_rules, secrets, simhash, token_counts, topk
+from wordloom.llm import langid, mixing, packing, pii, quality_model, quality_rules, secrets, simhash, token_counts, topk, vector_codes
 from wordloom.session import table
 
 
@@ -59,6 +59,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of embeddings with their errors."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": op8_source_mixing,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
+        "op11_vector_codes": op11_vector_codes,
         "pipeline": pipeline,
     }
 
@@ -88,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "quality_rule_ablations": quality_rules.ABLATIONS_SQL,
         "op5_exact_top_k": topk.ORACLE_SQL,
         "op8_source_mixing": mixing.ORACLE_SQL,
+        "op11_vector_codes": vector_codes.ORACLE_SQL,
     }
