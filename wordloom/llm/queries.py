@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import langid, mixing, packing, pii, quality_model, quality_rules, secrets, simhash, token_counts, topk, vector_codes
+from wordloom.llm import differencing, langid, mixing, packing, pii, quality_model, quality_rules, secrets, simhash, token_counts, topk, vector_codes
 from wordloom.session import table
 
 
@@ -64,6 +64,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-equal windows of 4096 ids over documents."""
+    import public_tokenizers
+
+    return differencing.differencing_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
         "op11_vector_codes": op11_vector_codes,
+        "op13_differencing_packing": op13_differencing_packing,
         "pipeline": pipeline,
     }
 
