@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import differencing, langid, mixing, packing, pii, quality_model, quality_rules, secrets, simhash, token_counts, topk, vector_codes
+from wordloom.llm import differencing, langid, lexical, mixing, packing, pii, quality_model, quality_rules, secrets, simhash, token_counts, topk, vector_codes
 from wordloom.session import table
 
 
@@ -64,6 +64,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-equal windows of 4096 ids over documents."""
     import public_tokenizers
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
         "op11_vector_codes": op11_vector_codes,
+        "op12_lexical_search": op12_lexical_search,
         "op13_differencing_packing": op13_differencing_packing,
         "pipeline": pipeline,
     }
@@ -103,4 +109,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_top_k": topk.ORACLE_SQL,
         "op8_source_mixing": mixing.ORACLE_SQL,
         "op11_vector_codes": vector_codes.ORACLE_SQL,
+        "op12_lexical_search": lexical.ORACLE_SQL,
     }
