@@ -26,7 +26,7 @@ from wordloom.operators.prefix import ranged, with_offsets
 from wordloom.session import scratch, slices
 
 #: Words of a shard, beyond which it ends with the document; postings that a step takes of a list at most.
-SHARD_WORDS, RUN = 1 << 22, 4096
+SHARD_WORDS, RUN = 1 << 21, 4096
 #: Words of the queries that are searched at a time, and broadcast; further queries follow in blocks.
 BLOCK_WORDS = 1 << 18
 #: A term is a maximal run of other characters than these, with A-Z lower-cased.
