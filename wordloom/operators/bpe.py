@@ -53,14 +53,15 @@ def learned(words: list[tuple[list[str], int]], n_merges: int, least: int = 1, s
     """The first n_merges merges (left, right, count): highest count first, ties by left, then right, in code-point order.
 
     Learning ends at the first pair whose count is below least. Products in skip are joined but not listed, as their token
-    exists already. Counts are exact; their sum has to fit a 64-bit number.
+    exists already. Counts are exact, whatever their size.
     """
     names: dict[str, int] = {}
     flat = np.array([names.setdefault(x, len(names)) for s, _ in words for x in s], np.int64)
-    return _learned(Symbols(list(names), flat, np.array([len(s) for s, _ in words], np.int64), [int(n) for _, n in words]), n_merges, least, skip)
+    return next_merges(Symbols(list(names), flat, np.array([len(s) for s, _ in words], np.int64), [int(n) for _, n in words]), n_merges, least, skip)
 
 
-def _learned(symbols: Symbols, n_merges: int, least: int, skip: set[str] | None = None) -> list[tuple[str, str, int]]:
+def next_merges(symbols: Symbols, n_merges: int, least: int, skip: set[str] | None = None, until_known: bool = False) -> list[tuple[str, str, int]]:
+    """The merges that symbols give, which they are joined by; until_known stops behind a product that had a symbol already."""
     heap = [(-n, symbols.spelled(key)) for key, n in symbols.count.items()]
     heapq.heapify(heap)
     made: list[tuple[str, str, int]] = []
@@ -73,6 +74,8 @@ def _learned(symbols: Symbols, n_merges: int, least: int, skip: set[str] | None
             break
         if not skip or left + right not in skip:
             made.append((left, right, -n))
+        if until_known and left + right in symbols.ids:
+            break
         for changed in symbols.join(key):
             heapq.heappush(heap, (-symbols.count[changed], symbols.spelled(changed)))
     return made
@@ -86,10 +89,9 @@ class Symbols:
         """flat: the symbols of all words, as places in names; sizes and weights: of the words."""
         self.names = list(names)
         self.ids = {name: i for i, name in enumerate(self.names)}
-        if sum(n * size for size, n in zip(sizes.tolist(), weights, strict=True)) >= 1 << 63:
-            raise OverflowError("scale the masses down: their sum does not fit 64 bits")
+        wide = sum(n * size for size, n in zip(sizes.tolist(), weights, strict=True)) >= 1 << 63  # then Python's integers
         self.symbol = flat.astype(np.int64)
-        self.weight = np.repeat(np.array(weights, np.int64), sizes)
+        self.weight = np.repeat(np.array(weights, object if wide else np.int64), sizes)
         n, ends = len(flat), np.cumsum(sizes)
         self.after, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
         full = ends[sizes > 0]
@@ -137,7 +139,7 @@ class Symbols:
         """Joins a pair, from the left and without overlaps, wherever it stands; the pairs whose count is another now, but for
         those that are gone."""
         left, right = key >> 32, key & 0xFFFFFFFF
-        at = np.unique(np.concatenate(self.places.pop(key)))
+        at = np.unique(np.concatenate(self.places.pop(key, [np.array([], np.int64)])))
         at = at[(self.symbol[at] == left) & (self.after[at] >= 0)]
         at = at[self.symbol[self.after[at]] == right]
         if left == right and len(at):  # in a run of equal symbols, every other pair
@@ -188,7 +190,7 @@ def learn_merges(words: DataFrame, n_merges: int, config: tuple[str, ...] = (),
         coded = lists.flatten().dictionary_encode()
         sizes = np.diff(lists.offsets.to_numpy())
         symbols = Symbols(coded.dictionary.to_pylist(), coded.indices.to_numpy(), sizes, group.column("n").to_pylist())
-        made = _learned(symbols, n_merges, least)
+        made = next_merges(symbols, n_merges, least)
         cols = [pa.array(x, t) for x, t in zip(zip(*((k, *m) for k, m in enumerate(made)), strict=True) if made else ((),) * 4, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)]
         return pa.table([*(pa.array([k.as_py()] * len(made), k.type) for k in key), *cols], names=[*config, "rank", "left", "right", "n"])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.script import aksharas
 from wordloom.operators import bpe, corpus
+from wordloom.operators.merges import learn_merges_partitioned
 from wordloom.session import checkpointed
 
 
@@ -89,7 +90,7 @@ def train(texts: DataFrame, weights: DataFrame, config: Config, eval_texts: Data
     counted = corpus.rounded_counts(mapped, config.total_mass).withColumnRenamed("k", "n") if config.total_mass else mapped.withColumn("n", F.col("mass").cast("long"))
     grouped = counted.where("n > 0").select(F.explode("runs").alias("symbols"), "n").groupBy("symbols").agg(F.sum("n").alias("n"))
     merges = list(fixed)
-    for r in bpe.learn_merges(grouped, room + 64, least=config.min_frequency).orderBy("rank").collect():
+    for r in learn_merges_partitioned(grouped, room + 64, least=config.min_frequency).orderBy("rank").collect():
         product = r["left"] + r["right"]
         if len(tokens) >= config.vocab_size:
             break

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import script, text
-from wordloom.operators import bpe, corpus, measure
+from wordloom.operators import bpe, corpus, measure, merges
 from wordloom.plans.text_queries import SQL_VARIANTS, docs, sql_norm, sql_pretokens, sql_words
 from wordloom.session import checkpointed, table
 from wordloom.sources.cache import kept
@@ -95,11 +95,11 @@ def top_pairs_per_lang(spark, sf_dir):
 
 
 def _merges(spark, sf_dir) -> DataFrame:
-    return kept(spark, ("merges", sf_dir, MERGES), lambda: bpe.learn_merges(_all_words(spark, sf_dir), MERGES))
+    return kept(spark, ("merges", sf_dir, MERGES), lambda: merges.learn_merges_partitioned(_all_words(spark, sf_dir), MERGES))
 
 
 def bpe_merges_first_n(spark, sf_dir):
-    return bpe.learn_merges(_all_words(spark, sf_dir), MERGES)
+    return merges.learn_merges_partitioned(_all_words(spark, sf_dir), MERGES)
 
 
 def bpe_merges_relational(spark, sf_dir):
@@ -116,8 +116,8 @@ def bpe_vocabulary(spark, sf_dir):
 
 def vocab_lineage(spark, sf_dir):
     """What each token was built from, by joining the vocabulary with the merges on the product."""
-    merges = _merges(spark, sf_dir).select(F.concat("left", "right").alias("token"), F.to_json(F.array("left", "right")).alias("built"))
-    return _vocabulary(spark, sf_dir).select("id", "token").join(merges, "token", "left").select("id", "token", F.coalesce("built", F.lit("")).alias("built_from"))
+    products = _merges(spark, sf_dir).select(F.concat("left", "right").alias("token"), F.to_json(F.array("left", "right")).alias("built"))
+    return _vocabulary(spark, sf_dir).select("id", "token").join(products, "token", "left").select("id", "token", F.coalesce("built", F.lit("")).alias("built_from"))
 
 
 def vocab_script_facets(spark, sf_dir):
