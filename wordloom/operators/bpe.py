@@ -1,7 +1,7 @@
 """Byte-pair encoding: learning merges, vocabularies, encoding and decoding.
 
 Spark counts the words; merge learning reads distinct words with counts, one group per configuration, so that sweeps over
-configurations run side by side. Encoding segments each distinct word once and joins the result back.
+configurations run side by side. Counts are encoded by segmenting each distinct word once; texts where they stand, word by word.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -38,15 +38,33 @@ def replaced(symbols: list[str], left: str, right: str) -> list[str]:
 
 
 def segmented(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Symbols after joining the pair of lowest rank, leftmost first, until no ranked pair is left."""
-    symbols = list(symbols)
-    while len(symbols) > 1:
-        best = min(((ranks.get(pair), i) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in ranks), default=None)
-        if best is None:
-            break
-        i = best[1]
-        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-    return symbols
+    """Symbols after joining the pair of lowest rank, leftmost first, until no ranked pair is left.
+
+    Places are linked to the neighbours that are left; a heap has the ranked pairs by (rank, place), and those whose symbols have
+    changed since are passed over, so that a word of n symbols takes n log n steps.
+    """
+    n, get = len(symbols), ranks.get
+    waiting = [(rank, i, pair) for i, pair in enumerate(zip(symbols, symbols[1:])) if (rank := get(pair)) is not None]
+    if not waiting:
+        return list(symbols)
+    heapq.heapify(waiting)
+    left: list[str | None] = list(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while waiting:
+        _, i, pair = heapq.heappop(waiting)
+        j = after[i]
+        if j >= n or left[i] != pair[0] or left[j] != pair[1]:
+            continue
+        left[i], left[j] = pair[0] + pair[1], None
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (rank := get(both := (left[i], left[k]))) is not None:
+                heapq.heappush(waiting, (rank, i, both))
+        h = before[i]
+        if h >= 0 and (rank := get(both := (left[h], left[i]))) is not None:
+            heapq.heappush(waiting, (rank, h, both))
+    return [x for x in left if x is not None]
 
 
 def learned(words: list[tuple[list[str], int]], n_merges: int, least: int = 1, skip: set[str] | None = None) -> list[tuple[str, str, int]]:
@@ -345,6 +363,41 @@ def encoded_word(word: str, ranks: dict[tuple[str, str], int], alphabet: set[str
     return cut(symbols, ranks)
 
 
+#: Words whose tokens a worker keeps.
+KEPT_WORDS = 1 << 18
+
+
+def encoded(pieces: Column, merges: list[tuple[str, str]], alphabet: set[str] | None = None, byte_fallback: bool = False, cut=None) -> Column:
+    """array<array<string>>: the tokens of each word of pieces, array<string>, where it stands; see segment_words.
+
+    A worker cuts each different word of a batch once and keeps the last KEPT_WORDS; no word is shuffled, so a frequent one is
+    no hot key. Null lists stay null, null words have no tokens.
+    """
+    ranks: dict[tuple[str, str], int] = {}
+    for pair in merges:
+        ranks.setdefault(tuple(pair), len(ranks))
+    shared = SparkSession.active().sparkContext.broadcast((ranks, alphabet, byte_fallback))
+
+    @F.arrow_udf(ArrayType(ArrayType(StringType())))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ranks, alphabet, bytes_ = shared.value
+        known: dict[str | None, list[str] | None] = {None: None}
+        for lists in batches:
+            words = lists.flatten().dictionary_encode()
+            different = words.dictionary.to_pylist()
+            if len(known) + len(different) > KEPT_WORDS:
+                known = {None: None}
+            for w in different:
+                if w not in known:
+                    known[w] = encoded_word(w, ranks, alphabet, bytes_, cut or segmented)
+            tokens = pa.array([known[w] for w in different], pa.list_(pa.string())).take(words.indices)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.ListArray.from_arrays(offsets, tokens, mask=lists.is_null())
+
+    return run(pieces)
+
+
 def decoded(tokens: Column) -> Column:
     """Text of a token list: byte tokens become their characters, marks become spaces, one leading space goes."""
     byte = r"^<0x[0-9A-F]{2}>$"
@@ -353,11 +406,12 @@ def decoded(tokens: Column) -> Column:
     return F.regexp_replace(plain, "^ ", "")
 
 
-def flat_tokens(encoded: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+def flat_tokens(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """(key, word_at, token_at, token, id): one row per token of rows (key, pieces array<array<string>>)."""
-    words = encoded.select(key, F.posexplode("pieces").alias("word_at", "tokens"))
-    tokens = words.select(key, "word_at", F.posexplode("tokens").alias("token_at", "token"))
-    return tokens.join(vocab.select("token", "id"), "token", "left").select(key, "word_at", "token_at", "token", "id")
+    words = rows.select(key, F.posexplode("pieces").alias("word_at", "tokens"))
+    tokens = words.select(key, F.col("word_at").cast("long").alias("word_at"), F.posexplode("tokens").alias("token_at", "token"))
+    known = F.broadcast(vocab.select("token", "id"))  # as large as the vocabulary
+    return tokens.join(known, "token", "left").select(key, "word_at", F.col("token_at").cast("long").alias("token_at"), "token", "id")
 
 
-__all__ = ["MERGES", "UNKNOWN", "akshara_merges", "byte_tokens", "decoded", "encoded_word", "flat_tokens", "joined", "learn_merges", "learn_merges_relational", "learned", "replaced", "segment_words", "segmented", "vocabulary"]
+__all__ = ["MERGES", "UNKNOWN", "akshara_merges", "byte_tokens", "decoded", "encoded", "encoded_word", "flat_tokens", "joined", "learn_merges", "learn_merges_relational", "learned", "next_merges", "replaced", "segment_words", "segmented", "vocabulary"]

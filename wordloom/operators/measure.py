@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.script import aksharas, bad_splits, boundaries
 from wordloom.functions.text import META, bare_pretokens, count_words, normalized, pretokens, truncated_ratio
-from wordloom.operators.bpe import UNKNOWN, decoded, segment_words
+from wordloom.operators.bpe import UNKNOWN, decoded, encoded, segment_words
 from wordloom.session import checkpointed
 
 
@@ -93,14 +93,10 @@ def greatest_divisor(a: Column, b: Column, steps: int = 190) -> Column:
 
 
 def round_trip(texts: DataFrame, merges: list[tuple[str, str]], key: str, alphabet: set[str] | None = None, byte_fallback: bool = False) -> DataFrame:
-    """(key, ok) of each distinct pair of key and text: whether the tokens decode to the normalised text. Words carry a hash of
-    the text, not the text."""
+    """(key, ok) of each row: whether the tokens of its text decode to the normalised text. Null texts count as empty."""
     norm = texts.select(key, normalized(F.coalesce("text", F.lit(""))).alias("norm"))
-    words = norm.select(key, F.md5("norm").alias("h"), F.posexplode_outer(pretokens(F.col("norm"))).alias("at", "word"))
-    cut = segment_words(words.select("word").where("word is not null").distinct(), merges, alphabet, byte_fallback)
-    met = words.join(cut, "word", "left").groupBy(key, "h").agg(F.array_sort(F.collect_set(F.struct("at", "tokens"))).alias("p"))
-    tokens = F.flatten(F.filter(F.transform("p", lambda x: x["tokens"]), lambda t: t.isNotNull()))
-    return met.select(key, (F.md5(decoded(tokens)) == F.col("h")).alias("ok"))
+    cut = norm.select(key, "norm", encoded(pretokens(F.col("norm")), merges, alphabet, byte_fallback).alias("p"))
+    return cut.select(key, (decoded(F.flatten("p")) == F.col("norm")).alias("ok"))
 
 
 def decimals(a: Column, b: Column, digits: int = 12) -> Column:

@@ -27,8 +27,8 @@ def _counts(spark, sf_dir) -> DataFrame:
 
 
 def _measured(spark, sf_dir) -> DataFrame:
-    """Those, with the words of each language: counted once per session, as every query here starts from them."""
-    return kept(spark, ("word_counts", sf_dir), lambda: measure.counted_with_words(docs(spark, sf_dir), ("lang",)))
+    """Those, with the words of each language: counted once per session and state of the files, as every query here starts from them."""
+    return kept(spark, ("word_counts", sf_dir), [f"{sf_dir}/documents.parquet"], lambda: measure.counted_with_words(docs(spark, sf_dir), ("lang",)))
 
 
 def _all_words(spark, sf_dir) -> DataFrame:
@@ -95,7 +95,7 @@ def top_pairs_per_lang(spark, sf_dir):
 
 
 def _merges(spark, sf_dir) -> DataFrame:
-    return kept(spark, ("merges", sf_dir, MERGES), lambda: merges.learn_merges_partitioned(_all_words(spark, sf_dir), MERGES))
+    return kept(spark, ("merges", sf_dir, MERGES), [f"{sf_dir}/documents.parquet"], lambda: merges.learn_merges_partitioned(_all_words(spark, sf_dir), MERGES))
 
 
 def bpe_merges_first_n(spark, sf_dir):
@@ -168,10 +168,9 @@ def heldout_vs_train_fertility(spark, sf_dir):
 def flat_token_ids(spark, sf_dir):
     """Every token of the benchmark's texts with its place and id; what the vocabulary does not know is <unk>."""
     vocab = checkpointed(_vocabulary(spark, sf_dir))
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.pretokens(text.normalized(F.col("text")))).alias("word_at", "word"))
-    cut = bpe.segment_words(words.select("word").distinct(), _table(spark, sf_dir), {r["token"] for r in vocab.where("kind = 'char'").collect()})
-    flat = words.join(cut, "word").select("item_id", F.col("word_at").cast("long").alias("word_at"), F.posexplode("tokens").alias("token_at", "token"))
-    return flat.join(vocab.select("token", "id"), "token", "left").select("item_id", "word_at", F.col("token_at").cast("long").alias("token_at"), "token", "id")
+    alphabet = {r["token"] for r in vocab.where("kind = 'char'").collect()}
+    pieces = text.pretokens(text.normalized(F.col("text")))
+    return bpe.flat_tokens(table(spark, sf_dir, "benchmark").select("item_id", bpe.encoded(pieces, _table(spark, sf_dir), alphabet).alias("pieces")), vocab, "item_id")
 
 
 def bpe_merges_full(spark, sf_dir):

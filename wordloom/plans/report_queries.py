@@ -32,9 +32,7 @@ def unicode_cases(spark, sf_dir):
     """Round trip, joiners, tokens of the decomposed form and unknown characters of literal cases."""
     rows = spark.createDataFrame([(n, t, unicodedata.normalize("NFD", t)) for n, t in UNICODE_CASES], "name string, text string, decomposed string")
     both = rows.select("name", F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("text")), F.struct(F.lit(1).alias("form"), F.col("decomposed").alias("text")))).alias("f")).select("name", "f.*")
-    words = both.select("name", "form", "text", F.posexplode(text.pretokens(text.normalized(F.col("text")))).alias("at", "word"))
-    cut = bpe.segment_words(words.select("word").distinct(), corpus_plans._table(spark, sf_dir))
-    met = words.join(cut, "word").groupBy("name", "form", "text").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
+    met = _encoded(both, ["name", "form", "text"], corpus_plans._table(spark, sf_dir), None)
     joiners = lambda c: F.length(F.regexp_replace(c, "[^\\x{200C}\\x{200D}]", ""))
     back = met.withColumn("back", bpe.decoded(F.col("tokens"))).withColumn("norm", text.normalized(F.col("text")))
     return back.groupBy("name").agg(
@@ -97,9 +95,7 @@ def _decomposed(texts: pd.Series) -> pd.Series:
 
 def _encoded(rows, keys, merges, alphabet, cut=None):
     """rows with tokens, in order, of the column text."""
-    words = rows.select(*keys, F.posexplode(text.pretokens(text.normalized(F.col("text")))).alias("at", "word"))
-    done = words.join(bpe.segment_words(words.select("word").distinct(), merges, alphabet, cut=cut), "word")
-    return done.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
+    return rows.select(*keys, F.flatten(bpe.encoded(text.pretokens(text.normalized(F.col("text"))), merges, alphabet, cut=cut)).alias("tokens"))
 
 
 def verification_checks(spark, sf_dir):

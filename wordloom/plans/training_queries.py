@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.operators import corpus, runs, search, train
+from wordloom.functions import text
+from wordloom.operators import bpe, corpus, measure, runs, search, train
 from wordloom.plans import corpus_queries as base
 from wordloom.plans.text_queries import docs, sql_pretokens, sql_words
 from wordloom.session import table
+from wordloom.sources.cache import kept
 
 VOCABULARY, LEAST = 200, 5
 SWEEP, SWEEP_MERGES = (1.0, 2.0, 4.0, 6.0), 20
@@ -32,8 +34,50 @@ def trained_tokenizer(spark, sf_dir):
 
 def tokenizer_10k(spark, sf_dir):
     """The full training: 10,000 tokens over all languages and words."""
-    rows, weights, pages = _inputs(spark, sf_dir)
-    return train.train(rows, weights, train.Config(akshara=True), pages).vocabulary(spark)
+    return _full_parts(spark, sf_dir)[0]
+
+
+def _full(spark, sf_dir):
+    """(part, place, a, b): the tokens and kinds, and the merges, of the full training; trained once per session and state of
+    the files."""
+    def build():
+        rows, weights, pages = _inputs(spark, sf_dir)
+        made = train.train(rows, weights, train.Config(akshara=True), pages)
+        return made.vocabulary(spark).select(F.lit("token").alias("part"), F.col("id").alias("place"), F.col("token").alias("a"), F.col("kind").alias("b")).unionByName(made.merge_table(spark).select(F.lit("merge").alias("part"), F.col("rank").cast("long").alias("place"), F.col("left").alias("a"), F.col("right").alias("b")))
+
+    return kept(spark, ("tokenizer_10k", sf_dir), [f"{sf_dir}/{x}.parquet" for x in ("documents", "benchmark")], build)
+
+
+def _full_parts(spark, sf_dir):
+    """Its vocabulary, merges and alphabet."""
+    made = _full(spark, sf_dir)
+    vocab = made.where("part = 'token'").select(F.col("place").alias("id"), F.col("a").alias("token"), F.col("b").alias("kind"))
+    merges = [(r.a, r.b) for r in made.where("part = 'merge'").orderBy("place").collect()]
+    return vocab, merges, {r.token for r in vocab.where("kind = 'char'").collect()}
+
+
+def documents_10k(spark, sf_dir):
+    """Each document by the full tokenizer: tokens, unknown ones, a hash of its ids, and whether they decode to its text."""
+    vocab, merges, alphabet = _full_parts(spark, sf_dir)
+    ids = F.broadcast(vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("ids")))  # one row, the vocabulary
+    norm = docs(spark, sf_dir).select("doc_id", text.normalized(F.coalesce("text", F.lit(""))).alias("norm"))
+    cut = norm.select("doc_id", "norm", F.flatten(bpe.encoded(text.pretokens(F.col("norm")), merges, alphabet)).alias("tokens")).crossJoin(ids)
+    named = F.array_join(F.transform("tokens", lambda t: F.element_at("ids", t).cast("string")), ",")
+    return cut.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.filter("tokens", lambda t: t == bpe.UNKNOWN)).alias("unk"), F.sha2(named, 256).alias("ids_sha256"), (bpe.decoded(F.col("tokens")) == F.col("norm")).alias("ok"))
+
+
+def fertility_10k(spark, sf_dir):
+    """Tokens, words, unknown characters and fertility of the full tokenizer, by language."""
+    _, merges, alphabet = _full_parts(spark, sf_dir)
+    return measure.evaluate(docs(spark, sf_dir), merges, ("lang",), alphabet, counts=base._measured(spark, sf_dir)).drop("violations")
+
+
+def heldout_fertility_10k(spark, sf_dir):
+    """The same by language and split."""
+    _, merges, alphabet = _full_parts(spark, sf_dir)
+    title = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
+    rows = docs(spark, sf_dir).select("lang", "text", text.split_name(title).alias("split"))
+    return measure.evaluate(rows, merges, ("lang", "split"), alphabet).drop("violations")
 
 
 def rounded_training(spark, sf_dir):
@@ -74,7 +118,7 @@ def balanced_weights(spark, sf_dir):
     return spark.createDataFrame(rows, "trial int, lang string, weight double, fertility double, objective double, improved boolean")
 
 
-QUERIES = {f.__name__: f for f in (trained_tokenizer, tokenizer_10k, rounded_training, recorded_run, configuration_grid, weight_sweep, climbing_chains, balanced_weights)}
+QUERIES = {f.__name__: f for f in (trained_tokenizer, tokenizer_10k, documents_10k, fertility_10k, heldout_fertility_10k, rounded_training, recorded_run, configuration_grid, weight_sweep, climbing_chains, balanced_weights)}
 
 _KEPT = f"""k as (select ch from (select unnest(string_split(word, '')) as ch, mass from x) group by ch having sum(mass) >= {base.FEW * corpus.MICRO} union select distinct ch from (select unnest(string_split(word, '')) as ch from (select unnest({sql_pretokens('text')}) as word from benchmark))),
 bad as (select distinct word from (select word, unnest(string_split(word, '')) as ch from x) where ch not in (select ch from k)),
