@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.operators.prefix import ranged, with_least, with_offsets
+from wordloom.operators.prefix import AFFINE, LAST, LEAST, every, ranged, scanned, with_least, with_offsets
 
 _MEASURE = "map<string,struct<tokens:int,words:int,fertility:double,unk:int,akshara_violations:int>>"
 #: Declared, as whole numbers and fractions mix in the files.
@@ -131,33 +131,34 @@ def trace(runs: DataFrame, stages: Column, time: str = "time", run_id: str = "id
 def elasticity(runs: DataFrame, group: tuple[str, ...], seq: str = "seq", fertility: str = "fertility", weight: str = "weight", start: float = -0.15) -> DataFrame:
     """(*group, seq, raw, smoothed): change of log fertility by change of log weight against the run before, accepted
     where the weight moved by more than 0.001 and the value is between -2 and -0.005, smoothed half and half."""
-    order = Window.partitionBy(*group).orderBy(seq)
-    dw = F.ln(weight) - F.ln(F.lag(weight).over(order))
-    df = F.ln(fertility) - F.ln(F.lag(fertility).over(order))
-    raw = F.when(F.abs(dw) > 1e-3, df / dw)
-    rows = runs.select(*group, seq, raw.alias("raw")).withColumn("used", F.when((F.col("raw") > -2.0) & (F.col("raw") < -0.005), F.col("raw")))
-    so_far = rows.withColumn("past", F.collect_list("used").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return so_far.select(*group, seq, "raw", F.aggregate("past", F.lit(start), lambda s, e: s * 0.5 + e * 0.5).alias("smoothed"))
+    cut = ranged(runs.select(*group, seq, F.col(fertility).cast("double").alias("_f"), F.col(weight).cast("double").alias("_w")), [*group, seq])
+    before = scanned(cut, group, F.struct(F.lit(True).alias("there"), F.col("_f").alias("f"), F.col("_w").alias("w")), LAST, "_last", inclusive=False)
+    dw, df = F.ln("_w") - F.ln("_last.w"), F.ln("_f") - F.ln("_last.f")
+    rows = before.select(*group, seq, "_chunk", F.when(F.abs(dw) > 1e-3, df / dw).alias("raw"))
+    used = (F.col("raw") > -2.0) & (F.col("raw") < -0.005)
+    half = F.struct(F.when(used, 0.5).otherwise(1.0).alias("a"), F.when(used, F.col("raw") * 0.5).otherwise(0.0).alias("b"))
+    made = scanned(rows, group, half, AFFINE, "_map")
+    return made.select(*group, seq, "raw", (F.col("_map.a") * start + F.col("_map.b")).alias("smoothed"))
 
 
 def failure_streaks(runs: DataFrame, group: tuple[str, ...], seq: str = "seq", objective: str = "spread", patience: int = 3, factor: float = 0.6, floor: float = 2e-4, sigma: float = 0.01) -> DataFrame:
     """(*group, seq, improved, fails, sigma): replay of a hill climb's step size. A run improves on all before it; every
     patience-th failure in a row since the last improvement shrinks sigma."""
-    order = Window.partitionBy(*group).orderBy(seq)
-    before = F.min(objective).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = runs.select(*group, seq, (before.isNull() | (F.col(objective) < before)).alias("improved"))
-    rows = rows.withColumn("island", F.sum(F.when(F.col("improved"), 1).otherwise(0)).over(order))
-    within = Window.partitionBy(*group, "island").orderBy(seq)
-    rows = rows.withColumn("fails", F.row_number().over(within) - 1)
-    shrink = F.when((F.col("fails") > 0) & (F.col("fails") % patience == 0), 1).otherwise(0)
-    times = F.sum(shrink).over(order)
-    return rows.select(*group, seq, "improved", "fails", F.greatest(F.lit(floor), F.lit(sigma) * F.pow(F.lit(factor), times)).alias("sigma"))
+    cut = ranged(runs.select(*group, seq, F.col(objective).cast("double").alias("_value")), [*group, seq])
+    least = scanned(cut, group, F.struct(F.col("_value").alias("value")), LEAST, "_least", inclusive=False)
+    better = F.col("_least.value").isNull() | (F.col("_value") < F.col("_least.value"))
+    rows = least.select(*group, seq, "_chunk", F.coalesce(better, F.lit(False)).alias("improved"))
+    one = F.when(F.col("improved"), 0).otherwise(1).cast("long")
+    counted = scanned(rows, group, F.struct(F.col("improved").alias("started"), one.alias("before"), F.lit(0).cast("long").alias("times"), one.alias("since")), every(patience), "_count")
+    shrunk = F.greatest(F.lit(floor), F.lit(sigma) * F.pow(F.lit(factor), F.col("_count.times")))
+    return counted.select(*group, seq, "improved", F.col("_count.since").alias("fails"), shrunk.alias("sigma"))
 
 
 def next_ids(runs: DataFrame, stage: str = "stage", seq: str = "seq") -> DataFrame:
     """runs with run_id: the stage and a number of three digits, or E and four for runs without a stage."""
-    number = F.row_number().over(Window.partitionBy(stage).orderBy(seq))
-    return runs.withColumn("run_id", F.when(F.col(stage).isNull(), F.format_string("E%04d", number)).otherwise(F.format_string("%s-%03d", F.col(stage), number)))
+    numbered = with_offsets(ranged(runs, [stage, seq]), [stage], [seq], F.lit(1), "_before").withColumn("_before", F.col("_before") + 1)
+    name = F.when(F.col(stage).isNull(), F.format_string("E%04d", "_before")).otherwise(F.format_string("%s-%03d", F.col(stage), F.col("_before")))
+    return numbered.select(*runs.columns, name.alias("run_id"))
 
 
 def run_line(fertilities: Column, spread: Column, score: Column) -> Column:
