@@ -64,6 +64,29 @@ def aksharas(word: Column) -> Column:
     return F.regexp_extract_all(word, F.lit(AKSHARA), F.lit(0))
 
 
+def aksharas_folded(word: Column) -> Column:
+    """The same units by a fold over the characters: what has been cut off, the open unit, whether a letter may go on with it (2:
+    also behind a joiner), and of which script. A letter is tried against the scripts of JOINERS, a sign against their signs."""
+    signs = {name: f"[{signs}]" for name, signs in JOINERS.items()}
+
+    def pick(c: Column, patterns: dict[str, str]) -> Column:
+        return F.coalesce(*[F.when(c.rlike(p), name) for name, p in patterns.items()], F.lit(""))
+
+    def step(s: Column, c: Column) -> Column:
+        sign, letter = pick(c, signs), pick(c, {name: rf"[\p{{Lo}}&&\p{{Is{name}}}]" for name in JOINERS})
+        stays = c.rlike(r"[\p{M}\x{200C}\x{200D}]") | ((s["opens"] > 0) & (letter != "") & (letter == s["script"]))
+        first = s["now"] == ""
+        return F.struct(
+            F.when(first | stays, s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))).alias("done"),
+            F.when(first | stays, F.concat(s["now"], c)).otherwise(c).alias("now"),
+            F.when(sign != "", 2).when((s["opens"] == 2) & (c == "\u200d"), 1).otherwise(0).alias("opens"),
+            F.when(sign != "", sign).otherwise(s["script"]).alias("script"),
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("opens"), F.lit("").alias("script"))
+    return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), start, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+
+
 @functools.cache
 def _kind(ch: str) -> tuple[str, str]:
     """(kind, script) of a character: virama, mark, joiner, letter or other, by the character database."""

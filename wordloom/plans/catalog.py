@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.operators import measure
-from wordloom.plans import corpus_queries, file_queries, ledger_queries, report_queries, text_queries, training_queries
+from wordloom.plans import corpus_queries, file_queries, indic_queries, ledger_queries, report_queries, text_queries, training_queries
 from wordloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (text_queries, corpus_queries, file_queries, ledger_queries, report_queries, training_queries)
+_PARTS = (text_queries, corpus_queries, indic_queries, file_queries, indic_queries, ledger_queries, report_queries, training_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,9 +194,9 @@ def _joined(s: str, left: str, right: str) -> str:
     return f"case when list_contains({s}, {left}) and list_contains({s}, {right}) then list_reduce(list_transform({s}, lambda c: [c]), lambda o, c: case when o[-1] = {left} and c[1] = {right} then list_concat(o[1:len(o) - 1], [{left} || {right}]) else list_concat(o, c) end) else {s} end"
 
 
-def _learned(n: int, words: str = "select word, sum(n)::hugeint as n from w group by word", least: int = 1) -> str:
+def _learned(n: int, words: str = "select word, sum(n)::hugeint as n from w group by word", least: int = 1, symbols: str = "string_split(word, '')") -> str:
     """CTEs: e (distinct words as symbols), t (rounds of merging) and m (rank, left, right, n)."""
-    return f"""e as materialized (select row_number() over () as id, string_split(word, '') as s, n from ({words})),
+    return f"""e as materialized (select row_number() over () as id, {symbols} as s, n from ({words})),
 t(step, id, s, n, l, r, c) as (
   select 0, id, s, n, ''::varchar, ''::varchar, 0::hugeint from e
   union all
@@ -212,11 +212,11 @@ v as materialized (select (row_number() over (order by sect, place, token) - 1):
   select 0 as sect, 0 as place, '<unk>' as token, 'special' as kind union all select 1, 0, token, 'char' from c union all select 2, rank, "left" || "right", 'learned' from m))"""
 
 
-def _segmented(words: str, name: str = "f") -> str:
+def _segmented(words: str, name: str = "f", n: int = MERGES) -> str:
     """CTEs: the distinct words of a query (word, s) cut by the merges in rank order: (word, s, t)."""
     return f"""{name}z(step, word, s) as (select 0, word, s from ({words}) union all
   select z.step + 1, z.word, {_joined('z.s', 'm."left"', 'm."right"')} from {name}z as z join m on m.rank = z.step),
-{name} as materialized (select word, s, len(s)::bigint as t from {name}z where step = {MERGES})"""
+{name} as materialized (select word, s, len(s)::bigint as t from {name}z where step = {n})"""
 
 
 _CUT = _segmented("select distinct word, string_split(word, '') as s from w")

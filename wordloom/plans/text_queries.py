@@ -127,40 +127,6 @@ def extraction_sensitivity(spark, sf_dir):
     return wide.join(spread, "variant").join(measure.largest_change(each, each.where("variant = 'all'")), "variant")
 
 
-#: Syllables of words.
-AKSHARA_CASES = (
-    ("शक्ति", ("श", "क्ति")),
-    ("स्वतंत्रता", ("स्व", "तं", "त्र", "ता")),
-    ("క్ష", ("క్ష",)),
-    ("స్వాతంత్ర్యం", ("స్వా", "తం", "త్ర్యం")),
-    ("क्\u200dष", ("क्\u200dष",)),
-    ("क्\u200cष", ("क्\u200c", "ष")),
-    ("இந்தியா", ("இ", "ந்", "தி", "யா")),
-)
-SPLIT_CASES = (("शक्ति", ("शक", "्ति"), 1), ("शक्ति", ("श", "क्ति"), 0), ("स्वतंत्रता", ("स्", "व", "तंत्", "रता"), 2), ("abc", ("a", "b", "c"), 0))
-GRAPHEME_CASES = (("é́a", 2), ("🇮🇳x", 2), ("कि", 1))
-
-
-def akshara_cases(spark, sf_dir):
-    rows = spark.createDataFrame([(w,) for w, _ in AKSHARA_CASES], "word string")
-    return rows.select("word", F.array_join(script.aksharas(F.col("word")), "|").alias("units"), F.array_join(script.aksharas_any(F.col("word")), "|").alias("units_any"))
-
-
-def akshara_violations_fixture(spark, sf_dir):
-    rows = spark.createDataFrame([(w, list(p)) for w, p, _ in SPLIT_CASES], "word string, pieces array<string>")
-    return rows.select("word", F.array_join("pieces", "|").alias("pieces"), measure.violations(F.col("word"), F.col("pieces")).cast("long").alias("bad"))
-
-
-def grapheme_cases(spark, sf_dir):
-    rows = spark.createDataFrame([(w,) for w, _ in GRAPHEME_CASES], "word string")
-    return rows.select("word", F.size(script.graphemes(F.col("word"))).cast("long").alias("n"))
-
-
-def word_count_cases(spark, sf_dir):
-    rows = spark.createDataFrame([("a\u00a0b\u2009c  d\n\ne",), ("जवाहर\u200cलाल",), ("",), ("  ",), ("x\x1cy",)], "text string")
-    return rows.select(F.hex(F.encode("text", "UTF-8")).alias("bytes"), text.count_words(F.col("text")).cast("long").alias("python"), text.count_words(F.col("text"), text.WHITE_SPACE).cast("long").alias("unicode"))
-
-
 def scalar_functions(spark, sf_dir):
     """Small string helpers over the benchmark's texts."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
@@ -193,7 +159,7 @@ def arrivals_per_window(spark, sf_dir):
     return fertility(running_counts(rows, window="1 hour")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "lang", "n_docs", "n_words", "n_chars", "fertility")
 
 
-QUERIES = {f.__name__: f for f in (words_per_lang, chars_words_lines_per_doc, clean_text_hash, hash_split_counts, min_words_filter, title_exclusion, word_budget_prefix, first_sentence, script_of_words, page_links, html_all_text, html_prose_text, html_word_counts, extraction_sensitivity, akshara_cases, akshara_violations_fixture, grapheme_cases, word_count_cases, scalar_functions, quality_join, arrivals_per_window)}
+QUERIES = {f.__name__: f for f in (words_per_lang, chars_words_lines_per_doc, clean_text_hash, hash_split_counts, min_words_filter, title_exclusion, word_budget_prefix, first_sentence, script_of_words, page_links, html_all_text, html_prose_text, html_word_counts, extraction_sensitivity, scalar_functions, quality_join, arrivals_per_window)}
 
 _ENTITIES = "html2"
 _HTML = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g')"
@@ -215,11 +181,6 @@ SQL_VARIANTS = rf"""pg as materialized (select regexp_extract(html, '<html lang=
 pv as materialized (select lang, 'all' as variant, {HTML_ALL} as t from pg union all select lang, 'paragraphs', {_stripped('para')} from pg union all select lang, 'marked headings', {_stripped('marked')} from pg)"""
 
 
-def _values(rows, names: str) -> str:
-    quote = lambda x: f"{x}::bigint" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return f"select * from (values {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) as v({names})"
-
-
 _SCRIPT = "case " + " ".join(f"when regexp_matches(word, '[{''.join(rf'\x{{{a:X}}}-\x{{{b:X}}}' for a, b in r)}]') then '{n}'" for n, r in script.BLOCKS) + " else 'Other' end"
 
 ORACLES = {
@@ -235,10 +196,6 @@ ORACLES = {
     "page_links": r"""with t as (select page_id, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref=["'']([^"'']*)["'']', 1)[1:5000] as l from pages) select page_id, unnest(range(len(l)))::bigint as place, unnest(l) as target from t""",
     "html_all_text": f"select page_id, sha256({HTML_ALL}) as sha256 from pages",
     "html_word_counts": f"with t as (select page_id, {HTML_ALL} as t from pages) select page_id, length(t)::bigint as chars, {sql_words('t')}::bigint as words from t",
-    "akshara_cases": _values([(w, "|".join(u), "|".join(u)) for w, u in AKSHARA_CASES], "word, units, units_any"),
-    "akshara_violations_fixture": _values([(w, "|".join(p), n) for w, p, n in SPLIT_CASES], "word, pieces, bad"),
-    "grapheme_cases": _values(GRAPHEME_CASES, "word, n"),
-    "word_count_cases": _values([("61C2A062E2808963202064 0A0A65".replace(" ", ""), 5, 5), ("E0A49CE0A4B5E0A4BEE0A4B9E0A4B0E2808CE0A4B2E0A4BEE0A4B2", 1, 1), ("", 0, 0), ("2020", 0, 0), ("781C79", 2, 1)], "bytes, python, unicode"),
     "scalar_functions": r"""with t as (select item_id, text as t from benchmark), w as (select *, string_split(t, ' ')[1:3] as w from t)
 select item_id, replace(replace(url_encode(replace(t, ' ', '_')), '+', '%20'), '~', '%7E') as url, replace(replace(replace(replace('<a href="x">&' || t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped,
  case when len(w) < 2 then array_to_string(w, '') else array_to_string(w[1:len(w) - 1], ', ') || ' and ' || w[-1] end as spoken,
