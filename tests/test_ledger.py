@@ -4,13 +4,15 @@ import json
 import math
 import random
 import statistics
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import ledger, search
-from wordloom.sources import readers, sinks
+from wordloom.operators import bpe, corpus, ledger, runs, search, train
+from wordloom.sources import readers, run_log, sinks
 
 def made_runs():
     """A ledger of eight stages: three languages or four, some runs with held-out results, weights that come again."""
@@ -146,9 +148,34 @@ def test_climbing_improves_and_repeats():
     assert search.make_weights({"en": 2.0}, 3.0, 0.0) == {"en.eval": 6.0}
 
 
+def local_trial(words, n_merges):
+    """A trial over (lang, word, n) by plain loops."""
+    def measure(multipliers):
+        mass, tokens, totals = Counter(), Counter(), Counter()
+        for lang, w, n in words:
+            mass[w] += n * round(multipliers[lang] * 1_000_000)
+            totals[lang] += n
+        ranks = {(a, b): k for k, (a, b, _) in enumerate(bpe.learned([(list(w), mass[w]) for w in sorted(mass)], n_merges))}
+        for lang, w, n in words:
+            tokens[lang] += n * len(bpe.segmented(list(w), ranks))
+        return {lang: tokens[lang] / totals[lang] for lang in totals}
+
+    return measure
+
+
+def test_chains_equal_climbs_over_plain_trials(spark):
+    words = [("en", w, 5) for w in ("▁the", "▁then", "▁there")] + [("de", w, 3) for w in ("▁der", "▁das", "▁dem", "▁the")]
+    made = search.chains(spark.createDataFrame(words, "lang string, word string, n long"), [1, 2], 2, 5).collect()
+    for seed in (1, 2):
+        want = search.climb(local_trial(words, 5), ["de", "en"], 2, seed)
+        own = sorted((r for r in made if r.seed == seed), key=lambda r: r.trial)
+        assert [(r.trial, r.improved) for r in own] == [(r["trial"] - 1, r["improved"]) for r in want]
+        assert np.allclose([r.spread for r in own], [r["objective"] for r in want])
+
+
 def test_trials_agree_and_balance_counts(spark):
     words = [("en", w, 5) for w in ("▁the", "▁then", "▁there")] + [("de", w, 3) for w in ("▁der", "▁das", "▁dem", "▁the")]
-    near, far = search.local_trial(words, 5), search.spark_trial(spark.createDataFrame(words, "lang string, word string, n long"), 5)
+    near, far = local_trial(words, 5), search.spark_trial(spark.createDataFrame(words, "lang string, word string, n long"), 5)
     for weights in ({"en": 1.0, "de": 1.0}, {"en": 0.2, "de": 5.0}):
         assert near(weights) == pytest.approx(far(weights))
 
@@ -216,3 +243,33 @@ def test_samples_and_links(spark):
     assert readers.sampled(spark.range(50), 7, 1).count() == 7
     pages = spark.createDataFrame([(1, '<a href="a"></a><a href="b"></a><a href="c"></a>')], "page_id long, html string")
     assert [(r.place, r.target) for r in readers.page_links(pages, 2).collect()] == [(0, "a"), (1, "b")]
+
+
+def test_writers_at_once_share_no_id_and_failed_ones_leave_no_row(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    assert run_log.entries(spark, path).count() == 0
+    parts = [spark.createDataFrame([(s, w * 100 + i) for i, s in enumerate(["B", None, "B", "C-x"] * 3)], "stage string, n int") for w in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(lambda p: run_log.append(p, path), parts)) == [0, 1, 2, 3]
+    broken = parts[0].withColumn("n", F.when(F.col("n") == 5, F.raise_error(F.lit("x")).cast("int")).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="x"):
+        run_log.append(broken, path)
+    assert run_log.append(parts[0].where("false"), path) == 4
+    got = run_log.read(spark, path).collect()
+    assert sorted(r.run_id for r in got) == sorted([f"B-{i:03d}" for i in range(1, 25)] + [f"E{i:04d}" for i in range(1, 13)] + [f"C-x-{i:03d}" for i in range(1, 13)])
+    own = [r for r in sorted(got, key=lambda r: r.run_id) if r.stage == "B"]  # in a writer's order, writer by writer
+    assert all([r.n for r in own[k : k + 6]] == sorted(r.n for r in own[k : k + 6]) and len({r.n // 100 for r in own[k : k + 6]}) == 1 for k in range(0, 24, 6))
+
+
+def test_grids_count_what_they_share_once(spark, monkeypatch):
+    texts = spark.createDataFrame([("en", "s", "the cat and the hat sat; then the rat ran. " * 4), ("de", "s", "der Hund und der Hut und die Kuh " * 4)], "lang string, source string, text string")
+    weights = spark.createDataFrame([("en", "s", 1_000_000), ("de", "s", 2_000_000), ("fr", "s", 0)], "lang string, source string, micro long")
+    pages = texts.select("lang", "text")
+    configs = {"a": train.Config(vocab_size=34), "b": train.Config(vocab_size=30), "c": train.Config(vocab_size=34, punctuation=True), "d": train.Config(vocab_size=30, alpha_min=3), "e": train.Config(vocab_size=290, byte_fallback=True)}
+    calls, count = [], corpus.word_counts
+    monkeypatch.setattr(corpus, "word_counts", lambda *a, **k: calls.append(k.get("punctuation")) or count(*a, **k))
+    made = {r.stage: r for r in runs.grid(texts, weights, configs, pages).collect()}
+    assert sorted(calls) == [False, False, True, True]  # texts and pages, for each way to cut words
+    monkeypatch.undo()
+    for name, config in configs.items():
+        assert made[name].tokenizer_sha256 == runs.one_run(texts, weights, config, pages, name).first().tokenizer_sha256

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wordloom.operators import measure
 from wordloom.operators.ledger import SCHEMA
-from wordloom.operators.train import Config, Tokenizer, train
+from wordloom.operators.train import Config, Counted, Tokenizer, train
 from wordloom.sources.sinks import tokenizer_sha
 
 
@@ -29,11 +29,11 @@ def summary(spark, by_lang: dict[str, dict]) -> dict:
     return {k: found[0][k] for k in ("max_lang", "min_lang", "max_fertility", "min_fertility", "spread", "score")} if found else {}
 
 
-def one_run(texts: DataFrame, weights: DataFrame, config: Config, pages: DataFrame, stage: str, number: int = 1, note: str = "", heldout: DataFrame | None = None) -> DataFrame:
+def one_run(texts: DataFrame, weights: DataFrame, config: Config, pages: DataFrame, stage: str, number: int = 1, note: str = "", heldout: DataFrame | None = None, counted: Counted | None = None) -> DataFrame:
     """One row of the ledger (SCHEMA) for a tokenizer trained on texts with weights, see train, and measured on pages (lang,
     text) and, if given, on heldout texts. Append it with sinks.append_runs."""
     began, spark = time.monotonic(), texts.sparkSession
-    tokenizer = train(texts, weights, config, pages)
+    tokenizer = train(texts, weights, config, pages, counted)
     trained = time.monotonic() - began
     on_pages, held = measured(pages, tokenizer), measured(heldout, tokenizer) if heldout is not None else {}
     langs, own, away = sorted(on_pages), summary(spark, on_pages), summary(spark, held)
@@ -58,9 +58,10 @@ def one_run(texts: DataFrame, weights: DataFrame, config: Config, pages: DataFra
 
 
 def grid(texts: DataFrame, weights: DataFrame, configs: dict[str, Config], pages: DataFrame, at_once: int = 4) -> DataFrame:
-    """A ledger row per named configuration; a few run at once, as each leaves most of a cluster idle while it learns."""
+    """A ledger row per named configuration; a few run at once. What their configurations have in common is counted once."""
+    counted = Counted(texts, weights, pages)
     with ThreadPoolExecutor(at_once) as pool:
-        rows = list(pool.map(lambda item: one_run(texts, weights, item[1], pages, item[0]), configs.items()))
+        rows = list(pool.map(lambda item: one_run(texts, weights, item[1], pages, item[0], counted=counted), configs.items()))
     made = rows[0]
     for row in rows[1:]:
         made = made.unionByName(row)

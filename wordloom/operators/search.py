@@ -3,22 +3,22 @@
 Points live in log space, as vectors over the languages in their given order: `Point` holds the log weights that were tried
 and the log fertilities that they gave. A search is a pair of pure functions, one from the history to the next log weights
 and one from the history and a new point to the next history; `run` feeds it trials. A trial maps weights per language to
-fertilities: `spark_trial` measures one with Spark, `local_trial` one over a vocabulary that a task holds.
+fertilities, and `spark_trial` measures one; no task holds a vocabulary.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.operators import bpe, corpus
 from wordloom.operators.corpus import MICRO
+from wordloom.operators.merges import learn_merges_partitioned
 from wordloom.session import checkpointed
 
 Trial = Callable[[dict[str, float]], dict[str, float]]
@@ -188,15 +188,15 @@ def make_weights(multipliers: dict[str, float], eval_weight: float, train_weight
 
 
 def spark_trial(counts: DataFrame, n_merges: int) -> Trial:
-    """A trial over counts (lang, word, n), which stay where they are: merges are learned from the weighted counts by one task
-    per trial, words are cut and summed by all."""
+    """A trial over counts (lang, word, n), which stay where they are: merges are learned by all tasks together, words are cut
+    and summed by all."""
     counts = checkpointed(counts)
     spark = counts.sparkSession
 
     def measure(multipliers: dict[str, float]) -> dict[str, float]:
         weights = spark.createDataFrame([(x, round(w * MICRO)) for x, w in multipliers.items()], "lang string, micro long")
-        mass = corpus.weighted_counts(counts, weights, on=("lang",)).select("word", F.col("mass").cast("long").alias("n"))
-        merges = [(r["left"], r["right"]) for r in bpe.learn_merges(mass, n_merges).orderBy("rank").collect()]  # a vocabulary
+        mass = checkpointed(corpus.weighted_counts(counts, weights, on=("lang",)).select("word", F.col("mass").cast("long").alias("n")))
+        merges = [(r["left"], r["right"]) for r in learn_merges_partitioned(mass, n_merges).orderBy("rank").collect()]  # a vocabulary
         cut = bpe.segment_words(counts.select("word").distinct(), merges).select("word", F.size("tokens").alias("t"))
         sums = counts.join(cut, "word").groupBy("lang").agg((F.sum(F.col("n") * F.col("t")) / F.sum("n")).alias("f")).collect()
         return {r["lang"]: r["f"] for r in sums}
@@ -204,56 +204,25 @@ def spark_trial(counts: DataFrame, n_merges: int) -> Trial:
     return measure
 
 
-def local_trial(words: list[tuple[str, str, int]], n_merges: int) -> Trial:
-    """The same inside one task, over (lang, word, n)."""
-    distinct = sorted({w for _, w, _ in words})
-    totals = Counter()
-    for lang, _, n in words:
-        totals[lang] += n
-
-    def measure(multipliers: dict[str, float]) -> dict[str, float]:
-        mass, tokens = Counter(), Counter()
-        for lang, w, n in words:
-            mass[w] += n * round(multipliers[lang] * MICRO)
-        ranks = {(a, b): k for k, (a, b, _) in enumerate(bpe.learned([(list(w), mass[w]) for w in distinct], n_merges))}
-        size = {w: len(bpe.segmented(list(w), ranks)) for w in distinct}
-        for lang, w, n in words:
-            tokens[lang] += n * size[w]
-        return {lang: tokens[lang] / totals[lang] for lang in totals}
-
-    return measure
-
-
-def _per_point(words: DataFrame, points: DataFrame, name: str, work, schema: str) -> DataFrame:
-    """work(point, rows) for every point of a short list, each in a task with the whole vocabulary (lang, word, n)."""
-    every = words.select("lang", "word", F.col("n").cast("long").alias("n")).crossJoin(F.broadcast(points))
-
-    def one(key, group):
-        rows = sorted(zip(group["lang"], group["word"], group["n"].tolist(), strict=True))
-        return pd.DataFrame(work(key[0], rows), columns=[c.split()[0] for c in schema.split(", ")])
-
-    return every.groupBy(name).applyInPandas(one, schema)
-
-
-def sweep(words: DataFrame, points: list[float], lang: str, n_merges: int) -> DataFrame:
-    """(weight, lang, fertility): one language's weight changed, the others at one. Points run in parallel, each in a task that
-    holds the vocabulary; use spark_trial per point where no task can."""
-    grid = words.sparkSession.createDataFrame([(float(p),) for p in points], "weight double")
-
-    def work(weight: float, rows: list[tuple[str, str, int]]) -> list[tuple]:
-        langs = sorted({x for x, _, _ in rows})
-        got = local_trial(rows, n_merges)({x: weight if x == lang else 1.0 for x in langs})
-        return [(weight, x, got[x]) for x in langs]
-
-    return _per_point(words, grid, "weight", work, "weight double, lang string, fertility double")
+def _side_by_side(work: Callable, points: list, at_once: int) -> list:
+    """work of each point, a few at once; trials of different points do not wait for each other."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(work, points))
 
 
-def chains(words: DataFrame, seeds: list[int], trials: int, n_merges: int) -> DataFrame:
-    """(seed, trial, spread, sigma, improved): independent hill climbs, one group per seed; the start is trial -1."""
-    grid = words.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")
+def sweep(words: DataFrame, points: list[float], lang: str, n_merges: int, at_once: int = 4) -> DataFrame:
+    """(weight, lang, fertility): one language's weight changed, the others at one, a trial per point over (lang, word, n)."""
+    counts = checkpointed(words)
+    langs, trial = sorted(r[0] for r in counts.select("lang").distinct().collect()), spark_trial(counts, n_merges)
+    got = _side_by_side(lambda p: trial({x: p if x == lang else 1.0 for x in langs}), points, at_once)
+    rows = [(float(p), x, found[x]) for p, found in zip(points, got, strict=True) for x in langs]
+    return words.sparkSession.createDataFrame(rows, "weight double, lang string, fertility double")
 
-    def work(seed: int, rows: list[tuple[str, str, int]]) -> list[tuple]:
-        made = climb(local_trial(rows, n_merges), sorted({x for x, _, _ in rows}), trials, int(seed))
-        return [(int(seed), r["trial"] - 1, r["objective"], r["sigma"], r["improved"]) for r in made]
 
-    return _per_point(words, grid, "seed", work, "seed int, trial int, spread double, sigma double, improved boolean")
+def chains(words: DataFrame, seeds: list[int], trials: int, n_merges: int, at_once: int = 4) -> DataFrame:
+    """(seed, trial, spread, sigma, improved): independent hill climbs, side by side; the start is trial -1."""
+    counts = checkpointed(words)
+    langs, trial = sorted(r[0] for r in counts.select("lang").distinct().collect()), spark_trial(counts, n_merges)
+    made = _side_by_side(lambda s: climb(trial, langs, trials, s), seeds, at_once)
+    rows = [(s, r["trial"] - 1, r["objective"], r["sigma"], r["improved"]) for s, records in zip(seeds, made, strict=True) for r in records]
+    return words.sparkSession.createDataFrame(rows, "seed int, trial int, spread double, sigma double, improved boolean")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from threading import RLock
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,20 +54,44 @@ class Tokenizer:
         return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(self.merges)], "rank int, left string, right string")
 
 
-def train(texts: DataFrame, weights: DataFrame, config: Config, eval_texts: DataFrame | None = None) -> Tokenizer:
+class Counted:
+    """Texts (lang, source, text) with weights (lang, source, micro), and the word counts that trainings over them share: one
+    scan per normal form and way to cut words, one filter per least occurrence of a character."""
+
+    def __init__(self, texts: DataFrame, weights: DataFrame, eval_texts: DataFrame | None = None):
+        self.texts, self.weights, self.eval_texts = texts, weights, eval_texts
+        self._made: dict[tuple, DataFrame] = {}
+        self._turn = RLock()  # trainings may run side by side
+
+    def _once(self, *key, build: Callable[[], DataFrame]) -> DataFrame:
+        with self._turn:
+            if key not in self._made:
+                self._made[key] = checkpointed(build())
+            return self._made[key]
+
+    def forced(self, config: Config) -> DataFrame | None:
+        """(word) of eval_texts."""
+        if self.eval_texts is None:
+            return None
+        return self._once("forced", config.norm, config.punctuation, build=lambda: corpus.word_counts(self.eval_texts, keys=("lang",), form=config.norm, punctuation=config.punctuation).select("word").distinct())
+
+    def words(self, config: Config) -> DataFrame:
+        """(word, mass) without words that hold a character that is too rare."""
+        kind = (config.norm, config.punctuation)
+        every = self._once("words", *kind, 0, build=lambda: corpus.weighted_counts(corpus.word_counts(self.texts, form=config.norm, punctuation=config.punctuation), self.weights))
+        if config.alpha_min <= 0:
+            return every
+        return self._once("words", *kind, config.alpha_min, build=lambda: corpus.alphabet_filtered(every, corpus.kept_characters(every, config.alpha_min * corpus.MICRO, self.forced(config))))
+
+
+def train(texts: DataFrame, weights: DataFrame, config: Config, eval_texts: DataFrame | None = None, counted: Counted | None = None) -> Tokenizer:
     """texts (lang, source, text) with weights (lang, source, micro); characters and aksharas of eval_texts are kept
-    whatever their mass.
+    whatever their mass. counted, over the same tables, saves the counting that it has done before.
 
     Raises ValueError if base symbols use up the vocabulary, or if the corpus gives too few merges for it.
     """
-    counts = corpus.word_counts(texts, form=config.norm, punctuation=config.punctuation)
-    words = corpus.weighted_counts(counts, weights)
-    forced = None
-    if eval_texts is not None:
-        forced = checkpointed(corpus.word_counts(eval_texts, keys=("lang",), form=config.norm, punctuation=config.punctuation).select("word").distinct())
-    if config.alpha_min > 0:
-        words = corpus.alphabet_filtered(words, corpus.kept_characters(words, config.alpha_min * corpus.MICRO, forced))
-    words = checkpointed(words)
+    shared = counted or Counted(texts, weights, eval_texts)
+    forced, words = shared.forced(config), shared.words(config)
     fixed: list[tuple[str, str]] = []
     glued: list[str] = []
     if config.akshara:

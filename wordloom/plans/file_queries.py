@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.errors import PythonException, SparkRuntimeException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +13,9 @@ from wordloom.functions import html, text
 from wordloom.plans import corpus_queries as base
 from wordloom.plans import ledger_queries
 from wordloom.plans.text_queries import HTML_ALL, SHA_RESIDUE, docs, sql_clean, sql_words
+from wordloom.operators.prefix import ranged, with_offsets
 from wordloom.session import scratch, table
-from wordloom.sources import readers, sinks
+from wordloom.sources import readers, run_log, sinks
 
 CAPS = {"train": 6000, "heldout": 600}
 
@@ -45,9 +50,11 @@ def _raw(spark, sf_dir) -> DataFrame:
 
 
 def _one_file_each(rows: DataFrame) -> DataFrame:
-    """A small table dealt so that no file has two rows."""
-    n = max(1, rows.count())
-    return rows.coalesce(1).withColumn("_place", F.monotonically_increasing_id()).repartitionById(n, F.col("_place").cast("int")).drop("_place")
+    """A table dealt so that no file has two rows."""
+    names = rows.columns
+    cut = ranged(rows.withColumn("_place", F.xxhash64(*names)).withColumn("_row", F.monotonically_increasing_id()), ["_place", "_row"])
+    numbered = with_offsets(cut, [], ["_place", "_row"], F.lit(1), "_file")
+    return numbered.repartitionById(max(1, cut.count()), F.col("_file").cast("int")).select(*names)
 
 
 def raw_page_files(spark, sf_dir):
@@ -85,6 +92,18 @@ def ledger_files(spark, sf_dir):
     return back.select("id", "stage", F.col("result.spread").alias("spread"), F.size("result.heldout").cast("long").alias("n_heldout"), F.size("langs").cast("long").alias("n_langs"), F.col("result.eval")["en"]["tokens"].cast("long").alias("tokens"))
 
 
+def committed_runs(spark, sf_dir):
+    """Runs that two writers append at once and a third fails to: by stage, how many there are and how they are numbered."""
+    rows, path = ledger_queries.full_ledger(spark, sf_dir).drop("seq"), scratch(spark, "committed")
+    half = F.crc32(F.col("id").cast("binary")) % 2
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda k: run_log.append(rows.where(half == k), path), (0, 1)))
+    with contextlib.suppress(PythonException, SparkRuntimeException):
+        run_log.append(rows.withColumn("note", F.when(half == 0, F.raise_error(F.lit("lost"))).otherwise(F.col("note"))), path)
+    number = F.regexp_extract("run_id", r"-(\d+)$", 1).cast("long")
+    return run_log.read(spark, path).groupBy("stage").agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("n_ids"), F.countDistinct("id").alias("n_runs"), F.min(number).alias("first"), F.max(number).alias("last"))
+
+
 def tokenizer_file(spark, sf_dir):
     """A tokenizer saved and read back: its merges, and whether vocabulary and identity are the same."""
     path = scratch(spark, "tokenizer")
@@ -117,7 +136,7 @@ def changed_revisions(spark, sf_dir):
     return met.where("not same_as_pinned")
 
 
-QUERIES = {f.__name__: f for f in (documents_file, split_streams, raw_page_files, text_page_files, html_page_files, ledger_files, tokenizer_file, configured_weights, changed_revisions)}
+QUERIES = {f.__name__: f for f in (documents_file, split_streams, raw_page_files, text_page_files, html_page_files, ledger_files, committed_runs, tokenizer_file, configured_weights, changed_revisions)}
 
 _ID = "lpad(doc_id::varchar, 12, '0')"
 _SPLIT = f"case when {SHA_RESIDUE} = 0 then 'heldout' else 'train' end as split"
@@ -129,6 +148,7 @@ b as (select *, coalesce(sum(n_words) over (partition by lang, split order by id
     "text_page_files": "with t as (select rtrim(text, chr(10)) as c from benchmark) select sha256(c) as sha256, length(c)::bigint as chars from t",
     "html_page_files": f"select sha256(html || chr(10)) as html_sha256, sha256({HTML_ALL}) as text_sha256 from pages",
     "ledger_files": f"with {ledger_queries._FULL} select id, stage, spread, case when held then 4 else 0 end::bigint as n_heldout, 4::bigint as n_langs, n_chars::bigint as tokens from l",
+    "committed_runs": f"with {ledger_queries._FULL} select stage, count(*) as n, count(*) as n_ids, count(distinct id) as n_runs, 1::bigint as first, count(*) as last from l group by stage",
     "tokenizer_file": f"""{base._RECURSIVE} select rank, "left", "right", true as same from m""",
     "configured_weights": "select lang || '.x' as lang, source, count(*) * 125000 as micro from documents group by 1, 2",
     "changed_revisions": f"select 'Item ' || item_id as page, item_id * 7 + 1 as revid, item_id * 7 + 2 as live_revid, false as same_as_pinned, sha256({sql_clean('text')}) as clean_text_sha256 from benchmark where item_id % 3 = 0",
