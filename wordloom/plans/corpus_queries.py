@@ -58,6 +58,12 @@ def weighted_word_counts(spark, sf_dir):
     return _weighted(spark, sf_dir).select("word", F.col("mass").cast("long").alias("mass"))
 
 
+def positive_weights(spark, sf_dir):
+    """Words by weights of which one is zero, one negative and one missing: the languages that are left."""
+    given = spark.createDataFrame([("de", 0), ("en", 3), ("es", -1)], "lang string, micro long")
+    return corpus.weighted_counts(_counts(spark, sf_dir), given, on=("lang",)).select("word", F.col("mass").cast("long").alias("mass"))
+
+
 def rounded_word_counts(spark, sf_dir):
     return corpus.rounded_counts(_weighted(spark, sf_dir))
 
@@ -180,7 +186,7 @@ def bpe_merges_full(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (pretoken_counts_topk, pretoken_punct_counts, punct_floor_per_lang, weighted_word_counts, rounded_word_counts, char_frequency, alphabet_filter, base_vocabulary_ids, adjacent_pair_counts, top_pairs_per_lang, bpe_merges_first_n, bpe_merges_relational, bpe_vocabulary, vocab_lineage, vocab_script_facets, vocab_page, bpe_encode_fertility, fertility_spread_score, unk_counts, roundtrip_check, heldout_vs_train_fertility, flat_token_ids, bpe_merges_full)
+    for f in (pretoken_counts_topk, pretoken_punct_counts, punct_floor_per_lang, weighted_word_counts, positive_weights, rounded_word_counts, char_frequency, alphabet_filter, base_vocabulary_ids, adjacent_pair_counts, top_pairs_per_lang, bpe_merges_first_n, bpe_merges_relational, bpe_vocabulary, vocab_lineage, vocab_script_facets, vocab_page, bpe_encode_fertility, fertility_spread_score, unk_counts, roundtrip_check, heldout_vs_train_fertility, flat_token_ids, bpe_merges_full)
 }
 
 _WORDS = f"w as materialized (select lang, word, count(*)::bigint as n from (select lang, unnest({sql_pretokens('text')}) as word from documents) group by 1, 2)"
@@ -230,6 +236,7 @@ ORACLES = {
     "pretoken_punct_counts": f"with {_WORDS} select lang, sum(n * {_PIECES})::bigint as n_pieces from w group by lang",
     "punct_floor_per_lang": f"with {_WORDS}, p as (select lang, sum(n * {_PIECES})::bigint as k from w group by lang), h as (select lang, sum({sql_words('text')})::bigint as words from documents group by lang) select lang, k::double / words::double as floor from p join h using (lang)",
     "weighted_word_counts": f"with {_WORDS}, {_MASS} select word, mass::bigint as mass from x",
+    "positive_weights": f"with {_WORDS} select word, (3 * n)::bigint as mass from w where lang = 'en'",
     "rounded_word_counts": f"with {_WORDS}, {_MASS}, y as (select word, floor(mass::double * (6000000::double / sum(mass) over ()::double) + ('0x' || substr(md5(word), 1, 8))::bigint / 4294967296::double)::bigint as k from x) select word, k from y",
     "char_frequency": f"with {_WORDS}, {_MASS}, c as (select unnest(string_split(word, '')) as char, mass from x) select char, sum(mass)::bigint as mass from c group by char",
     "alphabet_filter": f"with {_WORDS}, c as (select unnest(string_split(word, '')) as ch, n from w), bw as (select distinct unnest({sql_pretokens('text')}) as word from benchmark), b as (select distinct unnest(string_split(word, '')) as ch from bw), k as (select ch from c group by ch having sum(n) >= {FEW} union select ch from b), x as (select distinct word from (select word, unnest(string_split(word, '')) as ch from w) where ch not in (select ch from k)) select lang, count(*) as n_words, sum(n)::bigint as n from w where word not in (select word from x) group by lang",

@@ -117,6 +117,32 @@ def tokenizer_file(spark, sf_dir):
     return back.select(F.col("rank").cast("int").alias("rank"), "left", "right", F.lit(same).alias("same"))
 
 
+#: What a tokenizer file may say, by name: normalizer, pre-tokenizer, post-processor and the rest of its model.
+HEADS = (
+    ("as written", '{"type":"NFC"}', '{"type":"Metaspace"}', "null", '"type":"BPE"'),
+    ("other forms", '{"type":"Sequence","normalizers":[{"type":"NFKC"},{"type":"Strip"}]}', '{"type":"Sequence","pretokenizers":[{"type":"Split"}]}', "null", '"type":"BPE"'),
+    ("lower case", '{"type":"Lowercase"}', '{"type":"Metaspace"}', "null", '"type":"BPE"'),
+    ("by bytes", '{"type":"NFC"}', '{"type":"Sequence","pretokenizers":[{"type":"Metaspace"},{"type":"ByteLevel"}]}', "null", '"type":"BPE"'),
+    ("with a template", "null", "null", '{"type":"TemplateProcessing"}', '"type":"BPE"'),
+    ("no merges", "null", "null", "null", '"type":"BPE","ignore_merges":true'),
+    ("pieces", "null", "null", "null", '"type":"WordPiece"'),
+)
+
+
+def refused_tokenizers(spark, sf_dir):
+    """Tokenizer files that ask for what the engine does not do, with the reasons, and how many tokens the others have."""
+    base_path, made = scratch(spark, "heads"), []
+    vocab = base._vocabulary(spark, sf_dir).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", F.col("id").cast("int")))))).alias("v"))  # a vocabulary
+    for k, (name, normal, pre, post, model) in enumerate(HEADS):
+        head = f'{{"normalizer":{normal},"pre_tokenizer":{pre},"post_processor":{post},"decoder":null,"model":{{{model},"merges":[],"vocab":'
+        vocab.select(F.concat(F.lit(head), "v", F.lit("}}")).alias("value")).write.text(f"{base_path}{k}")
+        try:
+            made.append((name, "", readers.tokenizer_tables(spark, f"{base_path}{k}")[0].count()))
+        except ValueError as e:
+            made.append((name, str(e), None))
+    return spark.createDataFrame(made, "name string, refused string, n_tokens long")
+
+
 def configured_weights(spark, sf_dir):
     """Weights by language and source from a configuration file; names may have dots."""
     path = scratch(spark, "config")
@@ -136,7 +162,7 @@ def changed_revisions(spark, sf_dir):
     return met.where("not same_as_pinned")
 
 
-QUERIES = {f.__name__: f for f in (documents_file, split_streams, raw_page_files, text_page_files, html_page_files, ledger_files, committed_runs, tokenizer_file, configured_weights, changed_revisions)}
+QUERIES = {f.__name__: f for f in (documents_file, split_streams, raw_page_files, text_page_files, html_page_files, ledger_files, committed_runs, tokenizer_file, refused_tokenizers, configured_weights, changed_revisions)}
 
 _ID = "lpad(doc_id::varchar, 12, '0')"
 _SPLIT = f"case when {SHA_RESIDUE} = 0 then 'heldout' else 'train' end as split"
@@ -150,6 +176,7 @@ b as (select *, coalesce(sum(n_words) over (partition by lang, split order by id
     "ledger_files": f"with {ledger_queries._FULL} select id, stage, spread, case when held then 4 else 0 end::bigint as n_heldout, 4::bigint as n_langs, n_chars::bigint as tokens from l",
     "committed_runs": f"with {ledger_queries._FULL} select stage, count(*) as n, count(*) as n_ids, count(distinct id) as n_runs, 1::bigint as first, count(*) as last from l group by stage",
     "tokenizer_file": f"""{base._RECURSIVE} select rank, "left", "right", true as same from m""",
+    "refused_tokenizers": f"""{base._RECURSIVE}, {base._BASE} select name, refused, case when refused = '' then (select count(*) from v) end as n_tokens from (values ('as written', ''), ('other forms', ''), ('lower case', 'normalizer Lowercase'), ('by bytes', 'pre-tokenizer ByteLevel'), ('with a template', 'a post-processor'), ('no merges', 'ignored merges'), ('pieces', 'model WordPiece')) as x(name, refused)""",
     "configured_weights": "select lang || '.x' as lang, source, count(*) * 125000 as micro from documents group by 1, 2",
     "changed_revisions": f"select 'Item ' || item_id as page, item_id * 7 + 1 as revid, item_id * 7 + 2 as live_revid, false as same_as_pinned, sha256({sql_clean('text')}) as clean_text_sha256 from benchmark where item_id % 3 = 0",
 }

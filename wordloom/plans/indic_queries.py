@@ -120,6 +120,13 @@ def indic_vocabulary(spark, sf_dir):
     return bpe.vocabulary(corpus.base_vocabulary(_words(spark, sf_dir).select("word")), _learned(spark, sf_dir, glued), fixed=_fixed(spark, glued)).select("id", "token", "kind")
 
 
+def indic_token_kinds(spark, sf_dir):
+    """The kind of each token by the section of its number alone."""
+    rows = checkpointed(indic_vocabulary(spark, sf_dir))
+    size = {r.kind: r.n for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    return rows.select("token", script.token_kind(F.col("id"), size["special"], size["char"], size["akshara"]).alias("kind"))
+
+
 def indic_cuts(spark, sf_dir):
     """What merges that know no syllables break, by language."""
     plain = [(r["left"], r["right"]) for r in merges.learn_merges_partitioned(_words(spark, sf_dir).select("word", F.col("mass").cast("long").alias("n")), LEARNED).orderBy("rank").collect()]
@@ -132,7 +139,7 @@ def unicode_word_counts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.count_words(blank).cast("long").alias("python"), text.count_words(blank, text.WHITE_SPACE).cast("long").alias("unicode"))
 
 
-QUERIES = {f.__name__: f for f in (indic_aksharas, indic_chosen_aksharas, indic_mapped_words, indic_runs, indic_fixed_merges, indic_merges, indic_vocabulary, indic_cuts, unicode_word_counts)}
+QUERIES = {f.__name__: f for f in (indic_aksharas, indic_chosen_aksharas, indic_mapped_words, indic_runs, indic_fixed_merges, indic_merges, indic_vocabulary, indic_token_kinds, indic_cuts, unicode_word_counts)}
 
 _TR = f"translate(text, '{LATIN}', case when lang in {SOUTHERN} then '{TELUGU}' else '{DEVANAGARI}' end)"
 _W = f"w as materialized (select lang, word, count(*)::bigint as n from (select lang, unnest({sql_pretokens('tr')}) as word from (select lang, {_TR} as tr from documents)) group by 1, 2)"
@@ -191,3 +198,4 @@ h as (select lang, sum({sql_words('tr')})::bigint as words from (select lang, {_
 select lang, sum(n * t)::bigint as tokens, any_value(words) as words, sum(n * v)::bigint as violations from w join b using (word) join h using (lang) group by lang""",
     "unicode_word_counts": f"with t as (select doc_id, translate(text, 'aeiou', '{BLANKS}') as b from documents) select doc_id, len(regexp_extract_all(b, '[^{WS29}]+'))::bigint as python, len(regexp_extract_all(b, '[^{WS25}]+'))::bigint as unicode from t",
 }
+ORACLES["indic_token_kinds"] = f"select token, kind from ({ORACLES['indic_vocabulary']})"

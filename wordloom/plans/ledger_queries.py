@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import count_words
@@ -121,6 +121,19 @@ def ledger_tradeoff(spark, sf_dir):
     return ledger.tradeoff(full_ledger(spark, sf_dir), "D-sweep")
 
 
+def ledger_tradeoff_places(spark, sf_dir):
+    """Sweep points in the order in which the trade-off lists them."""
+    rows = ledger.tradeoff(full_ledger(spark, sf_dir), "D-sweep")
+    return rows.select("id", F.row_number().over(Window.orderBy("weight", "id")).cast("long").alias("place"))  # a sweep's points
+
+
+def ledger_markdown(spark, sf_dir):
+    """A report of the stages as a Markdown table, a line a row; no score where there is no spread."""
+    rows = full_ledger(spark, sf_dir).groupBy("stage").agg(F.count("*").alias("n"), F.max(F.when(F.col("stage") != "D-sweep", F.col("result.spread"))).alias("spread")).orderBy("stage")
+    lines = ledger.markdown(rows, [("stage", "Stage", None), ("n", "Runs", "%,d"), ("spread", "Spread", "%.3f")]).splitlines()
+    return spark.createDataFrame(list(enumerate(lines)), "at long, line string")
+
+
 def ledger_first_within(spark, sf_dir):
     """The first sweep point whose own fertility is small enough."""
     points = full_ledger(spark, sf_dir).where("result.eval['en'].fertility > 0")
@@ -169,7 +182,7 @@ def ledger_by_language(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (ledger_best_per_stage, ledger_best_with_heldout, ledger_trace_best_so_far, ledger_elasticity, ledger_failure_streaks, ledger_next_ids, ledger_by_language)
-    + (ledger_stage_rows, ledger_fourth_languages, ledger_ablations, ledger_tradeoff, ledger_first_within, ledger_last_noted, ledger_heldout_totals, ledger_languages_by_weight, ledger_run_lines)
+    + (ledger_stage_rows, ledger_fourth_languages, ledger_ablations, ledger_tradeoff, ledger_tradeoff_places, ledger_markdown, ledger_first_within, ledger_last_noted, ledger_heldout_totals, ledger_languages_by_weight, ledger_run_lines)
 }
 
 _BEST = "b as (select * from r qualify row_number() over (partition by stage order by spread, seq) = 1)"
@@ -198,6 +211,9 @@ select stage, seq, improved, fails, round(greatest(0.0002::double, 0.01::double
     "ledger_stage_rows": f"with {_FULL}, {_HELD} select stage, fourth, level, max, spread, heldout, case when same then lmean end as heldout_mean, akv_eval::int as akv_eval, akv_heldout::int as akv_heldout, chars::int as chars, stage1::int as stage1, learned::int as learned, runs, best_id from s",
     "ledger_fourth_languages": f"with {_FULL}, p as (select 'x' || lang as fourth, upper(lang) as name, sum({sql_words('text')})::bigint as words from documents group by 1, 2), q as (select fourth, name, case when words >= (select avg(words) from p) then 2000 else 1999 end as words from p) select stage, fourth, name, words, words >= 2000 as eligible, level, id as best_id from b join q using (fourth) where starts_with(stage, 'B-')",
     "ledger_ablations": f"with {_FULL}, n as (select * from (values {', '.join(map(str, NAMES))}) as v(stage, name, note)) select stage, name, case when spread > 0.01 and not contains(n.note, 'could not') then case when n.note <> '' then n.note || '; ' else '' end || printf('best spread only %.3f', spread) else n.note end as note, list_max(fs) as level, stage = 'C-src1' as chosen, (select count(*) from l as c where c.stage = b.stage) as runs from b join n using (stage)",
+    "ledger_tradeoff_places": f"with {_FULL} select id, row_number() over (order by round(try_cast(regexp_extract(note, 'x([^x]*)$', 1) as double), 3) nulls first, id) as place from l where stage = 'D-sweep'",
+    "ledger_markdown": f"""with {_FULL}, g as (select stage, count(*) as n, max(spread) filter (stage <> 'D-sweep') as spread from l group by stage)
+select 0::bigint as at, '| Stage | Runs | Spread |' as line union all select 1, '|---|---|---|' union all select row_number() over (order by stage) + 1, '| ' || stage || ' | ' || format('{{:,}}', n) || ' | ' || coalesce(printf('%.3f', spread), '—') || ' |' from g""",
     "ledger_tradeoff": f"with {_FULL} select round(try_cast(regexp_extract(note, 'x([^x]*)$', 1) as double), 3) as weight, fs[1] as own, greatest(fs[2], fs[3], fs[4]) as worst_other, case when fs[2] >= fs[3] and fs[2] >= fs[4] then 'fr' when fs[3] >= fs[4] then 'de' else fourth end as worst_lang, spread, 1000.0::double / spread as score, id from l where stage = 'D-sweep'",
     "ledger_first_within": f"with {_FULL}, d as (select * from l where stage = 'D-sweep') select min(round(try_cast(regexp_extract(note, 'x([^x]*)$', 1) as double), 3)) as weight, count(*) as n_within from d where fs[1] <= (select avg(fs[1]) from d)",
     "ledger_last_noted": f"with {_FULL} select stage, max_by(id, seq) as id, max(seq) as seq from l where held group by stage",

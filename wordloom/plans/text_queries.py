@@ -50,6 +50,17 @@ def clean_text_hash(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.sha2(text.clean_text(F.col("text")), 256).alias("sha256"))
 
 
+#: Letters and digits and the same in full width, which compatibility forms undo.
+NARROW = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in NARROW)
+
+
+def compatible_text_hash(spark, sf_dir):
+    """Texts written in full width, in the normal form that undoes it and in the one that keeps it."""
+    wide = docs(spark, sf_dir).select("doc_id", F.translate("text", NARROW, WIDE).alias("t"))
+    return wide.select("doc_id", F.sha2(text.normalized(F.col("t"), "NFKC"), 256).alias("nfkc"), F.sha2(text.normalized(F.col("t"), "NFC"), 256).alias("nfc"))
+
+
 def hash_split_counts(spark, sf_dir):
     title = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
     rows = docs(spark, sf_dir).select("lang", text.split_name(title).alias("split"), text.count_words(F.col("text")).alias("w"))
@@ -159,7 +170,7 @@ def arrivals_per_window(spark, sf_dir):
     return fertility(running_counts(rows, window="1 hour")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "lang", "n_docs", "n_words", "n_chars", "fertility")
 
 
-QUERIES = {f.__name__: f for f in (words_per_lang, chars_words_lines_per_doc, clean_text_hash, hash_split_counts, min_words_filter, title_exclusion, word_budget_prefix, first_sentence, script_of_words, page_links, html_all_text, html_prose_text, html_word_counts, extraction_sensitivity, scalar_functions, quality_join, arrivals_per_window)}
+QUERIES = {f.__name__: f for f in (words_per_lang, chars_words_lines_per_doc, clean_text_hash, compatible_text_hash, hash_split_counts, min_words_filter, title_exclusion, word_budget_prefix, first_sentence, script_of_words, page_links, html_all_text, html_prose_text, html_word_counts, extraction_sensitivity, scalar_functions, quality_join, arrivals_per_window)}
 
 _ENTITIES = "html2"
 _HTML = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g')"
@@ -168,6 +179,32 @@ for _name, _char in html.ENTITIES:
 HTML_ALL = sql_clean(_HTML)
 
 
+def _sql_prose() -> str:
+    """A fold over tags and texts: the open elements with whether they are left out and which prose they own (0: none), and
+    the prose so far."""
+    tokens = r"""regexp_extract_all(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<![^>]*>|</?[a-z][^>]*>|[^<]+|<')"""
+    plain = "x"
+    for name, char in html.ENTITIES:
+        plain = f"replace({plain}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    void = ", ".join(f"'{t}'" for t in sorted(html._VOID))
+    parts = rf"""list_transform({tokens}, lambda x: {{'kind': case when regexp_matches(x, '(?i)^(<script|<style|<!)') then 'none' when starts_with(x, '</') then 'close'
+    when not regexp_matches(x, '(?i)^<[a-z]') then 'text' when lower(regexp_extract(x, '^<([A-Za-z][^\s/>]*)', 1)) in ({void}) then 'none' else 'open' end,
+    'name': lower(regexp_extract(x, '^</?([A-Za-z][^\s/>]*)', 1)), 'classes': string_split_regex(regexp_extract(x, '(?i)\sclass\s*=\s*["'']([^"'']*)["'']', 1), '\s+'), 'x': {plain}}})"""
+    out = " or ".join("(" + " and ".join([*([f"t.name = '{tag}'"] if tag else []), *([f"list_contains(t.classes, '{cls}')"] if cls else [])]) + ")" for tag, cls in html.DROPPED)
+    left_out = f"(coalesce(s.drops[-1], false) or {out})"
+    owner = f"(t.name in {html.PROSE_TAGS} and not {left_out} and (t.name = 'li' or not list_contains(s.tags, 'li')))"
+    kept = "len(s.tags) - coalesce(list_position(list_reverse(s.tags), t.name), 0)"
+
+    def lists(field: str, new: str) -> str:
+        return f"case t.kind when 'open' then list_append(s.{field}, {new}) when 'close' then case when list_contains(s.tags, t.name) then s.{field}[1:{kept}] else s.{field} end else s.{field} end"
+
+    prose = f"""case when t.kind = 'open' and {owner} then list_append(s.prose, '') when t.kind = 'text' and not coalesce(s.drops[-1], false) then list_transform(s.prose, lambda p, i: case when list_contains(s.owns, i) then p || t.x else p end) else s.prose end"""
+    step = f"{{'tags': {lists('tags', 't.name')}, 'drops': {lists('drops', left_out)}, 'owns': {lists('owns', f'case when {owner} then len(s.prose) + 1 else 0 end')}, 'prose': {prose}}}"
+    first = "{'tags': []::varchar[], 'drops': []::boolean[], 'owns': []::bigint[], 'prose': []::varchar[]}"
+    folded = f"list_reduce({parts}, lambda s, t: {step}, {first})"
+    return f"select page_id, {sql_clean('prose')} as prose from (select page_id, array_to_string(({folded}).prose, chr(10)) as prose from pages)"
+
+
 def _stripped(col: str) -> str:
     out = f"regexp_replace({col}, '<[^>]*>', '', 'g')"
     for name, char in html.ENTITIES:
@@ -187,6 +224,7 @@ ORACLES = {
     "words_per_lang": f"select lang, count(*) as n_docs, sum({sql_words('text')})::bigint as n_words from documents group by lang",
     "chars_words_lines_per_doc": f"with t as (select doc_id, {sql_clean('text')} as t from documents) select doc_id, length(t)::bigint as chars, {sql_words('t')}::bigint as words, len(string_split(t, chr(10)))::bigint as lines from t",
     "clean_text_hash": f"select doc_id, sha256({sql_clean('text')}) as sha256 from documents",
+    "compatible_text_hash": f"select doc_id, sha256({sql_norm('text')}) as nfkc, sha256({sql_norm(f"translate(text, '{NARROW}', '{WIDE}')")}) as nfc from documents",
     "hash_split_counts": f"with t as (select lang, sha1(source || '/' || doc_id) as h, {sql_words('text')} as w from documents) select lang, case when {SHA_RESIDUE} = 0 then 'heldout' else 'train' end as split, count(*) as n_docs, sum(w)::bigint as n_words from t group by 1, 2",
     "min_words_filter": f"select source, count(*) as n_docs from documents where {sql_words('text')} >= 20 group by source",
     "title_exclusion": "select lang, count(*) as n_docs from documents where string_split(text, chr(10))[1] not in (select string_split(text, chr(10))[1] from benchmark) group by lang",
@@ -195,6 +233,7 @@ ORACLES = {
     "script_of_words": f"with t as (select lang, unnest({sql_pretokens('text')}) as word from documents), c as (select lang, word, count(*) as n from t group by 1, 2) select lang, {_SCRIPT} as script, count(*) as n_words, sum(n)::bigint as n from c group by 1, 2",
     "page_links": r"""with t as (select page_id, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref=["'']([^"'']*)["'']', 1)[1:5000] as l from pages) select page_id, unnest(range(len(l)))::bigint as place, unnest(l) as target from t""",
     "html_all_text": f"select page_id, sha256({HTML_ALL}) as sha256 from pages",
+    "html_prose_text": _sql_prose(),
     "html_word_counts": f"with t as (select page_id, {HTML_ALL} as t from pages) select page_id, length(t)::bigint as chars, {sql_words('t')}::bigint as words from t",
     "scalar_functions": r"""with t as (select item_id, text as t from benchmark), w as (select *, string_split(t, ' ')[1:3] as w from t)
 select item_id, replace(replace(url_encode(replace(t, ' ', '_')), '+', '%20'), '~', '%7E') as url, replace(replace(replace(replace('<a href="x">&' || t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped,

@@ -102,6 +102,13 @@ def configuration_grid(spark, sf_dir):
     return made.select("stage", F.col("result.eval")["en"]["tokens"].alias("tokens"), F.col("result.vocab_size").alias("vocab_size"), "checks.no_unk_on_eval", "checks.roundtrip_eval")
 
 
+def made_weights(spark, sf_dir):
+    """Weights by language and source from multipliers, with both sources and with one."""
+    counts = {r.lang: r.n / 8 for r in docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = [(name, key, w) for name, both in (("both", (3.0, 0.5)), ("eval", (1.0, 0.0))) for key, w in search.make_weights(counts, *both).items()]
+    return spark.createDataFrame(rows, "name string, key string, weight double")
+
+
 def weight_sweep(spark, sf_dir):
     return search.sweep(base._counts(spark, sf_dir), list(SWEEP), "en", SWEEP_MERGES)
 
@@ -118,7 +125,7 @@ def balanced_weights(spark, sf_dir):
     return spark.createDataFrame(rows, "trial int, lang string, weight double, fertility double, objective double, improved boolean")
 
 
-QUERIES = {f.__name__: f for f in (trained_tokenizer, tokenizer_10k, documents_10k, fertility_10k, heldout_fertility_10k, rounded_training, recorded_run, configuration_grid, weight_sweep, climbing_chains, balanced_weights)}
+QUERIES = {f.__name__: f for f in (trained_tokenizer, tokenizer_10k, documents_10k, fertility_10k, heldout_fertility_10k, rounded_training, recorded_run, configuration_grid, made_weights, weight_sweep, climbing_chains, balanced_weights)}
 
 _KEPT = f"""k as (select ch from (select unnest(string_split(word, '')) as ch, mass from x) group by ch having sum(mass) >= {base.FEW * corpus.MICRO} union select distinct ch from (select unnest(string_split(word, '')) as ch from (select unnest({sql_pretokens('text')}) as word from benchmark))),
 bad as (select distinct word from (select word, unnest(string_split(word, '')) as ch from x) where ch not in (select ch from k)),
@@ -155,6 +162,7 @@ f as (select word, len(s) as t, len(list_filter(s, lambda x: x = '<unk>')) as u
 p as (select sum(t)::bigint as tokens, sum(u)::bigint as unk from bw join f using (word))
 select 'A-test-001' as id, 'A-test' as stage, (select count(*) from c) as chars, (select count(*) from m2) as learned, (select count(*) from v) as vocab_size, tokens, (select sum({sql_words('text')})::bigint from benchmark) as words, unk, 0.0::double as spread,
   (select count(*) from v) = 10000 as vocab_is_10000, unk = 0 as no_unk_on_eval, unk = 0 as roundtrip_eval from p""",
+    "made_weights": "with l as (select lang, count(*) / 8.0 as n from documents group by lang) select name, lang || s as key, (n * w)::double as weight from l, (values ('both', '.eval', 3.0), ('both', '.train', 0.5), ('eval', '.eval', 1.0)) as v(name, s, w)",
     "weight_sweep": f"""with recursive {base._WORDS}, {_CROSS}, z as (select weight, word, len(s) as k from t where step = {SWEEP_MERGES})
 select weight::double as weight, lang, sum(n * k)::double / sum(n)::double as fertility from w join z using (word) group by 1, 2""",
 }
