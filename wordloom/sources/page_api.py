@@ -5,6 +5,8 @@ to one language follow each other in one partition, as the service asks its clie
 
     spark.dataSource.register(PageApi)
     spark.read.format("page_api").options(endpoint="https://{lang}.example.org/api.php", kind="extract", items='[["en", "India"]]').load()
+
+readStream takes links, a batch per answer, and goes on where a stopped query's checkpoint says.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from itertools import islice
+from typing import NamedTuple
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 #: Parameters of the API, by what is asked for.
 COMMON = {"format": "json", "formatversion": "2", "maxlag": "5"}
@@ -29,46 +32,71 @@ PARAMETERS = {
     "random": {"action": "query", "list": "random", "rnnamespace": "0", "rnlimit": "max"},
 }
 KINDS = {
-    "extract": "lang string, title string, pageid bigint, revid bigint, rev_timestamp string, url string, text string",
+    "extract": "pageid bigint, lang string, title string, text string, revid bigint, rev_timestamp string, url string",
     "html": "lang string, revid bigint, html string",
     "links": "lang string, page string, place bigint, target string",
     "random": "lang string, place bigint, title string",
 }
 
 
+class Outcome(NamedTuple):
+    """What came of a request: an answer, a service that is behind, one that says how long to wait, or a failure."""
+
+    kind: str
+    answer: dict | None = None
+    told: float = 0.0
+
+
+@dataclass(frozen=True)
+class Waits:
+    """Seconds between requests, for a service that is behind, for one that is busy and does not say how long, on
+    top of what it says, and per failed attempt."""
+
+    interval: float = 1.0
+    behind: float = 5.0
+    unsaid: float = 30.0
+    spare: float = 1.0
+    backoff: float = 2.0
+
+    def after(self, outcome: Outcome, attempt: int) -> float:
+        """Seconds after the attempt of that number, from 1."""
+        return {"behind": self.behind, "busy": (outcome.told or self.unsaid) + self.spare, "failed": self.backoff * attempt}.get(outcome.kind, 0.0)
+
+
 @dataclass
 class Client:
-    """One service. A request waits until `interval` seconds after the last; a busy service (429, or too far behind) is waited
-    for as long as it says, any other failure ever longer; RuntimeError after `retries` attempts."""
+    """One service, asked once in waits.interval seconds at most; RuntimeError after `retries` attempts without an answer."""
 
     url: str
-    interval: float = 1.0
     retries: int = 8
-    behind: float = 5.0
-    backoff: float = 2.0
+    waits: Waits = field(default_factory=Waits)
     sleep: Callable[[float], None] = time.sleep
     ready: float = field(default=0.0)
 
-    def _once(self, parameters: dict[str, str]) -> tuple[dict | None, float | None]:
-        """(answer, None), or (None, seconds to wait; None for a failure)."""
+    def request(self, parameters: dict[str, str]) -> Outcome:
         try:
             with urllib.request.urlopen(f"{self.url}?{urllib.parse.urlencode(COMMON | parameters)}", timeout=60) as response:
                 answer = json.load(response)
         except urllib.error.HTTPError as e:
-            return None, float(e.headers.get("Retry-After") or 30) + 1 if e.code == 429 else None
+            return Outcome("busy", told=float(e.headers.get("Retry-After") or 0)) if e.code == 429 else Outcome("failed")
         except (urllib.error.URLError, OSError, ValueError):
-            return None, None
-        return (None, self.behind) if answer.get("error", {}).get("code") == "maxlag" else (answer, None)
+            return Outcome("failed")
+        return Outcome("behind") if answer.get("error", {}).get("code") == "maxlag" else Outcome("answered", answer)
 
     def ask(self, parameters: dict[str, str]) -> dict:
-        for attempt in range(1, self.retries + 1):
-            self.sleep(max(0.0, self.ready - time.monotonic()))
-            self.ready = time.monotonic() + self.interval
-            answer, wait = self._once(parameters)
-            if answer is not None:
-                return answer
-            self.sleep(self.backoff * attempt if wait is None else wait)
-        raise RuntimeError(f"{self.url} does not answer {parameters}")
+        outcomes = (self._in_turn(parameters, attempt) for attempt in range(1, self.retries + 1))
+        found = next((o.answer for o in outcomes if o.kind == "answered"), None)
+        if found is None:
+            raise RuntimeError(f"{self.url} does not answer {parameters}")
+        return found
+
+    def _in_turn(self, parameters: dict[str, str], attempt: int) -> Outcome:
+        self.sleep(max(0.0, self.ready - time.monotonic()))
+        self.ready = time.monotonic() + self.waits.interval
+        outcome = self.request(parameters)
+        if pause := self.waits.after(outcome, attempt):
+            self.sleep(pause)
+        return outcome
 
     def pages(self, parameters: dict[str, str]) -> Iterator[dict]:
         """Answers, as long as one names where the next goes on."""
@@ -81,10 +109,9 @@ class Client:
 
 def extract(client: Client, lang: str, title: str, limit: int) -> Iterator[tuple]:
     """The current revision's plain text; nothing for a page that is missing."""
-    page = client.ask(PARAMETERS["extract"] | {"titles": title})["query"]["pages"][0]
-    if not page.get("missing"):
-        revision = page["revisions"][0]
-        yield lang, page["title"], page["pageid"], revision["revid"], revision["timestamp"], page.get("fullurl"), page.get("extract", "")
+    for page in client.ask(PARAMETERS["extract"] | {"titles": title})["query"]["pages"][:1]:
+        for revision in page.get("revisions", [])[:1]:
+            yield page["pageid"], lang, page["title"], page.get("extract", ""), revision["revid"], revision["timestamp"], page.get("fullurl")
 
 
 def rendered(client: Client, lang: str, revid: str, limit: int) -> Iterator[tuple]:
@@ -115,6 +142,11 @@ class Language(InputPartition):
     items: list[str]
 
 
+def _client(options: dict[str, str], lang: str) -> Client:
+    waits = {f.name: float(options[f.name]) for f in fields(Waits) if f.name in options}
+    return Client(options["endpoint"].replace("{lang}", lang), int(options.get("retries", 8)), Waits(**waits))
+
+
 class PageApi(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -126,6 +158,11 @@ class PageApi(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return PageReader(dict(self.options))
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+        if self.options["kind"] != "links":
+            raise ValueError("only links go on from answer to answer")
+        return LinkStream(dict(self.options))
+
 
 class PageReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
@@ -138,7 +175,39 @@ class PageReader(DataSourceReader):
         return [Language(lang, items) for lang, items in by_lang.items()]
 
     def read(self, partition: Language) -> Iterator[tuple]:
-        o = self.options
-        client = Client(o["endpoint"].replace("{lang}", partition.lang), float(o.get("interval", 1.0)), int(o.get("retries", 8)), float(o.get("behind", 5.0)), float(o.get("backoff", 2.0)))
+        client = _client(self.options, partition.lang)
         for what in partition.items:
-            yield from _READ[o["kind"]](client, partition.lang, what, int(o.get("limit", 5000)))
+            yield from _READ[self.options["kind"]](client, partition.lang, what, int(self.options.get("limit", 5000)))
+
+
+class LinkStream(SimpleDataSourceStreamReader):
+    """The links of pages, an answer of each page a batch. An offset says for every page how many links came before and how its
+    next request goes on (nothing once it has ended), so that a query that was stopped asks for what it has not had, and a batch
+    that is worked out again has the same links."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options, self.limit = options, int(options.get("limit", 5000))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"pages": [[lang, str(title), 0, {}] for lang, title in json.loads(self.options["items"])]}
+
+    def _answer(self, lang: str, title: str, at: int, more: dict) -> tuple[list[tuple], dict | None]:
+        answer = _client(self.options, lang).ask(PARAMETERS["links"] | {"titles": title} | more)
+        found = [x["title"] for page in answer["query"]["pages"] for x in page.get("links", [])][: self.limit - at]
+        ended = at + len(found) >= self.limit
+        return [(lang, title, at + k, x) for k, x in enumerate(found)], None if ended else answer.get("continue")
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, pages = [], []
+        for lang, title, at, more in start["pages"]:
+            found, then = ([], None) if more is None else self._answer(lang, title, at, more)
+            rows += found
+            pages.append([lang, title, at + len(found), then])
+        return iter(rows), {"pages": pages}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        for (lang, title, at, more), (_, _, stop, _) in zip(start["pages"], end["pages"], strict=True):
+            while at < stop and more is not None:
+                found, more = self._answer(lang, title, at, more)
+                yield from found[: stop - at]
+                at += len(found)
