@@ -47,6 +47,8 @@ def _akshara_pattern() -> str:
 
 
 AKSHARA = _akshara_pattern()
+#: What a unit of several characters holds at least one of.
+MARKED = r"[\p{M}\x{200C}\x{200D}]"
 GRAPHEME = r"\X"
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from wordloom.functions.text import META, byte_tokens
 from wordloom.session import checkpointed
@@ -367,8 +367,9 @@ def encoded_word(word: str, ranks: dict[tuple[str, str], int], alphabet: set[str
 KEPT_WORDS = 1 << 18
 
 
-def encoded(pieces: Column, merges: list[tuple[str, str]], alphabet: set[str] | None = None, byte_fallback: bool = False, cut=None) -> Column:
-    """array<array<string>>: the tokens of each word of pieces, array<string>, where it stands; see segment_words.
+def encoded(pieces: Column, merges: list[tuple[str, str]], alphabet: set[str] | None = None, byte_fallback: bool = False, cut=None, ids: dict[str, int] | None = None) -> Column:
+    """array<array<string>>: the tokens of each word of pieces, array<string>, where it stands; see segment_words. With ids, their
+    numbers instead, array<array<int>>.
 
     A worker cuts each different word of a batch once and keeps the last KEPT_WORDS; no word is shuffled, so a frequent one is
     no hot key. Null lists stay null, null words have no tokens.
@@ -376,12 +377,12 @@ def encoded(pieces: Column, merges: list[tuple[str, str]], alphabet: set[str] |
     ranks: dict[tuple[str, str], int] = {}
     for pair in merges:
         ranks.setdefault(tuple(pair), len(ranks))
-    shared = SparkSession.active().sparkContext.broadcast((ranks, alphabet, byte_fallback))
+    shared = SparkSession.active().sparkContext.broadcast((ranks, alphabet, byte_fallback, ids))
 
-    @F.arrow_udf(ArrayType(ArrayType(StringType())))
+    @F.arrow_udf(ArrayType(ArrayType(StringType() if ids is None else IntegerType())))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ranks, alphabet, bytes_ = shared.value
-        known: dict[str | None, list[str] | None] = {None: None}
+        ranks, alphabet, bytes_, ids = shared.value
+        known: dict[str | None, list | None] = {None: None}
         for lists in batches:
             words = lists.flatten().dictionary_encode()
             different = words.dictionary.to_pylist()
@@ -389,8 +390,9 @@ def encoded(pieces: Column, merges: list[tuple[str, str]], alphabet: set[str] |
                 known = {None: None}
             for w in different:
                 if w not in known:
-                    known[w] = encoded_word(w, ranks, alphabet, bytes_, cut or segmented)
-            tokens = pa.array([known[w] for w in different], pa.list_(pa.string())).take(words.indices)
+                    tokens = encoded_word(w, ranks, alphabet, bytes_, cut or segmented)
+                    known[w] = tokens if ids is None else [ids[t] for t in tokens]
+            tokens = pa.array([known[w] for w in different], pa.list_(pa.string() if ids is None else pa.int32())).take(words.indices)
             sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
             yield pa.ListArray.from_arrays(offsets, tokens, mask=lists.is_null())
@@ -402,8 +404,9 @@ def decoded(tokens: Column) -> Column:
     """Text of a token list: byte tokens become their characters, marks become spaces, one leading space goes."""
     byte = r"^<0x[0-9A-F]{2}>$"
     hexed = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(byte), F.substring(t, 4, 2)).otherwise(F.hex(F.encode(t, "UTF-8")))), "")
-    plain = F.replace(F.decode(F.unhex(hexed), "UTF-8"), F.lit(META), F.lit(" "))
-    return F.regexp_replace(plain, "^ ", "")
+    joined = F.array_join(tokens, "")
+    whole = F.when(F.contains(joined, F.lit("<0x")), F.decode(F.unhex(hexed), "UTF-8")).otherwise(joined)
+    return F.regexp_replace(F.replace(whole, F.lit(META), F.lit(" ")), "^ ", "")
 
 
 def flat_tokens(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:

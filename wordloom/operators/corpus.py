@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.script import aksharas
+from wordloom.functions.script import MARKED, aksharas
 from wordloom.functions.text import META, bare_pretokens, count_words, normalized, pretokens, punctuation_pieces, unit_hash
 from wordloom.operators.prefix import ranged, with_offsets
 from wordloom.session import checkpointed
@@ -58,7 +58,7 @@ def alphabet_filtered(words: DataFrame, alphabet: DataFrame) -> DataFrame:
 
 def akshara_masses(words: DataFrame, value: str = "mass") -> DataFrame:
     """(akshara, mass) of units of more than one character."""
-    units = words.select(F.explode(F.filter(aksharas(F.col("word")), lambda a: F.length(a) > 1)).alias("akshara"), value)
+    units = words.where(F.col("word").rlike(MARKED)).select(F.explode(F.filter(aksharas(F.col("word")), lambda a: F.length(a) > 1)).alias("akshara"), value)
     return units.groupBy("akshara").agg(F.sum(value).alias(value))
 
 

@@ -139,7 +139,9 @@ def learn_merges_partitioned(words: DataFrame, n_merges: int, least: int = 1, va
     """
     spark = words.sparkSession
     symbols = F.col("symbols") if "symbols" in words.columns else F.filter(F.split("word", ""), lambda c: c != "")
-    narrow = words.select(symbols.alias("s"), F.col(value).cast("long").alias("n")).where("n > 0 and size(s) > 0")
+    given, tasks = scratch(spark, "words"), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words.select(symbols.alias("s"), F.col(value).cast("long").alias("n")).where("n > 0 and size(s) > 0").repartition(tasks).write.parquet(given)
+    narrow = spark.read.parquet(given)
     names = sorted(r[0] for r in narrow.select(F.explode("s")).distinct().collect())  # an alphabet
     shared = spark.sparkContext.broadcast({name: i for i, name in enumerate(names)})
 
@@ -150,14 +152,13 @@ def learn_merges_partitioned(words: DataFrame, n_merges: int, least: int = 1, va
             number = np.array([shared.value[x] for x in coded.dictionary.to_pylist()] + [0], np.int64)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py(), pa.int32()), pa.array(number[coded.indices.to_numpy()], pa.int32())), batch.column(1)], ["s", "n"])
 
-    state, before, known, width = narrow.mapInArrow(numbered, "s array<int>, n long"), None, set(names), min(candidates, _FIRST)
+    state, before, known, width = narrow.mapInArrow(numbered, "s array<int>, n long"), given, set(names), min(candidates, _FIRST)
     made: list[tuple[str, str, int]] = []
     fresh: list[tuple[str, str]] = []
     while len(made) < n_merges:
-        path, given = scratch(spark, "merges"), spark.sparkContext.broadcast((list(names), list(fresh)))
-        state.mapInArrow(lambda batches, given=given: _merged(batches, *given.value), _STATE).write.parquet(path)
-        if before:
-            dropped(spark, before)
+        path, last = scratch(spark, "merges"), spark.sparkContext.broadcast((list(names), list(fresh)))
+        state.mapInArrow(lambda batches, last=last: _merged(batches, *last.value), _STATE).write.parquet(path)
+        dropped(spark, before)
         before, table = path, spark.read.parquet(path)
         for product in (left + right for left, right in fresh):
             if product not in known:
@@ -174,8 +175,7 @@ def learn_merges_partitioned(words: DataFrame, n_merges: int, least: int = 1, va
             rounds.append(len(fresh))
         if not fresh:
             break
-    if before:
-        dropped(spark, before)
+    dropped(spark, before)
     return spark.createDataFrame([(k, *m) for k, m in enumerate(made)], MERGES)
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.script import aksharas
+from wordloom.functions.script import MARKED, aksharas
 from wordloom.operators import bpe, corpus
 from wordloom.operators.merges import learn_merges_partitioned
 from wordloom.session import checkpointed
@@ -134,7 +134,7 @@ def train(texts: DataFrame, weights: DataFrame, config: Config, eval_texts: Data
 
 def mapped_words(words: DataFrame, glued: list[str]) -> DataFrame:
     """(word, runs, mass): each word with glued aksharas as one private-use character each and rare ones apart between blanks,
-    and its runs of symbols, which no merge reaches across."""
+    and its runs of symbols, which no merge reaches across. Words without marks have none of either."""
     shared = words.sparkSession.sparkContext.broadcast({a: chr(PRIVATE + i) for i, a in enumerate(glued)})
 
     @F.pandas_udf("struct<word:string,runs:array<array<string>>>")
@@ -153,4 +153,7 @@ def mapped_words(words: DataFrame, glued: list[str]) -> DataFrame:
             out.append((name, [r for r in [*runs, open_] if r]))
         return pd.DataFrame(out, columns=["word", "runs"])
 
-    return words.select(cut(aksharas(F.col("word"))).alias("m"), "mass").select("m.word", "m.runs", "mass")
+    marked = F.col("word").rlike(MARKED)
+    mapped = words.where(marked).select(cut(aksharas(F.col("word"))).alias("m"), "mass").select("m.word", "m.runs", "mass")
+    plain = F.array(F.filter(F.split("word", ""), lambda c: c != ""))
+    return mapped.unionByName(words.where(~marked).select("word", F.when(F.col("word") == "", F.array().cast("array<array<string>>")).otherwise(plain).alias("runs"), "mass"))

@@ -59,11 +59,12 @@ def _full_parts(spark, sf_dir):
 def documents_10k(spark, sf_dir):
     """Each document by the full tokenizer: tokens, unknown ones, a hash of its ids, and whether they decode to its text."""
     vocab, merges, alphabet = _full_parts(spark, sf_dir)
-    ids = F.broadcast(vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("ids")))  # one row, the vocabulary
+    ids = {r.token: r.id for r in vocab.collect()}
     norm = docs(spark, sf_dir).select("doc_id", text.normalized(F.coalesce("text", F.lit(""))).alias("norm"))
-    cut = norm.select("doc_id", "norm", F.flatten(bpe.encoded(text.pretokens(F.col("norm")), merges, alphabet)).alias("tokens")).crossJoin(ids)
-    named = F.array_join(F.transform("tokens", lambda t: F.element_at("ids", t).cast("string")), ",")
-    return cut.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.filter("tokens", lambda t: t == bpe.UNKNOWN)).alias("unk"), F.sha2(named, 256).alias("ids_sha256"), (bpe.decoded(F.col("tokens")) == F.col("norm")).alias("ok"))
+    words = text.pretokens(F.col("norm"))
+    cut = norm.select("doc_id", "norm", F.flatten(bpe.encoded(words, merges, alphabet)).alias("tokens"), F.flatten(bpe.encoded(words, merges, alphabet, ids=ids)).alias("ids"))
+    unknown = F.size(F.filter("ids", lambda i: i == ids[bpe.UNKNOWN]))
+    return cut.select("doc_id", F.size("ids").alias("n_tokens"), unknown.alias("unk"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), (bpe.decoded(F.col("tokens")) == F.col("norm")).alias("ok"))
 
 
 def fertility_10k(spark, sf_dir):
