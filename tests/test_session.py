@@ -36,12 +36,14 @@ def test_scratch_tables_can_be_dropped(spark):
     assert not os.path.exists(path.removeprefix("file:"))
 
 
-def test_kept_tables_are_built_once_per_key(spark):
-    calls = []
+def test_kept_tables_are_built_once_per_key_and_state(spark, tmp_path):
+    calls, inputs = [], [str(tmp_path)]
     build = lambda: calls.append(1) or spark.range(4).toDF("id")
-    assert [kept(spark, ("t", 1), build).count() for _ in range(3)] == [4, 4, 4] and len(calls) == 1
-    kept(spark, ("t", 2), build)
+    assert [kept(spark, ("t", 1), inputs, build).count() for _ in range(3)] == [4, 4, 4] and len(calls) == 1
+    kept(spark, ("t", 2), inputs, build)
     assert len(calls) == 2
+    (tmp_path / "more").write_text("x")
+    assert kept(spark, ("t", 1), inputs, build).count() == 4 and len(calls) == 3
 
 
 def test_slices_hold_every_row():
