@@ -11,16 +11,19 @@ from wordloom.session import table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents with the components that near-duplicates form; odd rows: simhash.simhash_components."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of documents before and after edits, from segment trees; odd rows: token_counts.edited_token_counts."""
     import public_tokenizers
 
     return token_counts.edited_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and verdicts of documents; odd rows: quality_rules.quality_rules."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
@@ -30,32 +33,39 @@ def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in documents that the forest confirms; odd rows: secrets.secret_scan."""
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector; odd rows: topk.exact_top_k."""
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents, of the base and discovered; odd rows: pii.personal_data."""
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 ids; odd rows: packing.best_fit_packing."""
     import public_tokenizers
 
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes; odd rows: mixing.mix."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of documents; odd rows: quality_model.quality_scores."""
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents; odd rows: langid.language_id."""
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
@@ -77,6 +87,7 @@ def op13_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline one after the other."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
