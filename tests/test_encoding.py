@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -98,3 +100,15 @@ def test_shared_tables_see_that_files_changed(spark, tmp_path):
     assert before.agg(F.sum("n")).first()[0] == 30  # made from the table before
     write(7)
     assert total() == 21
+
+
+def test_a_batch_of_many_different_words_is_cut_in_parts():
+    lists = pa.array([[f"w{i}x{j}" for j in range(7)] for i in range(50)] + [None, [], ["same", None]], pa.list_(pa.string()))
+    cut = lambda w: [w[:1], w[1:]]
+    parts = list(bpe.encoded_lists(iter([lists]), cut, kept=20, at_once=15))
+    assert max(len(x.flatten()) for x in parts) <= 15 and len(parts) > 20
+    want = [None if row is None else [None if w is None else cut(w) for w in row] for row in lists.to_pylist()]
+    assert [row for part in parts for row in part.to_pylist()] == want
+    ids = {t: k for k, t in enumerate({t for row in want if row for w in row if w for t in w})}
+    both = [row for part in bpe.encoded_lists(iter([lists[:9], lists[9:]]), cut, ids, kept=20, at_once=15) for row in part.to_pylist()]
+    assert both == [None if row is None else [None if w is None else [{"token": t, "id": ids[t]} for t in w] for w in row] for row in want]
