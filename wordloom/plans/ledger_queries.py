@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import count_words
+from wordloom.functions.text import PYTHON_SPACE, count_words
 from wordloom.operators import ledger
 from wordloom.plans.text_queries import docs, sql_words
 
 #: Every third run has held-out results, weights repeat by fives, tokenizers by fifties.
 def runs(spark, sf_dir) -> DataFrame:
-    words = count_words(F.col("text")).cast("double")
+    words = F.col("_words").cast("double")
     fertility = F.col("n_chars").cast("double") / words
-    rows = docs(spark, sf_dir).select(
+    rows = docs(spark, sf_dir).select("source", "doc_id", "lang", "n_chars", count_words(F.col("text")).alias("_words")).select(
         F.col("source").alias("stage"),
         F.col("doc_id").alias("seq"),
         F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("id"),
@@ -71,8 +71,7 @@ NAMES = (("C-src1", "one", ""), ("C-src2", "two", "could not be balanced"), ("C-
 def full_ledger(spark, sf_dir) -> DataFrame:
     """Documents as runs of a ledger in its schema: four languages each, of which the fourth and the stage follow from the
     document; every third run has held-out results, weights repeat by fives."""
-    words = count_words(F.col("text"))
-    fertility = F.col("n_chars").cast("double") / words.cast("double")
+    words = F.col("_words")
     fourth, k = F.concat(F.lit("x"), "lang"), F.col("doc_id")
     stage = F.when(k % 4 == 0, F.concat(F.lit("B-"), "lang")).when(k % 4 == 1, F.concat(F.lit("C-"), "source")).when(k % 4 == 2, F.lit("D-sweep")).otherwise(F.concat(F.lit("D-ft"), (k % 3).cast("string")))
     langs = F.array(F.lit("en"), F.lit("fr"), F.lit("de"), fourth)
@@ -84,7 +83,9 @@ def full_ledger(spark, sf_dir) -> DataFrame:
 
     values = [F.col("f") * g for g in factors]
     held = k % 3 == 0
-    rows = docs(spark, sf_dir).withColumn("f", fertility).where("f > 0")
+    # A text is counted once: a condition on f would be pushed below, and count it again.
+    some = docs(spark, sf_dir).where((F.col("n_chars") > 0) & F.col("text").rlike(f"[^{PYTHON_SPACE}]"))
+    rows = some.select("doc_id", "lang", "source", "n_chars", count_words(F.col("text")).alias("_words")).withColumn("f", F.col("n_chars").cast("double") / F.col("_words").cast("double"))
     return rows.select(
         k.alias("seq"),
         F.concat(stage, F.lit("-"), k.cast("string")).alias("id"),
