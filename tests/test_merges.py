@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from wordloom.operators import merges
 from wordloom.operators.bpe import learn_merges, learned
+from wordloom.plans import corpus_queries
 
 
 def plain(words, n, least=1):
@@ -134,3 +135,16 @@ def test_runs_are_the_longest_stretches_of_candidates(words, candidates):
     flat, sizes = np.array([x for s, _ in words for x in s], np.int64), np.array([len(s) for s, _ in words])
     found = merges.runs_of(flat, sizes, np.array([n for _, n in words]), np.sort(np.array([a << 32 | b for a, b in candidates], np.int64)))
     assert {tuple(np.frombuffer(k, "<i4").tolist()): n for k, n in found.items()} == want
+
+
+def test_merges_by_key_lie_in_all_tasks_and_are_those_of_one(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(key, "".join(rng.choices("abcé", k=rng.randint(1, 7))), rng.randint(1, 9)) for key in ("x", "y", None) for _ in range(60)]
+    frame = spark.createDataFrame(rows, "lang string, word string, n long").groupBy("lang", "word").sum("n").withColumnRenamed("sum(n)", "n")
+    want = sorted(map(tuple, learn_merges(frame, 12, config=("lang",), least=2).collect()), key=str)
+    monkeypatch.setattr(corpus_queries, "_counts", lambda *_: frame)
+    made = corpus_queries.bpe_merges_full(spark, "")
+    assert "InArrow" not in made._jdf.queryExecution().optimizedPlan().toString()  # no language's vocabulary in one task
+    assert made.columns == ["lang", "rank", "left", "right", "n"]
+    got = merges.learn_merges_by(frame, 12, "lang", least=2)
+    assert sorted(map(tuple, got.collect()), key=str) == want and len(want) == 36
