@@ -63,7 +63,7 @@ def compared_reports(spark, sf_dir):
     """Words and documents per language by two routes, value by value."""
     rows = docs(spark, sf_dir)
     first = rows.groupBy("lang").agg(F.sum(text.count_words(F.col("text"))).alias("words"), F.count("*").alias("docs"))
-    pieces = rows.select("lang", F.size(text.pretokens(text.normalized(F.col("text")))).alias("n"))
+    pieces = rows.select("lang", text.normalized(F.col("text"), None).alias("_norm")).select("lang", text.count_pretokens(F.col("_norm")).alias("n"))  # the normal form has as many
     second = pieces.groupBy("lang").agg(F.sum("n").alias("words"), F.count("*").alias("docs"))
     return measure.compared(first, second, "lang", ("words", "docs"))
 
