@@ -52,3 +52,8 @@ def test_counts_without_lists_are_those_of_lists(spark):
 def test_two_routes_work_each_text_out_once(spark, sf_dir):
     plan = optimized(report_queries.compared_reports(spark, sf_dir))
     assert not nodes(plan, "ArrowEvalPython") and plan.toString().count("regexp_replace(") == 2  # a route each
+
+
+def test_texts_are_measured_before_they_meet_events(spark, sf_dir):
+    (join,) = nodes(optimized(text_queries.arrivals_per_window(spark, sf_dir)), "Join")
+    assert "text" not in [join.output().apply(i).name() for i in range(join.output().size())]
