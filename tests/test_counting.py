@@ -49,6 +49,28 @@ def test_counts_without_lists_are_those_of_lists(spark):
             assert r.w == pretokens(r.t) and r.n == r.spaced == len(r.w) and r.c == sum(map(len, r.w)) and r.words == len(r.t.split()), repr(r.t)
 
 
+def test_words_are_composed_after_counting(spark):
+    texts = odd_texts()
+    rows = spark.createDataFrame([("x", t) for t in texts] + [("x", None)], "lang string, text string")
+    expected = Counter(w for t in texts for w in pretokens(t))
+    assert {r.word: r.n for r in corpus.word_counts(rows, keys=("lang",)).collect()} == expected
+    measured = {r.word: r.n for r in measure.counted_with_words(rows, ("lang",)).collect()}
+    assert measured == expected | {None: sum(len(t.split()) for t in texts)}
+    pieces = Counter()
+    for r in spark.createDataFrame(list(expected.items()), "word string, n long").select(text.punctuation_pieces(F.col("word")).alias("p"), "n").collect():
+        for p in r.p:
+            pieces[p] += r.n
+    assert {r.word: r.n for r in corpus.word_counts(rows, keys=("lang",), punctuation=True).collect()} == pieces
+
+
+def test_python_gets_distinct_words_not_texts(spark, sf_dir):
+    docs = text_queries.docs(spark, sf_dir)
+    indic = measure.counted_with_words(docs, ("lang",), written=lambda w: indic_queries.written(F.col("lang"), w))
+    for counted in (corpus.word_counts(docs), corpus.word_counts(docs, punctuation=True), measure.counted_with_words(docs, ("lang",)), indic):
+        python = nodes(optimized(counted), "ArrowEvalPython")
+        assert python and all(nodes(x, "Aggregate") for x in python)
+
+
 def test_two_routes_work_each_text_out_once(spark, sf_dir):
     plan = optimized(report_queries.compared_reports(spark, sf_dir))
     assert not nodes(plan, "ArrowEvalPython") and plan.toString().count("regexp_replace(") == 2  # a route each
