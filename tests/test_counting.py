@@ -79,3 +79,8 @@ def test_two_routes_work_each_text_out_once(spark, sf_dir):
 def test_texts_are_measured_before_they_meet_events(spark, sf_dir):
     (join,) = nodes(optimized(text_queries.arrivals_per_window(spark, sf_dir)), "Join")
     assert "text" not in [join.output().apply(i).name() for i in range(join.output().size())]
+
+
+def test_pieces_are_cut_in_counted_words(spark, sf_dir):
+    for query in (corpus_queries.pretoken_punct_counts, corpus_queries.punct_floor_per_lang):
+        assert not any("documents" in name for name in query(spark, sf_dir).inputFiles())
