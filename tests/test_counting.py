@@ -84,3 +84,10 @@ def test_texts_are_measured_before_they_meet_events(spark, sf_dir):
 def test_pieces_are_cut_in_counted_words(spark, sf_dir):
     for query in (corpus_queries.pretoken_punct_counts, corpus_queries.punct_floor_per_lang):
         assert not any("documents" in name for name in query(spark, sf_dir).inputFiles())
+
+
+def test_a_large_table_is_dealt_to_more_tasks(spark, sf_dir, monkeypatch):
+    cores, size = spark.sparkContext.defaultParallelism, 290_257  # bytes of the one file
+    assert session.table(spark, sf_dir, "documents").rdd.getNumPartitions() == cores
+    monkeypatch.setattr(session, "TASK_BYTES", size // 20)
+    assert session.table(spark, sf_dir, "documents").rdd.getNumPartitions() == 21
