@@ -91,3 +91,21 @@ def test_a_large_table_is_dealt_to_more_tasks(spark, sf_dir, monkeypatch):
     assert session.table(spark, sf_dir, "documents").rdd.getNumPartitions() == cores
     monkeypatch.setattr(session, "TASK_BYTES", size // 20)
     assert session.table(spark, sf_dir, "documents").rdd.getNumPartitions() == 21
+
+
+def test_words_are_merged_in_small_chunks():
+    """A task over 2^20 symbols and more holds a fraction of them at a time."""
+    chance = np.random.default_rng(3)
+
+    def batches():
+        for _ in range(16):
+            sizes = np.full(10_000, 8)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(10_001) * 8, pa.int32()), pa.array(chance.integers(0, 40, sizes.sum()), pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(np.ones(10_000, np.int64))], ["s", "n"])
+
+    names = [chr(97 + i) for i in range(40)]
+    tracemalloc.start()
+    words = sum(int(b.column(1).null_count == 0) * b.num_rows for b in merges._merged(batches(), names, [("a", "b"), ("c", "d")]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words == 160_000 and peak < 64e6
