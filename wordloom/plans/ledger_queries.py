@@ -12,7 +12,7 @@ from wordloom.plans.text_queries import docs, sql_words
 #: Every third run has held-out results, weights repeat by fives, tokenizers by fifties.
 def runs(spark, sf_dir) -> DataFrame:
     words = F.col("_words").cast("double")
-    fertility = F.col("n_chars").cast("double") / words
+    fertility = ledger.ratio(F.col("n_chars").cast("double"), words)
     rows = docs(spark, sf_dir).select("source", "doc_id", "lang", "n_chars", count_words(F.col("text")).alias("_words")).select(
         F.col("source").alias("stage"),
         F.col("doc_id").alias("seq"),
