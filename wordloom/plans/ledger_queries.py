@@ -172,12 +172,11 @@ def ledger_run_lines(spark, sf_dir):
 
 
 def ledger_by_language(spark, sf_dir):
-    """Level, extremes and their languages of each stage, from maps of mean fertility per language."""
-    means = runs(spark, sf_dir).groupBy("stage", "lang").agg(F.sum("fertility").alias("s"), F.count("*").alias("n"), F.max("fertility").alias("top"))
-    maps = means.groupBy("stage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "top")))).alias("m"))
-    values = F.map_values("m")
-    entries = F.transform(F.map_entries("m"), lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k")))
-    return maps.select("stage", F.array_max(values).alias("max_fertility"), F.array_max(entries)["k"].alias("max_lang"), F.array_min(values).alias("min_fertility"), F.array_min(entries)["k"].alias("min_lang"), F.size("m").cast("long").alias("n_langs"))
+    """Level, extremes and their languages of each stage, from the greatest fertility per language; runs without a language are a
+    group without a name, and an unknown fertility is above all others."""
+    means = runs(spark, sf_dir).groupBy("stage", "lang").agg(F.max("fertility").alias("top"))
+    order = F.when(F.col("lang").isNotNull(), F.struct(F.col("top").isNull(), "top", "lang"))
+    return means.groupBy("stage").agg(F.max("top").alias("max_fertility"), F.max_by("lang", order).alias("max_lang"), F.min("top").alias("min_fertility"), F.min_by("lang", order).alias("min_lang"), F.count("*").alias("n_langs"))
 
 
 QUERIES = {
