@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions.text import PYTHON_SPACE, count_words
 from wordloom.operators import ledger
 from wordloom.plans.text_queries import docs, sql_words
+from wordloom.session import checkpointed
 
 #: Every third run has held-out results, weights repeat by fives, tokenizers by fifties.
 def runs(spark, sf_dir) -> DataFrame:
@@ -137,9 +138,10 @@ def ledger_markdown(spark, sf_dir):
 
 def ledger_first_within(spark, sf_dir):
     """The first sweep point whose own fertility is small enough."""
-    points = full_ledger(spark, sf_dir).where("result.eval['en'].fertility > 0")
-    limit = points.where("stage = 'D-sweep'").agg(F.avg(F.col("result.eval")["en"]["fertility"])).first()[0] or 0.0
-    return ledger.tradeoff(points, "D-sweep").where(F.col("own") <= limit).groupBy().agg(F.min("weight").alias("weight"), F.count("*").alias("n_within"))
+    # Two numbers a point are kept: a condition on a fertility would be pushed below, and count a text for each use of its words.
+    points = checkpointed(ledger.sweep_points(full_ledger(spark, sf_dir), "D-sweep").select("weight", "own"))
+    limit = points.agg(F.avg("own")).first()[0] or 0.0
+    return points.where(F.col("own") <= limit).groupBy().agg(F.min("weight").alias("weight"), F.count("*").alias("n_within"))
 
 
 def ledger_last_noted(spark, sf_dir):
