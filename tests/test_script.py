@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wordloom.functions import script, text
-from wordloom.operators import bpe, measure, train
+from wordloom.operators import bpe, corpus, measure, train
 from wordloom.plans import indic_queries
 
 #: Syllables of words.
@@ -82,3 +82,12 @@ def test_trainer_over_syllables_equals_its_parts(spark, sf_dir):
     want = [(r.token, r.kind) for r in parts]
     assert list(zip(made.tokens, made.kinds)) == want and made.merges[: len(bpe.akshara_merges(glued))] == bpe.akshara_merges(glued)
     assert made.info["akshara"] > 50 and made.info["learned"] >= 20
+
+
+def test_chosen_syllables_hold_those_of_every_page(spark, sf_dir):
+    """Not only those of some pages: each syllable of the benchmark that the documents have is glued."""
+    units = lambda words: words.select(F.explode(script.aksharas(F.col("word"))).alias("a")).where(F.length("a") > 1)
+    pages = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.translate("text", indic_queries.LATIN, indic_queries.DEVANAGARI).alias("text"))
+    of_pages = {r.a for r in units(corpus.word_counts(pages, keys=())).collect()} & {r.a for r in units(indic_queries._words(spark, sf_dir)).collect()}
+    chosen = {r.akshara for r in indic_queries.indic_chosen_aksharas(spark, sf_dir).collect()}
+    assert of_pages <= chosen and len(of_pages - set(indic_queries._glued(spark, sf_dir))) > 0
